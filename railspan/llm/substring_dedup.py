@@ -24,7 +24,7 @@ WINDOW = 20
 #: Words of a phrase. Among any WINDOW - PHRASE + 1 consecutive phrases, one is taken.
 PHRASE = 8
 #: Phrases in a shard's automaton, and words of documents that one task streams through it.
-SHARD_PHRASES, TASK_WORDS = 1000, 100_000
+SHARD_PHRASES, TASK_WORDS = 1000, 500_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
