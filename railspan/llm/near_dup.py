@@ -2,8 +2,10 @@
 
 Universal hash minima are cut into bands; documents that share a band are candidates. Copies with equal
 shingle sets are folded into one representative first, so a group of thousands costs one document.
-Within a bucket no pairs are enumerated: members are compared with the member that shares most buckets,
-then with the least one, and only members that are still in different components meet each other.
+Within a bucket no pairs are enumerated: members are compared with the member that shares most buckets and
+with the least one, then, where components are still apart, with members drawn by a hash. What is apart after
+that meets in full: as pairs in small buckets, as blocks of bounded size in large ones, where intersections
+are counted by a matrix product and at most one link for each pair of components leaves the task.
 Every link is confirmed on the full shingle sets. Components: alternating large-star and small-star.
 """
 
@@ -17,11 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railspan.llm.common import WordHashes, bound_batches, grams, lists, materialize, mix, only, sequence_hash
+from railspan.llm.common import WordHashes, bound_batches, grams, lists, materialize, mix, only, partitions, sequence_hash
 from railspan.llm.components import connected_components
 
 #: 40 bands of 6 minima miss a pair of similarity 0.8 with probability 5e-6.
 BANDS, ROWS = 40, 6
+#: Rounds of drawn pivots and pivots a bucket in each; members of a bucket that may meet as pairs; members of a block.
+DRAWN_ROUNDS, DRAWN, SMALL, BLOCK = 2, 3, 32, 300
 
 
 def shingle_set(text: str | None, k: int, known: WordHashes) -> np.ndarray:
@@ -95,6 +99,69 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return materialize(pairs.join(left, "u").join(right, "v").mapInArrow(_confirm(k, percent), "u long, v long"), "links")
 
 
+def _blocks(k: int, percent: int):
+    """Rows sorted by bucket, block and other block: links between components among the documents of each such group."""
+
+    def run(batches):
+        known = WordHashes()
+
+        def links(ids, components, sets):
+            n = len(ids)
+            sizes = np.array([len(x) for x in sets])
+            flat = np.concatenate(sets)
+            owner = np.repeat(np.arange(n), sizes)
+            _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+            shared = count[column] > 1
+            order = np.argsort(column[shared], kind="stable")
+            column, owner = column[shared][order], owner[shared][order]
+            both = np.zeros((n, n), np.float32)
+            if len(column):
+                column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
+                for at in range(0, int(column[-1]) + 1, 4096):
+                    lo, hi = np.searchsorted(column, (at, at + 4096))
+                    part = np.zeros((n, 4096), np.float32)
+                    part[owner[lo:hi], column[lo:hi] - at] = 1
+                    both += part @ part.T
+            x, y = np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes - both), 1) & (both > 0))
+            up = {c: c for c in components}
+
+            def root(c):
+                while up[c] != c:
+                    up[c] = up[up[c]]
+                    c = up[c]
+                return c
+
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                a, b = root(components[i]), root(components[j])
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
+
+        def groups():
+            key, held = None, {}
+            for batch in batches:
+                cols = [batch.column(c).to_pylist() for c in ("bucket", "block", "other", "id", "component", "text")]
+                for bucket, block, other, i, c, text in zip(*cols, strict=True):
+                    if (bucket, block, other) != key:
+                        if len(held) > 1:
+                            yield held
+                        key, held = (bucket, block, other), {}
+                    held.setdefault(i, (c, shingle_set(text, k, known)))
+            if len(held) > 1:
+                yield held
+
+        for held in groups():
+            found = list(links(list(held), [c for c, _ in held.values()], [x for _, x in held.values()]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
@@ -125,21 +192,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     pivots = ranked.groupBy("bucket").agg(
         F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("top"), F.min("id").alias("least"))
     stars = ranked.join(pivots, "bucket").select("id", "n", F.explode(F.array_distinct(F.array(-F.col("top.neg"), F.col("least")))).alias("pivot"))
-    links = _confirmed(stars.filter("id <> pivot").select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct(), texts, shingle, percent)
+    links = _confirmed(stars.filter("id <> pivot").select(*_ordered("id", "pivot")).distinct(), texts, shingle, percent)
     found = connected_components(links)
 
-    # Members of one bucket that are still apart: these meet each other, all of them.
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    apart = placed.join(split.select("bucket"), "bucket", "left_semi")
-    x = apart.select("bucket", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-    y = apart.select("bucket", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
+    def still_apart(found):
+        """Members of the buckets that hold several components, and how many these buckets have."""
+        placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+        split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+        return materialize(placed.join(split.select("bucket", "size"), "bucket"), "apart")
+
+    apart = still_apart(found)
+    for turn in range(DRAWN_ROUNDS):
+        draws = [F.min(F.struct(F.xxhash64("bucket", "id", F.lit(turn * DRAWN + i)).alias("h"), F.col("id").alias("pivot"), F.col("component").alias("pc"))).alias(f"d{i}") for i in range(DRAWN)]
+        drawn = apart.groupBy("bucket").agg(*draws)
+        pairs = (apart.join(drawn, "bucket").select("id", "component", F.explode(F.array(*[f"d{i}" for i in range(DRAWN)])).alias("d"))
+                 .filter("component <> d.pc").select("id", F.col("d.pivot").alias("pivot")))
+        more = _confirmed(pairs.select(*_ordered("id", "pivot")).distinct(), texts, shingle, percent)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        found = connected_components(links)
+        apart = still_apart(found)
+
+    few = apart.filter(F.col("size") <= SMALL)
+    x = few.select("bucket", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
+    y = few.select("bucket", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
     near = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")  # sets of such sizes alone can be linked
-    rest = x.join(y, "bucket").filter((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & near).select("u", "v").distinct()
-    tried = stars.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct()
-    more = _confirmed(rest.join(tried, ["u", "v"], "left_anti"), texts, shingle, percent)
-    if not more.isEmpty():
-        found = connected_components(links.union(more))
+    pairs = x.join(y, "bucket").filter((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & near).select("u", "v").distinct()
+    last = _confirmed(pairs, texts, shingle, percent)
+
+    many = apart.filter(F.col("size") > SMALL).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = (many.select("bucket", F.least("own", "with").alias("block"), F.greatest("own", "with").alias("other"), "id", "component")
+              .join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("bucket", "block", "other", "id", "component", "text")
+              .repartition(2 * partitions(spark), "bucket", "block", "other").sortWithinPartitions("bucket", "block", "other", "id"))
+    last = materialize(last.union(blocks.mapInArrow(_blocks(shingle, percent), "u long, v long")), "links")
+    if not last.isEmpty():
+        found = connected_components(links.union(last))
 
     placed_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return (signed_docs.select("doc_id", "n_shingles", "digest").join(placed_class, "digest", "left")

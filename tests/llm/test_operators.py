@@ -349,3 +349,14 @@ def test_empty_null_and_repeated_rows(spark, tmp_path, name):
         spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (3, None, None)] if own else [], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
         out = queries.QUERIES[name](spark, at)
         assert (out.count() >= len(own)) if "packing" in name else out.count() == len(own)
+
+
+def test_near_duplicates_in_blocks(docs, monkeypatch):
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, "DRAWN_ROUNDS", 0)
+    rows, df = docs
+    rows = rows + [(5000 + i, changed(BASE, 25 + i % 20, 900 + i // 2)) for i in range(120)]
+    df = with_clashes(df.sparkSession, rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df, shingle=2).collect()}
+    assert got == brute.near_duplicates(rows)
