@@ -24,8 +24,8 @@ from railspan.llm.components import connected_components
 
 #: 40 bands of 6 minima miss a pair of similarity 0.8 with probability 5e-6.
 BANDS, ROWS = 40, 6
-#: Rounds of drawn pivots and pivots a bucket in each; members of a bucket that may meet as pairs; members of a block.
-DRAWN_ROUNDS, DRAWN, SMALL, BLOCK = 2, 3, 32, 300
+#: Rounds of drawn pivots and pivots a bucket in each; members of a bucket that may meet as pairs; members of a block and their shingles.
+DRAWN_ROUNDS, DRAWN, SMALL, BLOCK, BLOCK_SHINGLES = 2, 3, 32, 1000, 400_000
 
 
 def shingle_set(text: str | None, k: int, known: WordHashes) -> np.ndarray:
@@ -198,8 +198,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     def still_apart(found):
         """Members of the buckets that hold several components, and how many these buckets have."""
         placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-        split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-        return materialize(placed.join(split.select("bucket", "size"), "bucket"), "apart")
+        split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("load")).filter("lo < hi")
+        return materialize(placed.join(split.select("bucket", "size", "load"), "bucket"), "apart")
 
     apart = still_apart(found)
     for turn in range(DRAWN_ROUNDS):
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     pairs = x.join(y, "bucket").filter((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & near).select("u", "v").distinct()
     last = _confirmed(pairs, texts, shingle, percent)
 
-    many = apart.filter(F.col("size") > SMALL).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    many = apart.filter(F.col("size") > SMALL).withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("load") / BLOCK_SHINGLES)).cast("int"))
     many = many.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = (many.select("bucket", F.least("own", "with").alias("block"), F.greatest("own", "with").alias("other"), "id", "component")
               .join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("bucket", "block", "other", "id", "component", "text")
