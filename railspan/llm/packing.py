@@ -7,6 +7,8 @@ sequences. A partition's last, partial sequence is cut at powers of two, which n
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 
 import numpy as np
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from railspan.llm.bpe import LOOSE
+from railspan.llm.bpe import read_ranks
 from railspan.llm.common import bound_batches, materialize, mix, only, partitions
 
 #: Hash bins of a document's vector; dimensions and bits of the curve.
@@ -63,44 +65,46 @@ def curve_keys(documents: list[np.ndarray]) -> np.ndarray:
     return hilbert_keys(np.clip(((vectors @ planes) / 8 + 0.5) * side, 0, side - 1).astype(np.int64), BITS)
 
 
-class ChunkIds(dict):
-    """Ids of chunks of text by the tokenizers library; emptied when there are too many."""
+#: Characters that libraries may split differently; texts with one of them are left to the tokenizers library.
+ODD = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 
-    LIMIT = 200_000
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def learn(self, chunks: list[str]) -> None:
-        new = [x for x in dict.fromkeys(chunks) if x not in self]
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-            new = list(dict.fromkeys(chunks))
-        for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[x] = np.array(e.ids, ID).tobytes()
+class Ids:
+    """Ids by the tokenizers library's file.
 
+    tiktoken reads the same vocabulary as ranks and is several times faster, so it encodes ordinary texts; the
+    tokenizers library encodes all others and, in each batch, one text again, which must agree.
+    """
 
-def _tokenise(spec, separator: int):
-    def run(batches):
+    def __init__(self, spec: str, ranks: bytes, pattern: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(spec.value)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        known = ChunkIds(tokenizer)
-        end = np.array([separator], ID).tobytes()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.exact = Tokenizer.from_str(spec)
+        self.exact.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks.splitlines()), special_tokens={})
+
+    def by_file(self, text: str) -> np.ndarray:
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, ID)
+
+    def batch(self, texts: list[str], separator: int) -> list[np.ndarray]:
+        found = [self.by_file(t) if ODD.search(t) else np.array(self.fast.encode_ordinary(t), ID) for t in texts]
+        probe = min(range(len(texts)), key=lambda i: (not texts[i], len(texts[i])))
+        if not np.array_equal(found[probe], self.by_file(texts[probe])):
+            raise ValueError("the rank file is not the tokenizer's vocabulary")
+        return [np.append(x, ID.type(separator)) for x in found]
+
+
+def _tokenise(spec, ranks, pattern: str, separator: int):
+    def run(batches):
+        ids_of = Ids(spec.value, ranks.value, pattern)
         for batch in batches:
-            cut = []
-            for text in batch.column("text").to_pylist():
-                # A single space between other characters begins a new pre-token, so chunks are encoded one by one.
-                text = text or ""
-                cut.append([text] if LOOSE.search(text) else [x if not i else " " + x for i, x in enumerate(text.split(" "))])
-            for at in range(0, len(cut), 50):
-                some = cut[at : at + 50]
-                known.learn([x for c in some for x in c])
-                ids = [b"".join([known[x] for x in c]) + end for c in some]
-                keys = curve_keys([np.frombuffer(x, ID) for x in ids])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(some)), pa.array(keys), pa.array(ids, pa.binary())], names=["doc_id", "curve_key", "ids"])
+            if not batch.num_rows:
+                continue
+            ids = ids_of.batch([t or "" for t in batch.column("text").to_pylist()], separator)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(curve_keys(ids)), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "curve_key", "ids"])
 
     return run
 
@@ -156,19 +160,21 @@ def _pack(length: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 1024, separator: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: str, length: int = 1024, separator: int = 0) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all rows of docs (doc_id, text).
 
     A document is its ids and then the separator; a null or empty text is the separator alone. Every id lies in
     one piece; a sequence's pieces are gapless from offset 0 and in the order of the curve. Sequences are full
     but for at most log2(length) at a partition's end, whose lengths are powers of two. Copies of one text
     share a key; doc_id then orders them, so that they are dealt to many partitions. Rows that repeat a doc_id
-    are packed each; other columns are ignored. The tokenizer's file (under 2 MB) is broadcast.
+    are packed each; other columns are ignored. The tokenizer's two files (under 3 MB) are broadcast.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    keyed = materialize(only(docs, doc_id="long", text="string").mapInArrow(_tokenise(spec, separator), "doc_id long, curve_key long, ids binary"), "curve")
+    with open(ranks_path, "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())
+    keyed = materialize(only(docs, doc_id="long", text="string").mapInArrow(_tokenise(spec, ranks, pattern, separator), "doc_id long, curve_key long, ids binary"), "curve")
     sorted_ = keyed.repartitionByRange(partitions(spark), "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", "ids")
     return sorted_.mapInArrow(_pack(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

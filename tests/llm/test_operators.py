@@ -309,7 +309,7 @@ def test_packing(docs):
     t.encode_special_tokens = True
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in rows}
     pieces, sequences = defaultdict(list), defaultdict(list)
-    for r in packing.pack_documents(df, P.path("byte_bpe_50k.json")).collect():
+    for r in packing.pack_documents(df, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect():
         pieces[r.doc_id].append(r)
         sequences[r.sequence_id].append(r)
         assert r.doc_tokens == len(ids[r.doc_id]) and r.length > 0
