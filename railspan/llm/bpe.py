@@ -27,16 +27,16 @@ def read_ranks(lines) -> dict[bytes, int]:
 
 
 class PrefixEncoder:
-    """Encodes byte strings by their prefixes' last tokens."""
+    """Encodes byte strings by their prefixes' last tokens. Tokens are ranks; a rank tells when its merge takes place."""
 
-    PAIRS = 400_000
+    PAIRS = 600_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.whole: dict[bytes, bool] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """The plain definition: join the pair of least rank, leftmost first, until no pair has a rank."""
@@ -49,46 +49,79 @@ class PrefixEncoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _follows(self, before: bytes | None, token: bytes) -> bool:
-        """Whether the token may end an encoding whose previous token is `before`."""
-        ok = self.whole.get(token)
-        if ok is None:
-            ok = self.whole[token] = len(token) == 1 or self.merged(token) == [token]
-        if not ok or before is None:
-            return ok
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens of a token's last merge; None for a single byte, (-1, -1) if merges never make it."""
+        if token not in self.halves:
+            data, found = self.bytes_of[token], None
+            if len(data) > 1:
+                found = (-1, -1)
+                if self.merged(data) == [data]:
+                    for at in range(1, len(data)):  # merged apart, each half is whole, and the two meet
+                        a, b = self.ranks.get(data[:at]), self.ranks.get(data[at:])
+                        if a is not None and b is not None and self._whole(a) and self._whole(b) and self._meet(a, b, token):
+                            found = (a, b)
+                            break
+            self.halves[token] = found
+        return self.halves[token]
+
+    def _whole(self, token: int) -> bool:
+        return self._halves(token) != (-1, -1)
+
+    def _meet(self, left: int, right: int, limit: float) -> bool:
+        """Whether no merge across the boundary comes before `limit` or before the merges that made the two.
+
+        The later of the two merges is undone, time and again: until then, a merge across must not have been possible.
+        """
+        join, bytes_of = self.ranks.get, self.bytes_of
+        while True:
+            across = join(bytes_of[left] + bytes_of[right])
+            if across is not None and across < limit:
+                return False
+            a, b = self._halves(left), self._halves(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and left > right:
+                limit, left = left, a[1]
+            else:  # equal ranks: the left one is made first, so the right one is undone first
+                limit, right = right + 1, b[0]
+
+    def follows(self, before: int, token: int) -> bool:
+        """Whether the token may end an encoding whose previous token is `before` (-1: none)."""
         pair = (before, token)
         ok = self.pairs.get(pair)
         if ok is None:
             if len(self.pairs) >= self.PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[pair] = self.merged(before + token) == [before, token]
+            ok = self.pairs[pair] = self._whole(token) and (before < 0 or self._meet(before, token, float("inf")))
         return ok
 
-    def table(self, data: bytes, last: list[bytes | None] | None = None) -> list[bytes | None]:
-        """The last token of each prefix (at 0: None). `last`: a table of some first bytes, which is continued."""
-        last = [None] if last is None else last
-        ranks, longest, follows = self.ranks, self.longest, self._follows
+    def table(self, data: bytes, last: list[int] | None = None) -> list[int]:
+        """The last token of each prefix (at 0: -1). `last`: a table of some first bytes, which is continued."""
+        last = [-1] if last is None else last
+        rank, known, follows, longest = self.ranks.get, self.pairs.get, self.follows, self.longest
         for end in range(len(last), len(data) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = data[begin:end]
-                if token in ranks and follows(last[begin], token):
-                    last.append(token)
-                    break
+            for begin in range(end - 1, max(-1, end - longest - 1), -1):
+                token = rank(data[begin:end])
+                if token is not None:
+                    ok = known((last[begin], token))
+                    if ok or ok is None and follows(last[begin], token):
+                        last.append(token)
+                        break
             else:
                 raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
         return last
 
-    def edit(self, data: bytes, last: list[bytes | None], begin: int, end: int, new: bytes) -> tuple[bytes, list[bytes | None]]:
+    def edit(self, data: bytes, last: list[int], begin: int, end: int, new: bytes) -> tuple[bytes, list[int]]:
         """Replace data[begin:end] by new; only prefixes beyond `begin` are worked out again."""
         data = data[:begin] + new + data[end:]
         return data, self.table(data, last[: begin + 1])
 
-    def ids(self, last: list[bytes | None]) -> list[int]:
+    def ids(self, last: list[int]) -> list[int]:
         """Walk back from the end of a table."""
-        out, at = [], len(last) - 1
+        out, at, bytes_of = [], len(last) - 1, self.bytes_of
         while at:
-            out.append(self.ranks[last[at]])
-            at -= len(last[at])
+            out.append(last[at])
+            at -= len(bytes_of[last[at]])
         return out[::-1]
 
     def encode(self, data: bytes) -> list[int]:
@@ -99,7 +132,7 @@ class PrefixEncoder:
 class Chunks(dict):
     """Ids of a chunk of text, as a tuple and as a string; emptied when there are too many."""
 
-    LIMIT = 150_000
+    LIMIT = 250_000
 
     def __init__(self, split, encoder: PrefixEncoder, lead: str):
         super().__init__()

@@ -360,3 +360,13 @@ def test_near_duplicates_in_blocks(docs, monkeypatch):
     df = with_clashes(df.sparkSession, rows)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df, shingle=2).collect()}
     assert got == brute.near_duplicates(rows)
+
+
+def test_pairs_agree_with_the_plain_definition():
+    ranks = bpe.read_ranks(open(P.path("byte_bpe_50k.tiktoken"), "rb"))
+    e, r = bpe.PrefixEncoder(ranks), random.Random(8)
+    short = [k for k in ranks if len(k) < 7]
+    for _ in range(4000):
+        a, b = r.choice(short), r.choice(short)
+        if e.merged(a) == [a] and e.merged(b) == [b]:
+            assert e.follows(ranks[a], ranks[b]) == (e.merged(a + b) == [a, b])
