@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -20,4 +21,4 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def data():
-    return "/root/testdata/sf0.001"
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
