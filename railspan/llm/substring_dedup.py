@@ -92,13 +92,16 @@ def _stream(window: int, phrase: int):
         import ahocorasick
 
         known = WordHashes()
-        group, automaton, ready, seen = None, None, False, set()
+        group, automaton, ready, seen, before = None, None, False, set(), None
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             cols = [batch.column(c).to_pylist() for c in ("shard", "task", "tasks", "kind", "doc_id", "key", "text", "seeds")]
             for shard, task, tasks, kind, doc, key, text, wanted in zip(*cols, strict=True):
                 if (shard, task) != group:
-                    group, automaton, ready, seen = (shard, task), ahocorasick.Automaton(), False, set()
+                    group, automaton, ready, seen, before = (shard, task), ahocorasick.Automaton(), False, set(), None
+                if (kind, doc, key) == before:  # a repeated row of the table
+                    continue
+                before = (kind, doc, key)
                 words = WORD.findall(text)
                 h = known.array([w.encode("utf-8", "surrogatepass") for w in words])
                 if kind == 0:
@@ -178,26 +181,29 @@ class Repeats:
             docs.mapInArrow(_profile(window, phrase), "doc_id long, key long, n_words long, digest binary, sha string, seeds array<long>"), "profile")
         long_enough = found.filter(f"n_words >= {window} and doc_id is not null")
         firsts = long_enough.groupBy("digest").agg(F.min("doc_id").alias("first"))
-        marked = long_enough.join(firsts, "digest")
         self.profile = found.select("doc_id", "key", "n_words", "sha")
-        self.copies = marked.filter("doc_id > first").select("doc_id", "key").distinct()
-        own = materialize(marked.filter("doc_id = first").select("doc_id", "key", "n_words", "seeds").dropDuplicates(["doc_id", "key"]), "own")
+        self.copies = long_enough.join(firsts, "digest").filter("doc_id > first").select("doc_id", "key").distinct()
+        # Dealt by digest and doc_id: copies of one text spread over tasks, and repeated rows meet without another shuffle.
+        own = long_enough.join(firsts, (long_enough["digest"] == firsts["digest"]) & (long_enough["doc_id"] == firsts["first"]), "left_semi")
+        own = materialize(own.dropDuplicates(["digest", "doc_id", "key"]).select("doc_id", "key", "n_words", "seeds"), "own")
 
         occurrences = own.select("doc_id", "key", "n_words", F.explode("seeds").alias("seed"))
         repeated = materialize(
-            occurrences.groupBy("seed").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key")).alias("home")).filter("n > 1").select("seed", "home"), "seeds")
+            occurrences.groupBy("seed").agg(F.count("*").alias("n"), F.min("doc_id").alias("home")).filter("n > 1").select("seed", "home"), "seeds")
         shards = max(1, -(-repeated.count() // SHARD_PHRASES))
         repeated = repeated.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)))
         routes = materialize(occurrences.join(repeated.select("seed", "shard"), "seed").select("doc_id", "key", "n_words", "shard").distinct(), "routes")
         loads = routes.groupBy("shard").agg(F.sum("n_words").alias("words")).select("shard", F.ceil(F.col("words") / TASK_WORDS).cast("int").alias("tasks"))
-        visits = (routes.join(loads, "shard")
-                  .select("shard", F.pmod(F.xxhash64("doc_id", "key"), F.col("tasks")).cast("int").alias("task"), "tasks", F.lit(1).alias("kind"), "doc_id", "key", F.lit(None).cast("array<long>").alias("seeds")))
-        homes = (repeated.groupBy("shard", "home").agg(F.collect_list("seed").alias("seeds")).join(loads, "shard")
-                 .select("shard", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "tasks", F.lit(0).alias("kind"), "home.doc_id", "home.key", "seeds"))
-        texts = materialize(docs.join(routes.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]), "texts")
-        streamed = (visits.union(homes).join(texts, ["doc_id", "key"])
-                    .repartition(2 * partitions(spark), "shard", "task").sortWithinPartitions("shard", "task", "kind", "doc_id", "key")
-                    .select("shard", "task", "tasks", "kind", "doc_id", "key", "text", "seeds"))
+        task = F.pmod(F.xxhash64("doc_id", "key"), F.col("tasks")).cast("int")
+        visits = routes.join(loads, "shard").select("doc_id", "key", F.struct("shard", task.alias("first"), task.alias("last"), "tasks", F.lit(1).alias("kind"), F.lit(None).cast("array<long>").alias("seeds")).alias("visit"))
+        homes = (repeated.groupBy("shard", "home").agg(F.collect_list("seed").alias("seeds")).join(loads, "shard").join(own.select(F.col("doc_id").alias("home"), "key"), "home")
+                 .select(F.col("home").alias("doc_id"), "key", F.struct("shard", F.lit(0).alias("first"), (F.col("tasks") - 1).alias("last"), "tasks", F.lit(0).alias("kind"), "seeds").alias("visit")))
+        # One row for each text, so texts move once to meet their visits and once to their tasks.
+        calls = visits.union(homes).groupBy("doc_id", "key").agg(F.collect_list("visit").alias("visits"))
+        texts = materialize(docs.join(calls, ["doc_id", "key"]), "texts")
+        streamed = (texts.select("doc_id", "key", "text", F.explode("visits").alias("v"))
+                    .select(F.col("v.shard").alias("shard"), F.explode(F.sequence("v.first", "v.last")).alias("task"), F.col("v.tasks").alias("tasks"), F.col("v.kind").alias("kind"), "doc_id", "key", "text", F.col("v.seeds").alias("seeds"))
+                    .repartition(2 * partitions(spark), "shard", "task").sortWithinPartitions("shard", "task", "kind", "doc_id", "key"))
         spots = materialize(streamed.mapInArrow(_stream(window, phrase), SPOTS), "spots")
 
         firsts_of = spots.filter("window is not null")
@@ -205,7 +211,8 @@ class Repeats:
         late = firsts_of.join(earliest, "window").filter(F.struct("doc_id", "start") > F.col("one"))
         spans = spots.filter("window is null").select("doc_id", "key", "start", "end").union(late.select("doc_id", "key", "start", "end"))
         spans = spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-        self.cuts = materialize(texts.join(spans, ["doc_id", "key"]).mapInArrow(_cut, "doc_id long, key long, n_words long, n_removed long, kept string"), "cuts")
+        once = texts.select("doc_id", "key", "text").join(spans, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+        self.cuts = materialize(once.mapInArrow(_cut, "doc_id long, key long, n_words long, n_removed long, kept string"), "cuts")
 
 
 def repeated_words(docs: DataFrame) -> DataFrame:
