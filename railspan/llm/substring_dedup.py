@@ -200,7 +200,8 @@ class Repeats:
                  .select(F.col("home").alias("doc_id"), "key", F.struct("shard", F.lit(0).alias("first"), (F.col("tasks") - 1).alias("last"), "tasks", F.lit(0).alias("kind"), "seeds").alias("visit")))
         # One row for each text, so texts move once to meet their visits and once to their tasks.
         calls = visits.union(homes).groupBy("doc_id", "key").agg(F.collect_list("visit").alias("visits"))
-        texts = materialize(docs.join(calls, ["doc_id", "key"]), "texts")
+        visited = docs.join(routes.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_semi")
+        texts = materialize(visited.join(calls, ["doc_id", "key"]), "texts")
         streamed = (texts.select("doc_id", "key", "text", F.explode("visits").alias("v"))
                     .select(F.col("v.shard").alias("shard"), F.explode(F.sequence("v.first", "v.last")).alias("task"), F.col("v.tasks").alias("tasks"), F.col("v.kind").alias("kind"), "doc_id", "key", "text", F.col("v.seeds").alias("seeds"))
                     .repartition(2 * partitions(spark), "shard", "task").sortWithinPartitions("shard", "task", "kind", "doc_id", "key"))
