@@ -33,31 +33,58 @@ def overlap(a: np.ndarray, b: np.ndarray, km: float = 0.5) -> tuple[float, float
     return float(near.mean()), float(at[0]) if len(at) else 0.0, float(at[-1]) if len(at) else 0.0
 
 
-def cut(line: np.ndarray, lo: float, hi: float) -> list[np.ndarray]:
-    """Before, between and after two places; parts under a hundredth are left out."""
+def cut(line: np.ndarray, lo: float, hi: float) -> tuple[np.ndarray | None, np.ndarray | None, np.ndarray | None]:
+    """Before, between and after two places; a part under a hundredth of the line is None."""
     p = _sample(line)
     n = len(p) - 1
     marks = [0, round(lo * n) if lo > 0.01 else 0, round(hi * n) if hi < 0.99 else n, n]
-    return [p[a : b + 1] for a, b in zip(marks, marks[1:], strict=False) if b > a]
+    return tuple(p[a : b + 1] if b > a else None for a, b in zip(marks, marks[1:], strict=False))
+
+
+def _length(line: np.ndarray) -> float:
+    return float(np.hypot(*np.diff(line, axis=0).T).sum())
+
+
+def resolve(lines: list[tuple[float, np.ndarray]], km: float, share: float, size: float, covered: float = 0.8, edge: float = 0.05, rounds: int = 20) -> list[tuple[float, np.ndarray]]:
+    """Lines (frequency, points) of one pair of ends without overlaps.
+
+    Two of like length that share much become the longer one. A short one along a longer one cuts it: the common
+    part carries both frequencies, what is before and after keeps its own; if it spans all of it, they are one.
+    Pieces meet all others again, for at most `rounds` cuts a line.
+    """
+    todo, kept, cuts = sorted(lines, key=lambda x: (-_length(x[1]), -x[0])), [], rounds * len(lines)
+    while todo:
+        f, line = todo.pop(0)
+        for i, (g, other) in enumerate(kept):
+            (nf, near), (ff, far) = sorted([(f, line), (g, other)], key=lambda x: _length(x[1]))
+            if _length(near) < km_to_degrees(0.01):
+                continue
+            inner, (outer, lo, hi) = overlap(near, far, km)[0], overlap(far, near, km)
+            alike = _length(near) >= size * _length(far)
+            if alike and min(inner, outer) >= share or not alike and max(inner, outer) >= covered and lo < edge and hi > 1 - edge:
+                kept[i] = (f + g, far)
+                break
+            if not alike and max(inner, outer) >= covered and cuts > 0:
+                cuts -= 1
+                del kept[i]
+                parts = zip((ff, ff + nf, ff), cut(far, lo, hi), strict=True)
+                todo += [(w, part) for w, part in parts if part is not None]
+                break
+        else:
+            kept.append((f, line))
+    return kept
 
 
 def merge_parallel(segments: DataFrame, km: float = 0.5, share: float = 0.7, size: float = 0.5) -> DataFrame:
-    """Segments (id_a, id_b, frequency, coords) with the same two ends and much overlap become one, the longer; frequencies add up.
+    """(a, b, frequency, coords): segments (id_a, id_b, frequency, coords) with the same two ends, merged or cut where they overlap.
 
-    Pairs of ends are independent, so they are dealt to tasks; one pair has few segments by nature.
+    Pairs of ends are independent, so they are dealt to tasks; one pair has few segments by nature. Lines of
+    fewer than two points stay as they are.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(f, np.array([(c["lat"], c["lon"]) for c in line])) for f, line in sorted(zip(pdf.frequency, pdf.coords, strict=True), key=lambda r: -len(r[1]))]
-        kept: list[list] = []
-        for f, line in rows:
-            for other in kept:
-                length = [np.hypot(*np.diff(x, axis=0).T).sum() for x in (line, other[1])]
-                if min(length) >= size * max(length) and overlap(line, other[1], km)[0] >= share and overlap(other[1], line, km)[0] >= share:
-                    other[0] += f
-                    break
-            else:
-                kept.append([f, line])
+        lines = [(f, np.array([(c["lat"], c["lon"]) for c in line]).reshape(-1, 2)) for f, line in zip(pdf.frequency, pdf.coords, strict=True)]
+        kept = resolve([x for x in lines if len(x[1]) > 1], km, share, size) + [x for x in lines if len(x[1]) < 2]
         return pd.DataFrame([(pdf.a.iloc[0], pdf.b.iloc[0], f, [{"lat": float(x), "lon": float(y)} for x, y in line]) for f, line in kept], columns=["a", "b", "frequency", "coords"])
 
     keyed = segments.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "frequency", "coords")
