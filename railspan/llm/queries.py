@@ -54,4 +54,43 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_main_text, op3_credentials, op4_packing, op5_quality, op6_substrings, op7_fingerprints, op8_pseudonyms, op9_toxicity, op10_bpe)}
 
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+#: Links by exact prefix filtering: of two sets that are alike, ordered from the rarest shingle on, the first n - ceil(0.8 n) + 1 share one.
+NEAR_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS x FROM documents)),
+g AS (SELECT doc_id, word || coalesce(' ' || lead(word) OVER o, '') AS shingle, lead(word) OVER o IS NULL AS ends, i FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, shingle FROM g WHERE NOT ends OR i = 1),
+sets AS (SELECT doc_id, list_sort(list(shingle)) AS x FROM s GROUP BY 1),
+classes AS MATERIALIZED (SELECT x, min(doc_id) AS rep, len(x) AS n FROM sets GROUP BY x),
+e AS (SELECT rep, n, unnest(x) AS shingle FROM classes),
+f AS (SELECT rep, n, shingle, count(*) OVER (PARTITION BY shingle) AS df FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY df, shingle) AS k FROM f),
+p AS MATERIALIZED (SELECT rep, n, shingle FROM r WHERE k <= n - (4 * n + 4) // 5 + 1 AND df > 1),
+c AS (SELECT DISTINCT a.rep AS u, b.rep AS v FROM p a JOIN p b ON a.shingle = b.shingle AND a.rep < b.rep AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+m AS (SELECT u, v, a.n + b.n AS total, len(list_intersect(a.x, b.x)) AS shared FROM c JOIN classes a ON a.rep = u JOIN classes b ON b.rep = v),
+links AS (SELECT u, v FROM m WHERE 100 * shared >= 80 * (total - shared)),
+edges AS MATERIALIZED (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT a, v FROM reach JOIN edges ON b = u),
+comp AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY 1)
+SELECT doc_id, CAST(coalesce(len(sets.x), 0) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN sets USING (doc_id) LEFT JOIN classes ON classes.x = sets.x LEFT JOIN comp USING (rep)"""
+
+#: Twenty words by runs of doubling length; a window is a repeat unless it is the first of its words.
+REPEATS_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS x FROM documents)),
+w2 AS (SELECT *, word || ' ' || lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS a2 FROM w),
+w4 AS (SELECT *, a2 || ' ' || lead(a2, 2) OVER (PARTITION BY doc_id ORDER BY i) AS a4 FROM w2),
+w8 AS (SELECT doc_id, i, word, a4, a4 || ' ' || lead(a4, 4) OVER (PARTITION BY doc_id ORDER BY i) AS a8 FROM w4),
+w16 AS (SELECT doc_id, i, word, a4, a8 || ' ' || lead(a8, 8) OVER (PARTITION BY doc_id ORDER BY i) AS a16 FROM w8),
+w20 AS (SELECT doc_id, i, word, a16 || ' ' || lead(a4, 16) OVER (PARTITION BY doc_id ORDER BY i) AS a20 FROM w16),
+seen AS (SELECT doc_id, i, word, a20 IS NOT NULL AND row_number() OVER (PARTITION BY a20 ORDER BY doc_id, i) > 1 AS again FROM w20),
+gone AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS out FROM seen),
+k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE out) AS gone, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT out) AS kept FROM gone GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_near_duplicates": NEAR_SQL, "op6_substrings": REPEATS_SQL}
