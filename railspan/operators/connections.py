@@ -181,3 +181,14 @@ def hold_advice(conn: DataFrame, rec: DataFrame, least: int = 2) -> DataFrame:
     out = out.withColumn("by_day", day_wins & F.col("d").isNotNull() & (F.col("d.net") > F.col("u.net")))
     return out.select(*pair, "missed", F.when(F.col("by_day"), -F.col("d.w")).alias("dow"), F.when(F.col("by_day"), -F.col("d.h")).otherwise(-F.col("u.h")).alias("hold"),
                       F.when(F.col("by_day"), F.col("d.net")).otherwise(F.col("u.net")).cast("long").alias("net")).filter(F.col("net") >= least)
+
+
+def close_call_ratios(conn: DataFrame) -> DataFrame:
+    """Shares of the connections, and of those that hung in the balance, that were just made."""
+    return rollup(conn).select("planned", "missed", "close_call", (F.col("close_call") / F.greatest("planned", F.lit(1))).alias("of_planned"), (F.col("close_call") / F.greatest(F.col("close_call") + F.col("missed"), F.lit(1))).alias("of_doubtful"))
+
+
+def by_weekday(conn: DataFrame) -> DataFrame:
+    """Connections of each of the seven weekdays; 0 where there are none."""
+    days = conn.sparkSession.range(7).select(F.col("id").cast("int").alias("dow"))
+    return days.join(rollup(conn, "dow"), "dow", "left").select("dow", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("planned", "missed", "close_call")])

@@ -120,6 +120,16 @@ def reach_time(cells: DataFrame, stops: DataFrame, speed: float = 5.0, limit: in
     return cells.join(s).groupBy("i", "j").agg(F.min(t).alias("time"))
 
 
+def nearest_cells(cells: DataFrame, stops: DataFrame, limit: int = 20_000) -> DataFrame:
+    """The stop (id, lat, lon) nearest in degrees to each cell, the least id among equals: a Voronoi map as a raster. Stops are counted first and must be few."""
+    n = stops.limit(limit + 1).count()
+    if n > limit:
+        raise ValueError(f"more than {limit} stops: narrow the area")
+    s = F.broadcast(stops.select("id", F.col("lat").alias("slat"), F.col("lon").alias("slon")))
+    planar = F.pow(F.col("lat") - F.col("slat"), 2) + F.pow(F.col("lon") - F.col("slon"), 2)
+    return cells.join(s).groupBy("i", "j").agg(F.min(F.struct(planar.alias("p"), "id")).alias("b")).select("i", "j", F.col("b.id").alias("id"))
+
+
 def coverage(times: DataFrame) -> DataFrame:
     t = F.col("time")
     return times.agg(F.percentile(t, F.lit(0.5)).alias("median"), F.avg(t).alias("mean"), F.percentile(t, F.lit(0.95)).alias("p95"), *[F.avg((t <= m).cast("int") * 100.0).alias(f"pct_{m}min") for m in (5, 10, 15, 20, 30)])
@@ -171,6 +181,43 @@ def map_to_track(freq: DataFrame, track: DataFrame, paths: DataFrame) -> DataFra
     return direct.unionByName(path).unionByName(line).groupBy("a", "b").agg(F.sum("freq").alias("freq"), F.min("how").alias("how"))
 
 
+def _hops(df: DataFrame, pos: str, *keep: str) -> DataFrame:
+    pairs = F.arrays_zip(F.slice("hops", 1, F.size("hops") - 1).alias("x"), F.slice("hops", 2, F.size("hops") - 1).alias("y"))
+    return df.filter("size(hops) > 1").select(*keep, F.posexplode(pairs).alias(pos, "h")).select(*keep, pos, F.col("h.x").alias("x"), F.col("h.y").alias("y"))
+
+
+def path_geometry(paths: DataFrame, track: DataFrame, detours: DataFrame, points: DataFrame) -> DataFrame:
+    """Coordinates of every hop of paths (from_id, to_id, hops): its track (a, b, coords), else the tracks of a detour
+    (from_id, to_id, hops), else the straight line between its points (id, lat, lon); coords run along the hop."""
+    key = ["from_id", "to_id"]
+    lines = track.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), F.when(F.col("a") <= F.col("b"), F.col("coords")).otherwise(F.reverse("coords")).alias("c"))
+    lines = lines.groupBy("p", "q").agg(F.max_by("c", F.struct(F.size("c"), "c")).alias("c"))  # the longest of several
+
+    def along(hops):
+        met = hops.join(lines, (F.least("x", "y") == F.col("p")) & (F.greatest("x", "y") == F.col("q")), "left")
+        return met.withColumn("coords", F.when(F.col("x") <= F.col("y"), F.col("c")).otherwise(F.reverse("c"))).drop("p", "q", "c")
+
+    met = along(_hops(paths, "pos", *key))
+    direct = met.filter("coords is not null").withColumns({"part": F.lit(0), "how": F.lit("track")})
+    rest = met.filter("coords is null").drop("coords").join(detours.select(F.col("from_id").alias("x"), F.col("to_id").alias("y"), "hops"), ["x", "y"], "left")
+    around = along(_hops(rest.drop("x", "y"), "part", *key, "pos")).withColumn("how", F.lit("detour"))
+    end = lambda n: points.select(F.col("id").cast("string").alias(n), F.struct(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).alias(f"at_{n}"))
+    line = (rest.filter("hops is null").join(end("x"), "x").join(end("y"), "y")
+            .withColumns({"coords": F.array("at_x", "at_y"), "part": F.lit(0), "how": F.lit("line")}))
+    cols = [*key, "pos", "part", "x", "y", "how", "coords"]
+    return direct.select(cols).union(around.select(cols)).union(line.select(cols))
+
+
+def active_stops(stops: DataFrame, served: DataFrame) -> DataFrame:
+    """Stops (operator, stop_id, parent_station, ordinal) that, or whose parent, is in served (operator, stop_id): the first one for each operator and station."""
+    seen = served.select("operator", "stop_id").distinct()
+    own = seen.withColumn("own", F.lit(True))
+    up = seen.select("operator", F.col("stop_id").alias("parent_station"), F.lit(True).alias("up"))
+    kept = stops.join(own, ["operator", "stop_id"], "left").join(up, ["operator", "parent_station"], "left").filter("own or up").drop("own", "up")
+    station = F.concat_ws(":", "operator", F.coalesce("parent_station", "stop_id"))
+    return best_by(kept.withColumn("station", station), "station", F.col("ordinal"), F.col("stop_id"))
+
+
 def components(edge: DataFrame, folder: str, max_rounds: int = 50) -> DataFrame:
     """(id, component) by least-label propagation with pointer jumps; each round is written below folder, so lineage stays short."""
     spark = edge.sparkSession

@@ -112,6 +112,24 @@ def rain_sensitive(rec: DataFrame, weather: DataFrame, rain: float = 2.0, least_
             .orderBy(F.desc("ratio"), "train_no").limit(k))
 
 
+def wind_sensitive(rec: DataFrame, weather: DataFrame, wind: float = 40.0, least_days: int = 5, k: int = 30) -> DataFrame:
+    """Trains by their mean daily delay on windy over calm days; only where the calm mean is above 0.1 minutes."""
+    day = rec.groupBy("train_no", "day_date").agg(F.avg("d").alias("m")).join(weather, "day_date")
+    blows = F.col("wind") >= wind
+    agg = day.groupBy("train_no").agg(F.count("*").alias("n_days"), F.avg(F.when(blows, F.col("m"))).alias("windy"), F.avg(F.when(~blows, F.col("m"))).alias("calm"))
+    return (agg.filter((F.col("n_days") >= least_days) & (F.col("calm") > 0.1) & F.col("windy").isNotNull()).withColumn("ratio", F.round(F.col("windy") / F.col("calm"), 6))
+            .orderBy(F.desc("ratio"), "train_no").limit(k))
+
+
+def hourly_weather(rec: DataFrame, weather: DataFrame, factor: str, col: str = "dep_sec", least: int = 5) -> DataFrame:
+    """For each hour the mean of the days' mean delays, the mean of a factor of weather (day_date, hour, ...), the share
+    of late records over all days, and the correlation over the days if there are enough of them."""
+    hour = F.floor(F.col(col) / 3600).cast("int")
+    day = rec.groupBy("day_date", hour.alias("hour")).agg(F.avg("d").alias("m"), F.count("*").alias("n"), F.count_if(F.col("d") > 1).alias("late"))
+    return (day.join(weather.select("day_date", "hour", F.col(factor).alias("f")), ["day_date", "hour"]).groupBy("hour")
+            .agg(F.count("*").alias("n_days"), F.avg("m").alias("avg_delay"), F.avg("f").alias("avg_factor"), (F.sum("late") * 100.0 / F.sum("n")).alias("pct_late"), F.when(F.count("*") >= least, safe_corr(F.col("f"), F.col("m"))).alias("r")))
+
+
 def cancelled(scheduled: DataFrame, observed: DataFrame, least_stops: int = 2) -> DataFrame:
     """Scheduled trains (day_date, train_no, stops) of enough stops that were not observed that day."""
     return scheduled.filter(F.size("stops") >= least_stops).join(observed.select("day_date", "train_no").distinct(), ["day_date", "train_no"], "left_anti")
@@ -124,6 +142,12 @@ def cancelled_daily(scheduled: DataFrame, observed: DataFrame, least_stops: int
     return out.withColumn("pct", F.col("deleted") * 100.0 / F.col("scheduled")).withColumn("suspicious", F.col("pct") > suspicious)
 
 
+def cancelled_hourly(gone: DataFrame) -> DataFrame:
+    """Cancelled trains (with an hour) in each of the 24 hours; 0 where there are none."""
+    n = gone.groupBy("hour").agg(F.count("*").alias("n"))
+    return gone.sparkSession.range(24).select(F.col("id").cast("int").alias("hour")).join(n, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("deleted"))
+
+
 def cancelled_segments(gone: DataFrame) -> DataFrame:
     """Undirected consecutive stops of the cancelled trains."""
     pairs = gone.select(F.explode(F.arrays_zip(F.slice("stops", 1, F.size("stops") - 1).alias("x"), F.slice("stops", 2, F.size("stops") - 1).alias("y"))).alias("p"))

@@ -160,6 +160,44 @@ def rail_distances(origins: DataFrame, rails: DataFrame, limit: int = MAX_EDGES)
     return origins.select(F.col("id").cast("string").alias("origin")).mapInPandas(run, "origin string, station string, km double, hops array<string>")
 
 
+def hop_paths(pairs: DataFrame, track: DataFrame, max_hops: int = 30, limit: int = MAX_EDGES) -> DataFrame:
+    """(from_id, to_id, hops) for the pairs that undirected track (a, b) links within max_hops: a path of fewest hops.
+
+    Breadth first from each origin, neighbours in order of their ids, so equals are settled alike in every run.
+    """
+    if track.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} track edges")
+    near = defaultdict(set)
+    for r in track.select(F.col("a").cast("string"), F.col("b").cast("string")).distinct().collect():
+        near[r.a].add(r.b)
+        near[r.b].add(r.a)
+    net = pairs.sparkSession.sparkContext.broadcast({x: sorted(y) for x, y in near.items()})
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for origin, wanted in zip(pdf.from_id, pdf.wanted, strict=True):
+                before, ring = {origin: None}, [origin]
+                for _ in range(max_hops):
+                    following = []
+                    for x in ring:
+                        for y in net.value.get(x, ()):
+                            if y not in before:
+                                before[y] = x
+                                following.append(y)
+                    ring = following
+                for to in wanted:
+                    if to in before and to != origin:
+                        hops = [to]
+                        while hops[-1] != origin:
+                            hops.append(before[hops[-1]])
+                        rows.append((origin, to, hops[::-1]))
+            yield pd.DataFrame(rows, columns=["from_id", "to_id", "hops"])
+
+    by_origin = pairs.groupBy(F.col("from_id").cast("string").alias("from_id")).agg(F.collect_set(F.col("to_id").cast("string")).alias("wanted"))
+    return by_origin.mapInPandas(run, "from_id string, to_id string, hops array<string>")
+
+
 def speed_matrix(found: DataFrame, distances: DataFrame, n_hours: int) -> DataFrame:
     """Commercial speed of each pair that is reached in half of the hours, at least."""
     best = found.groupBy("origin", "station", F.floor(F.col("start") / 60).alias("hour")).agg(F.min("minutes").alias("m")).groupBy("origin", "station").agg(F.count("*").alias("hours"), F.min("m").alias("minutes"))

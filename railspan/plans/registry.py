@@ -444,17 +444,14 @@ def dedup_best(s, d):
     return x.select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("value"))
 
 
-def _supply(s, d):
-    return b.table(s, d, "lineitem").filter("l_partkey % 40 = l_suppkey % 40").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).distinct()
-
-
-@query()
+@query("SELECT id, least(min(o_orderkey * 2) OVER w, c) AS component FROM (SELECT o_orderkey * 2 AS id, o_orderkey, o_custkey * 2 + 1 AS c FROM orders UNION SELECT o_custkey * 2 + 1, o_orderkey, o_custkey * 2 + 1 FROM orders) WINDOW w AS (PARTITION BY c) QUALIFY row_number() OVER (PARTITION BY id) = 1")
 def components(s, d):
     import tempfile
     import uuid
 
     at = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="railspan-")
-    return nw.components(_supply(s, d), f"{at}/components-{uuid.uuid4().hex}")
+    e = b.table(s, d, "orders").select((F.col("o_orderkey") * 2).alias("a"), (F.col("o_custkey") * 2 + 1).alias("b"))
+    return nw.components(e, f"{at}/components-{uuid.uuid4().hex}")
 
 
 def _reached(s, d):
@@ -469,7 +466,7 @@ def reach(s, d):
 @query()
 def duration_to(s, d):
     e = se.reverse(nw.edges(b.stop_times(s, d)))
-    jobs = b.places(s, d).filter("id <= 3").select(F.col("id").cast("string").alias("origin"), F.lit(-600).alias("start"), F.lit(None).cast("map<string,double>").alias("seeds"))
+    jobs = b.places(s, d).select(F.col("id").cast("string").alias("origin"), F.lit(-600).alias("start"), F.lit(None).cast("map<string,double>").alias("seeds"))
     return se.search(jobs, e, budget=180).groupBy("station").agg(F.min("minutes").alias("minutes"), F.round(F.avg("minutes"), 4).alias("mean"), F.max("minutes").alias("most"))
 
 
@@ -499,3 +496,94 @@ def door_to_door(s, d):
     seeds = nw.within_radius(p, 50.85, 4.35, 60.0).agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), "walk_min"))).alias("seeds"))
     jobs = seeds.select(F.lit("door").alias("origin"), F.explode(F.sequence(F.lit(300), F.lit(540), F.lit(15))).alias("start"), "seeds").filter("size(seeds) > 0")
     return se.sweep(se.search(jobs, nw.edges(b.stop_times(s, d)), budget=900, penalty=3, walks=nw.transfer_band(p, 4.0)))
+
+
+@query(f"WITH {b.CONN} SELECT {_ROLL}, round(CAST(sum(close_call) AS DOUBLE) / greatest(count(*), 1), 6) AS of_planned, round(CAST(sum(close_call) AS DOUBLE) / greatest(sum(close_call) + sum(missed), 1), 6) AS of_doubtful FROM conn")
+def close_call_ratios(s, d):
+    return co.close_call_ratios(_conn(s, d)).withColumns({"of_planned": r("of_planned"), "of_doubtful": r("of_doubtful")})
+
+
+@query(f"WITH {b.CONN} SELECT CAST(i AS INTEGER) AS dow, count(dow) AS planned, CAST(coalesce(sum(missed), 0) AS BIGINT) AS missed, CAST(coalesce(sum(close_call), 0) AS BIGINT) AS close_call FROM range(7) g(i) LEFT JOIN conn ON dow = i GROUP BY 1")
+def weekday_dense(s, d):
+    return co.by_weekday(_conn(s, d))
+
+
+@query(f"""WITH {b.DREC}, {b.WEATHER}, x AS (SELECT train_no, day_date, avg(d) AS m FROM drec GROUP BY 1, 2), a AS (SELECT train_no, count(*) AS n_days, avg(m) FILTER (WHERE wind >= 40) AS w, avg(m) FILTER (WHERE wind < 40) AS c FROM x JOIN weather USING (day_date) GROUP BY 1)
+SELECT train_no, n_days, round(w, 6) AS windy, round(c, 6) AS calm, round(w / c, 6) AS ratio FROM a WHERE n_days >= 5 AND c > 0.1 AND w IS NOT NULL ORDER BY ratio DESC, train_no LIMIT 30""")
+def wind_sensitivity(s, d):
+    return pu.wind_sensitive(_d(s, d), b.weather(s, d)).withColumns({"windy": r("windy"), "calm": r("calm")})
+
+
+@query(f"""WITH {b.DREC}, h AS (SELECT CAST(ts AS DATE) AS day_date, CAST(hour(ts) AS INTEGER) AS hour, CAST(sum(event_id) % 7 AS DOUBLE) AS rain FROM events GROUP BY 1, 2),
+x AS (SELECT day_date, CAST(dep_sec // 3600 AS INTEGER) AS hour, avg(d) AS m, count(*) AS n, count(*) FILTER (WHERE d > 1) AS late FROM drec GROUP BY 1, 2)
+SELECT hour, count(*) AS n_days, round(avg(m), 6) AS avg_delay, round(avg(rain), 6) AS avg_rain, round(sum(late) * 100.0 / sum(n), 6) AS pct_late, CASE WHEN count(*) >= 5 THEN round(corr(rain, m), 3) END AS r FROM x JOIN h USING (day_date, hour) GROUP BY 1""")
+def weather_hourly(s, d):
+    w = b.table(s, d, "events").groupBy(F.to_date("ts").alias("day_date"), F.hour("ts").alias("hour")).agg((F.sum("event_id") % 7).cast("double").alias("rain"))
+    return pu.hourly_weather(_d(s, d), w, "rain").select("hour", "n_days", r("avg_delay").alias("avg_delay"), r("avg_factor").alias("avg_rain"), r("pct_late").alias("pct_late"), r("r", 3).alias("r"))
+
+
+@query(f"WITH {b.SCHED} SELECT CAST(i AS INTEGER) AS hour, count(train_no) AS deleted FROM range(24) g(i) LEFT JOIN gone ON (train_no * 37) % 1200 // 60 = i GROUP BY 1")
+def cancelled_hourly(s, d):
+    gone = pu.cancelled(b.scheduled(s, d), b.observed(s, d))
+    return pu.cancelled_hourly(gone.withColumn("hour", F.floor((F.col("train_no") * 37) % 1200 / 60).cast("int")))
+
+
+#: Two made-up areas: name, south, north, west, east.
+AREAS = [("north", 50.6005, 51.4005, 3.0005, 5.5005), ("south", 49.6005, 50.4005, 4.0005, 6.0005)]
+
+
+@query(f"""WITH {b.PLACES}, areas(name, s, n, w, e) AS (VALUES {", ".join(f"('{a[0]}', {a[1]}::DOUBLE, {a[2]}::DOUBLE, {a[3]}::DOUBLE, {a[4]}::DOUBLE)" for a in AREAS)}), c AS (SELECT name, (s + n) / 2 AS lat, (w + e) / 2 AS lon FROM areas),
+x AS (SELECT places.id, min(name) AS area FROM places, areas WHERE lat BETWEEN s AND n AND lon BETWEEN w AND e GROUP BY 1),
+y AS (SELECT places.id, arg_min(c.name, {b.km_sql('places', 'c')}) AS near, min({b.km_sql('places', 'c')}) AS km FROM places, c GROUP BY 1)
+SELECT id, coalesce(area, CASE WHEN km < 60 THEN near END) AS area FROM y LEFT JOIN x USING (id)""")
+def area_of_stops(s, d):
+    box = lambda a: [[[a[3], a[1]], [a[4], a[1]], [a[4], a[2]], [a[3], a[2]]]]
+    areas = s.createDataFrame([(a[0], box(a)) for a in AREAS], "name string, rings array<array<array<double>>>")
+    centres = s.createDataFrame([(a[0], (a[1] + a[2]) / 2, (a[3] + a[4]) / 2) for a in AREAS], "name string, lat double, lon double")
+    return nw.assign_area(b.places(s, d), areas, centres, 60.0)
+
+
+@query(f"""WITH {b.PLACES}, g AS (SELECT i, j, 49.4 + i * ((51.6 - 49.4) / 39)::DOUBLE AS lat, 2.5 + j * ((6.5 - 2.5) / 39)::DOUBLE AS lon FROM range(40) a(i), range(40) c(j)), k AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, id, row_number() OVER (PARTITION BY i, j ORDER BY pow(g.lat - p.lat, 2) + pow(g.lon - p.lon, 2), id) AS k FROM g, places p) SELECT i, j, id FROM k WHERE k = 1""")
+def nearest_cells(s, d):
+    return nw.nearest_cells(nw.raster(s, 40), b.places(s, d))
+
+
+@query("SELECT CAST(greatest(a, DATE '2025-01-03') AS VARCHAR) AS start, CAST(least(z, DATE '2025-11-01') AS VARCHAR) AS finish, name FROM (VALUES "
+       + ", ".join(f"(DATE '{a}', DATE '{z}', '{n.replace(chr(39), chr(39) * 2)}')" for a, z, n in cal.SCHOOL_HOLIDAYS) + ") h(a, z, name) WHERE z >= DATE '2025-01-03' AND a <= DATE '2025-11-01'")
+def holiday_periods(s, d):
+    return cal.clipped_periods(cal.school_holidays(s), "2025-01-03", "2025-11-01").select(F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("finish"), "name")
+
+
+@query("""WITH st AS (SELECT CAST(s_nationkey % 3 AS VARCHAR) AS operator, s_suppkey AS stop_id, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey // 4 END AS parent FROM supplier), v AS (SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45),
+served AS (SELECT operator, stop_id FROM st JOIN v ON id = stop_id), k AS (SELECT *, operator || ':' || CAST(coalesce(parent, stop_id) AS VARCHAR) AS station FROM st WHERE (operator, stop_id) IN (SELECT (operator, stop_id) FROM served) OR (operator, parent) IN (SELECT (operator, stop_id) FROM served))
+SELECT station, stop_id FROM k QUALIFY row_number() OVER (PARTITION BY station ORDER BY stop_id) = 1""")
+def active_stops(s, d):
+    k = F.col("s_suppkey")
+    stops = b.table(s, d, "supplier").select((F.col("s_nationkey") % 3).cast("string").alias("operator"), k.alias("stop_id"), F.when(k % 4 == 0, F.floor(k / 4)).alias("parent_station"), k.alias("ordinal"))
+    served = b.table(s, d, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 45").select(F.col("l_suppkey").alias("stop_id")).distinct().join(stops.select("operator", "stop_id"), "stop_id")
+    return nw.active_stops(stops, served).select("station", "stop_id")
+
+
+def _track(s, d):
+    """Made-up track: stops within 60 km of one another."""
+    return nw.transfer_band(b.places(s, d), 60.0).filter("stop_a < stop_b").select(F.col("stop_a").cast("string").alias("a"), F.col("stop_b").cast("string").alias("b"))
+
+
+def _flow(s, d):
+    f = nw.segment_frequency(nw.edges(b.stop_times(s, d)), 7)
+    return f.select(F.col("from_id").cast("string").alias("from_id"), F.col("to_id").cast("string").alias("to_id"), "freq").filter("from_id <> to_id")
+
+
+@query()
+def track_frequency(s, d):
+    f, t = _flow(s, d), _track(s, d)
+    return nw.map_to_track(f, t, se.hop_paths(f, t)).withColumn("freq", r("freq"))
+
+
+@query()
+def track_geometry(s, d):
+    p, t = b.places(s, d), _track(s, d)
+    spot = lambda n: p.select(F.col("id").cast("string").alias(n), F.struct("lat", "lon").alias(f"at_{n}"))
+    track = t.join(spot("a"), "a").join(spot("b"), "b").select("a", "b", F.array("at_a", "at_b").alias("coords"))
+    f = _flow(s, d).select("from_id", "to_id")
+    return nw.path_geometry(f.withColumn("hops", F.array("from_id", "to_id")), track, se.hop_paths(f, t, 10), p)
