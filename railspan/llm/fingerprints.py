@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from railspan.llm.common import bound_batches, mix, only, partitions
 
 LEVELS, MINIMA = 4, 64
-#: Texts shorter than these many code points also use names from level 1, or from level 2.
-SHORT, MEDIUM = 150, 600
 #: Code points parsed at once.
 CHUNK = 200_000
 
@@ -96,18 +94,12 @@ def _chunk(texts: list[str], a: np.ndarray, b: np.ndarray) -> list[str]:
         x = mix(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64))
         first = np.zeros(len(x), bool)
         first[np.concatenate([[0], np.cumsum(sizes[full])[:-1]])] = True
-        lowest = np.where(sizes[full] < SHORT, 1, np.where(sizes[full] < MEDIUM, 2, 3))
         for level in range(1, LEVELS + 1):
             x, first = _phrases(x, first)
-            begins = np.flatnonzero(first)
-            owner = np.repeat(np.arange(len(full)), np.diff(np.append(begins, len(x))))
-            use = lowest[owner] <= level
-            if use.any():
-                names, of = x[use] + np.uint64(level), owner[use]
-                at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                m = np.minimum.reduceat(names[:, None] * a + b, at, axis=0)
-                rows = full[of[at]]
-                least[rows] = np.minimum(least[rows], m)
+            at = np.flatnonzero(first)
+            for k in range(MINIMA):
+                m = np.minimum.reduceat((x + np.uint64(level)) * a[k] + b[k], at)
+                least[full, k] = np.minimum(least[full, k], m)
     short = (mix(least) >> np.uint64(48)).astype(">u2")
     return [row.tobytes().hex() for row in short]
 

@@ -200,6 +200,18 @@ def test_shared_passages_share_names_wherever_they_stand():
     assert fingerprints.fingerprints([]) == [] and len(set(fingerprints.fingerprints(["", "a" * 100, "", "ab" * 500]))) == 3
 
 
+@pytest.mark.parametrize("size", [150, 600])
+def test_near_copies_of_any_length_share_names(spark, size):
+    r = random.Random(size)
+    for _ in range(20):
+        text = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(200))[: size + 2]
+        a, b = fingerprints.fingerprints([text, text[: size - 2]])
+        assert fingerprints.likeness(a, b) > 0.8
+    rows = [(1, text), (2, "short")]  # the edited text of the first falls below the size
+    got = {x.doc_id: x.near_edited for x in fingerprints.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] > 0.5
+
+
 def test_pseudonyms_keep_format_and_links():
     p = pii.Pseudonyms(b"k")
     text = "Mail jo.98@mail5.example.com, call +1 (017) 555-7713, card 4929348385146306, host 97.51.17.173, born 1987-02-28, paid 31/12/2019, id 123-45-6789, IBAN GB82 WEST 1234 5698 7654 32."
