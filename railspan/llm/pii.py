@@ -25,14 +25,34 @@ DEFAULT_KEY = b"railspan-demo-key"
 
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()
 KINDS = ("email", "ip", "card", "iban", "ssn", "date", "phone")
-FIND = re.compile(
-    r"(?P<email>(?<![\w.+-])[\w.+-]{1,64}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9]))"
-    r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d))"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9]))"
-    r"|(?P<card>(?<![A-Za-z0-9.+-])(?:\d{13,19}|\d{4}(?:[\x20-]\d{4}){3}|\d{4}[\x20-]\d{6}[\x20-]\d{5})(?![A-Za-z0-9]|[.-]\d))"
-    r"|(?P<ssn>(?<![A-Za-z0-9-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9]|-\d))"
-    r"|(?P<date>(?<![A-Za-z0-9./-])(?:\d{4}([-/.])\d{2}\7\d{2}|\d{2}([-/.])\d{2}\8\d{4})(?![A-Za-z0-9]|[./-]\d))"
-    r"|(?P<phone>(?<![A-Za-z0-9+])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[\x20.-]\d{2,4}){2,4}(?![A-Za-z0-9]|[.-]\d))")
+END = r"(?![A-Za-z0-9]|[.-]\d)"
+PATTERNS = {
+    "email": r"(?<![\w.+-])[\w.+-]{1,64}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "card": r"(?<![A-Za-z0-9.+-])(?:\d{13,19}|\d{4}(?:[\x20-]\d{4}){3}|\d{4}[\x20-]\d{6}[\x20-]\d{5})" + END,
+    "ssn": r"(?<![A-Za-z0-9-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9]|-\d)",
+    "date": r"(?<![A-Za-z0-9./-])(?:\d{4}(?P<ys>[-/.])\d{2}(?P=ys)\d{2}|\d{2}(?P<ds>[-/.])\d{2}(?P=ds)\d{4})(?!(?!T\d\d)[A-Za-z0-9]|[./-]\d)",
+    "phone": r"(?<![A-Za-z0-9+])(?:\+\d{1,15}+(?:[\x20.-]?\(\d{1,5}\)|[\x20.-]\d{1,12}+|(?<=\))\d{1,12}+){0,7}"
+             r"|(?:\(\d{2,4}\)|\d{2,4})(?:[\x20.-]\d{2,4}){2,4}" + END + ")",
+}
+FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+EACH = {k: re.compile(p) for k, p in PATTERNS.items()}
+#: A number in groups, for codes and lengths that no plan below knows.
+GROUPED = re.compile(r"(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[\x20.-]\d{2,4}){2,4}" + END)
+NATIONAL = re.compile(r"(?:\(\d{3}\)[\x20.-]?\d{3}|\d{3}([\x20.-])\d{3}(?=\1))[\x20.-]\d{4}")
+# Length of the accounts of each country (ISO 13616).
+IBAN_SIZE = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,TL,SO 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:FR,GR,IT,MC,MR,SM,BI,DJ "
+    "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
+# Country codes of one and two digits (all others have three), and least and most national digits.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+PLANS = {c: (int(lo), int(hi)) for c, lo, hi in (x.split(":") for x in (
+    "1:10:10 7:10:10 20:8:10 27:9:9 30:10:10 31:9:9 32:8:9 33:9:9 34:9:9 36:8:9 39:8:11 40:9:9 41:9:9 43:7:12 44:9:10 45:8:8 46:7:9 47:8:8 48:9:9 49:7:11 "
+    "52:10:10 54:10:11 55:10:11 56:9:9 57:8:10 60:8:10 61:9:9 62:8:12 63:8:10 64:8:10 65:8:8 66:8:9 81:9:10 82:8:10 84:9:10 86:10:11 90:10:10 91:10:10 "
+    "92:9:10 351:9:9 353:7:9 358:7:11 359:8:9 370:8:8 371:8:8 372:7:8 380:9:9 385:8:9 386:8:8 420:9:9 421:9:9 852:8:8 886:8:9 966:8:9 971:8:9 972:8:9 974:8:8").split())}
+TOKEN = re.compile(r"[A-Za-z0-9]+|.", re.S)
 HAS = re.compile(r"[0-9@]")
 
 
@@ -153,13 +173,48 @@ def _ip(text: str, f: Feistel) -> str | None:
     return ".".join(map(str, v.to_bytes(4, "big")))
 
 
+def _code(text: str) -> str:
+    """The country code as it is set apart, else by the world's plan; empty without a plus."""
+    if text[0] != "+":
+        return ""
+    apart = re.match(r"\+\d{1,3}(?=\D)", text)
+    return apart.group() if apart else text[: 1 + next((n for n in (1, 2) if text[1 : 1 + n] in SHORT_CODES), 3)]
+
+
+def _planned(text: str) -> bool:
+    """Whether the number has a length of its country's plan, or the form of a North American one."""
+    code = _code(text)
+    if not code:
+        return NATIONAL.fullmatch(text) is not None
+    if code[1:] not in SHORT_CODES and len(code) < 4:
+        return False
+    least, most = PLANS.get(code[1:], (7, 16 - len(code)))
+    return least <= sum(c.isdigit() for c in text[len(code) :]) <= most
+
+
+def readings(kind: str, text: str, m: re.Match) -> list[int]:
+    """Where a value that begins at the match may end, best reading first."""
+    if kind == "iban":
+        size = IBAN_SIZE.get(m.group()[:2], 0)
+        part = re.compile(rf"[A-Z0-9](?:\x20?[A-Z0-9]){{{size - 1}}}(?![A-Za-z0-9])").match(text, m.start()) if size else None
+        return [part.end(), m.end()] if part else [m.end()]
+    if kind == "phone":
+        stop = re.compile(END)
+        ends = [x.end() for x in re.finditer(r"\d+\)?", m.group())][::-1]
+        ends = [m.start() + e for e in ends if stop.match(text, m.start() + e)]
+        grouped = GROUPED.match(text, m.start())
+        return [e for e in ends if _planned(text[m.start() : e])] + ([grouped.end()] if grouped else [])
+    return [m.end()]
+
+
 def _phone(text: str, f: Feistel) -> str | None:
-    code = re.match(r"\+\d{1,3}(?=\D)", text)
-    lead = code.group() if code else ""
+    lead = _code(text)
     body = text[len(lead) :]
     digits = re.sub(r"\D", "", body)
-    if not 7 <= len(digits) <= 14 or len(digits) + len(lead) > 16 or not (lead or "(" in text or re.fullmatch(r"\d{3}([ .-])\d{3}\1\d{4}", text)):
-        return None
+    if not _planned(text):
+        coded = lead and not text[len(lead)].isdigit()
+        if not 7 <= len(digits) <= 14 or len(digits) + len(lead) > 16 or not (coded or "(" in text and not lead):
+            return None
     return lead + refill(body, f"{f(int(digits), 10 ** len(digits)):0{len(digits)}d}")
 
 
@@ -207,14 +262,29 @@ class Pseudonyms:
         if not HAS.search(text):
             return text, counts
 
-        def sub(m: re.Match) -> str:
-            new = self.of(m.lastgroup, m.group()) if m.lastgroup in MAKERS else None
-            if new is None:
-                return m.group()
-            counts[m.lastgroup] += 1
-            return new
-
-        return FIND.sub(sub, text), counts
+        out, done, at = [], 0, 0
+        while m := FIND.search(text, at):
+            start = m.start()
+            found = self._read(text, m)
+            if found is None:  # one token later another value may begin
+                at = TOKEN.match(text, start).end()
+                continue
+            kind, at, new = found
+            counts[kind] += 1
+            out += (text[done:start], new)
+            done = at
+        return "".join((*out, text[done:])), counts
+
+    def _read(self, text: str, m: re.Match) -> tuple[str, int, str] | None:
+        """Kind, end and pseudonym of the first valid reading at the match's start."""
+        kinds = list(PATTERNS)
+        for kind in kinds[kinds.index(m.lastgroup) :]:
+            one = m if kind == m.lastgroup else EACH[kind].match(text, m.start())
+            for end in readings(kind, text, one) if one else ():
+                new = self.of(kind, text[m.start() : end])
+                if new is not None:
+                    return kind, end, new
+        return None
 
 
 def _run(key: bytes):

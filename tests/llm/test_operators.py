@@ -224,6 +224,22 @@ def test_pseudonyms_keep_format_and_links():
     assert p.replace("")[0] == "" and p.replace("no data")[0] == "no data"
 
 
+@pytest.mark.parametrize(("kind", "value", "before", "behind"), [
+    ("iban", "GB82 WEST 1234 5698 7654 32", "IBAN ", " BIC ABCD"), ("iban", "GB82 WEST 1234 5698 7654 32", "IBAN ", " 12 items"),
+    ("iban", "GB82 WEST 1234 5698 7654 32", "AB12 CDEF 3456 ", ""), ("phone", "+1 (974) 555-3436", "call ", " 20 people"), ("phone", "974-555-3436", "call ", " 20 people"),
+    ("phone", "+4915112345678", "call ", ", or not"), ("phone", "+44 20 7946 0958", "", " 20 times"), ("date", "1987-02-28", "at ", "T10:00"), ("card", "5500 0055 5555 5559", "2024 ", " 12")])
+def test_values_are_found_among_other_tokens(kind, value, before, behind):
+    p = pii.Pseudonyms(b"k")
+    alone, _ = p.replace(value)
+    out, n = p.replace(before + value + behind)
+    assert alone != value and out == before + alone + behind and n[kind] == sum(n.values()) == 1
+
+
+def test_a_number_has_one_pseudonym_however_written():
+    p = pii.Pseudonyms(b"k")
+    assert len({"".join(filter(str.isdigit, p.replace(x)[0])) for x in ("+1 (974) 555-3436", "+19745553436", "+1 974 555 3436")}) == 1
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 97, 1000])
 def test_feistel_permutes(size):
     f = pii.Feistel(b"k", "x")
