@@ -2,7 +2,7 @@
 
 Three base kinds are always reported: assigned secrets, access identifiers and hexadecimal runs. Weak
 candidates (a bare 40-character key, a login, an endpoint) say little alone: each is interval-joined, within
-its document, with the strong parts that complement it, and reported only if one lies within the scope.
+its document, with the parts that complement it, and reported only if one lies within the scope.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ BASE = {
 }
 # A hexadecimal run is maximal, so asking for its least length in the pattern finds the same spans, sooner.
 FAST = {"access": r"(AKIA[A-Z0-9]{14,})", "hex": r"([0-9a-f]{16,})"}
-# Weak kinds, with their pattern, bounds of the length, and the base kinds that complement them.
+# Weak kinds, with their pattern, least length, the base kinds and the weak kinds that complement them. A bare
+# key has 40 characters between its own bounds; a slash may stand in it or beside it.
 WEAK = {
-    "bare_key": (r"([A-Za-z0-9+/]{20,})", 40, 40, ("access",)),
-    "login": (r"((?i:user_?name|user|login|account|client_?id)\x20*[:=]\x20*[A-Za-z0-9._@-]+)", 6, 200, ("assign",)),
-    "endpoint": (r"((?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x00-\x20\x22\x27<>]+)", 8, 2000, ("access", "assign")),
+    "bare_key": (r"(?<![A-Za-z0-9+])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+])", 40, ("access", "assign"), ("login", "endpoint")),
+    "login": (r"((?i:user_?name|user|login|account|client_?id)\x20*[:=]\x20*[A-Za-z0-9._@-]+)", 6, ("assign",), ("bare_key",)),
+    "endpoint": (r"((?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x00-\x20\x22\x27<>]+)", 8, ("access", "assign"), ("bare_key",)),
 }
 #: Code points between two parts that may still belong together.
 SCOPE = 300
@@ -32,7 +33,7 @@ SCOPE = 300
 NONE = "cast(array() as array<struct<kind:string,rank:int,start:long,end:long>>)"
 
 
-def spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int, most: int | None = None) -> Column:
+def spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
     """Array of (kind, rank, start, end) of the pattern's matches whose group is long enough, by start.
 
     The gaps between matches and the matches themselves tile the text; adding up their lengths gives the places.
@@ -47,17 +48,20 @@ def spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: i
     def step(acc, x):
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.coalesce(F.length(x["whole"]), F.lit(0))
-        size = F.length(x["part"])
-        fits = (size >= least) if most is None else size.between(least, most)
+        fits = F.length(x["part"]) >= least
         one = F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), begin.cast("long").alias("start"), end.cast("long").alias("end"))
         return F.struct(end.cast("long").alias("at"), F.when(fits, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
 
     return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda acc: acc["found"])).otherwise(F.expr(NONE))
 
 
-def near_to(weak: Column, parts: Column, scope: int) -> Column:
-    """The weak spans with a part at most `scope` code points before or after them."""
-    return F.filter(weak, lambda w: F.exists(parts, lambda s: (s["start"] - w["end"] <= scope) & (w["start"] - s["end"] <= scope)))
+def near_to(weak: Column, parts: Column, scope: int, apart: bool = False) -> Column:
+    """The weak spans with a part at most `scope` code points before or after them; apart: parts that overlap a span do not count."""
+    def near(w, s):
+        close = (s["start"] - w["end"] <= scope) & (w["start"] - s["end"] <= scope)
+        return close & ((s["start"] >= w["end"]) | (s["end"] <= w["start"])) if apart else close
+
+    return F.filter(weak, lambda w: F.exists(parts, lambda s: near(w, s)))
 
 
 def joined(all_spans: Column) -> Column:
@@ -66,21 +70,25 @@ def joined(all_spans: Column) -> Column:
     return F.concat_ws(",", F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def find_credentials(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+def find_credentials(docs: DataFrame, scope: int = SCOPE, among_weak: bool = False) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked for each row of docs (doc_id, text).
 
     Null texts count as empty: zero counts, the hash of the empty string and no spans. Repeated rows and null
     ids are returned row by row; other columns are ignored. No shuffle: each document is judged in its row.
+    With among_weak, weak parts that complement one another are linked too: a bare key with a login or endpoint.
     """
     df = only(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     for rank, (kind, (pattern, group, least)) in enumerate(BASE.items()):
         df = df.withColumn(kind, spans(F.col("text"), kind, rank, FAST.get(kind, pattern), group, least))
-    linked = []
-    for rank, (kind, (pattern, least, most, wants)) in enumerate(WEAK.items(), len(BASE)):
-        parts = F.concat(*[F.col(w) for w in wants])
-        weak = spans(F.col("text"), kind, rank, pattern, 1, least, most)
-        df = df.withColumn(kind, F.when(F.size(parts) > 0, near_to(weak, parts, scope)).otherwise(F.expr(NONE)))
-        linked.append(kind)
+    for rank, (kind, (pattern, least, _, _)) in enumerate(WEAK.items(), len(BASE)):
+        df = df.withColumn(f"{kind}_all", spans(F.col("text"), kind, rank, pattern, 1, least))
+    for kind, (_, _, wants, others) in WEAK.items():
+        weak, parts = F.col(f"{kind}_all"), F.concat(*wants)
+        found = near_to(weak, parts, scope, kind == "bare_key")
+        if among_weak:
+            found = F.array_union(found, near_to(weak, F.concat(*[f"{o}_all" for o in others]), scope, True))
+        df = df.withColumn(kind, F.when(F.size(weak) > 0, found).otherwise(F.expr(NONE)))
+    linked = list(WEAK)
     base = F.concat(*BASE)
     return df.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],

@@ -18,7 +18,7 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return credential_scan.find_credentials(table(spark, sf_dir, "documents"))
+    return credential_scan.find_credentials(table(spark, sf_dir, "documents"), among_weak=True)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

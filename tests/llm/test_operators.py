@@ -120,6 +120,18 @@ def test_weak_parts_need_a_complement(spark):
     assert got == {1: "access:0:20,bare_key:21:61,endpoint:62:84", 2: "", 3: "access:0:20", 4: "login:0:10,assign:12:37"}
 
 
+def test_weak_parts_complement_one_another(spark, tmp_path):
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEYab"
+    long = "https://host.example/" + "p" * 3000
+    rows = [(1, f"{key} https://host.example/x login: bob"), (2, f"{key} and login: bob"), (3, "https://host.example/x login: bob"), (4, f"{key} alone"), (5, f"key/{key} login: bob"),
+            (6, f"{long} password = hunter2hunter2"), (7, f"login: {'z' * 300} password = hunter2hunter2"), (8, f"{key} password = hunter2hunter2"), (9, f"https://host.example/{key}"), (10, f"token={key}"),
+            (11, f"{key} {'x ' * 400} login: bob")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in queries.op3_credentials(spark, str(tmp_path)).collect()}
+    assert got == {1: "bare_key:0:40,endpoint:41:63,login:64:74", 2: "bare_key:0:40,login:45:55", 3: "", 4: "", 5: "bare_key:4:44,login:45:55", 6: "endpoint:0:3021,assign:3022:3047",
+                   7: "login:0:307,assign:308:333", 8: "bare_key:0:40,assign:41:66", 9: "", 10: "assign:0:46", 11: ""}
+
+
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body><header><a href=/>Home</a></header>
     <nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav><div class="cookie-notice">We use cookies, and more, on this site.</div>
