@@ -218,20 +218,33 @@ def active_stops(stops: DataFrame, served: DataFrame) -> DataFrame:
     return best_by(kept.withColumn("station", station), "station", F.col("ordinal"), F.col("stop_id"))
 
 
-def components(edge: DataFrame, folder: str, max_rounds: int = 50) -> DataFrame:
-    """(id, component) by least-label propagation with pointer jumps; each round is written below folder, so lineage stays short."""
+def _star_round(e: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over edges (u, v): larger, then smaller neighbours are handed the least of a neighbourhood."""
+    both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    down = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    passed = down.join(least, "u").filter("v <> m").select(F.col("v").alias("x"), "m")
+    return passed.select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v")).union(least).distinct()
+
+
+def components(edge: DataFrame, folder: str, max_rounds: int = 60) -> DataFrame:
+    """(id, component) by large-star and small-star steps; each round is written below folder, so lineage stays short.
+
+    Raises if max_rounds do not reach the fixed point.
+    """
     spark = edge.sparkSession
-    both = edge.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edge.select("b", "a")).distinct()
-    labels = both.select(F.col("x").alias("id")).distinct().withColumn("label", F.col("id"))
+    ids = edge.select(F.col("a").alias("id")).union(edge.select("b")).dropna().distinct()
+    now, state = edge.select(F.col("a").alias("u"), F.col("b").alias("v")).dropna().filter("u <> v").distinct(), None
     for turn in range(max_rounds):
-        near = both.join(labels, F.col("y") == F.col("id")).groupBy("x").agg(F.min("label").alias("near"))
-        now = labels.join(near, F.col("id") == F.col("x"), "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        jump = now.select(F.col("id").alias("j"), F.col("new").alias("far"))
-        now = now.join(jump, F.col("new") == F.col("j"), "left").select("id", "label", F.least("new", F.coalesce("far", "new")).alias("new"))
-        path = f"{folder}/labels-{turn}"
+        path = f"{folder}/stars-{turn}"
+        now = _star_round(now)
         now.write.mode("overwrite").parquet(path)
         now = spark.read.schema(now.schema).parquet(path)
-        labels = now.select("id", F.col("new").alias("label"))
-        if now.filter("new <> label").isEmpty():
+        seen = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+        if seen == state:
             break
-    return labels.withColumnRenamed("label", "component")
+        state = seen
+    else:
+        raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
+    return ids.join(now.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

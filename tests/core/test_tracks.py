@@ -1,5 +1,7 @@
 import datetime
 
+import pytest
+
 from railspan.operators import connections as co
 from railspan.operators import network as nw
 from railspan.operators import search as se
@@ -48,6 +50,14 @@ def test_components_of_a_chain_and_a_pair(spark, tmp_path):
     assert got == dict.fromkeys(range(41), 0) | {100: 100, 101: 100}
 
 
+def test_components_of_a_long_descending_chain(spark, tmp_path):
+    edges = spark.createDataFrame([(0, 200), *((i, i - 1) for i in range(200, 1, -1)), (500, 500)], "a long, b long")
+    got = {r.id: r.component for r in nw.components(edges, f"file://{tmp_path}/c").collect()}
+    assert got == dict.fromkeys(range(201), 0) | {500: 500}
+    with pytest.raises(RuntimeError):
+        nw.components(edges, f"file://{tmp_path}/d", max_rounds=2)
+
+
 def test_connections_of_a_stream_equal_those_of_the_table(spark, tmp_path):
     day = datetime.date(2025, 1, 1)
     rows = [(day + datetime.timedelta(i % 2), i % 2, "s", str(i), "L", 28800 + 60 * i, 28800 + 60 * i, (i * 97) % 400, (i * 31) % 200) for i in range(40)]
