@@ -1,7 +1,7 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs give points for their length and commas to their parent and, by half, to further ancestors; links
-take points away. The best container and those of its siblings that read like it are kept, without menus,
+and unwanted names take points away. The best container and those of its siblings that read like it are kept, without menus,
 notices, forms and other parts that are never text.
 """
 
@@ -42,11 +42,22 @@ WANTED = re.compile(r"article|content|entry|post|story|main|text|body", re.I)
 SCORED = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main body figcaption".split())
 
 
+#: Share of its points that text keeps inside an element with an unwanted name.
+DOUBT = 0.2
+
+
+def _overruled(label: str) -> bool:
+    """Whether another of the names says text ("content with-sidebar") and none is an unwanted word alone."""
+    names = label.split()
+    unwanted = [n for n in names if UNWANTED.search(n)]
+    return not any(UNWANTED.fullmatch(n) for n in unwanted) and any(WANTED.search(n) for n in names if n not in unwanted)
+
+
 class Page:
     """A light tree: for each element its tag, parent, whether it is dropped, and bonus; text pieces in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.drop, self.bonus = ["#"], [0], [False], [0.0]
+        self.tag, self.parent, self.drop, self.bonus, self.doubt = ["#"], [0], [False], [0.0], [""]
         self.text: list[tuple[int, str, bool, int]] = []  # element, text, inside a link, number of the block
         self.block = 0
         self._read(source)
@@ -104,7 +115,7 @@ class Page:
         return here, links
 
     def _open(self, name: str, attributes: str, parent: int) -> None:
-        drop, bonus = self.drop[parent] or name in DROPPED, 0.0
+        drop, bonus, doubt = self.drop[parent] or name in DROPPED, 0.0, ""
         inside = name == "header" and self._within(parent, ("article", "main"))
         drop = drop or (name == "header" and not inside)
         if name in ("article", "main"):
@@ -113,14 +124,17 @@ class Page:
             found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
             label = f"{found.get('class', '')} {found.get('id', '')}"
             plain = name not in ("html", "body", "article", "main") or re.search(r"\bcomments?\b", label, re.I)
-            if plain and UNWANTED.search(label) or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
+            if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
                 drop = True
+            elif plain and UNWANTED.search(label) and not _overruled(label):
+                doubt = label
             elif WANTED.search(label):
                 bonus += 25
         self.tag.append(name)
         self.parent.append(parent)
         self.drop.append(drop)
         self.bonus.append(bonus)
+        self.doubt.append(doubt)
 
     def _within(self, node: int, names: tuple[str, ...]) -> bool:
         while node and self.tag[node] not in names:
@@ -131,7 +145,8 @@ class Page:
         if not self.drop[node]:
             self.text.append((node, html.unescape(text) if "&" in text else text, links > 0, self.block))
 
-    def main_text(self) -> str:
+    def _best(self, weight: list[float] | None = None) -> tuple[int, list[float], list[int], list[int]]:
+        """The best container; score, length and length inside links of each element. Weights scale an element's points."""
         n = len(self.tag)
         own, linked, commas = [0] * n, [0] * n, [0] * n
         for node, text, link, _ in self.text:
@@ -146,7 +161,7 @@ class Page:
             total[self.parent[node]] += total[node]
             in_links[self.parent[node]] += in_links[node]
             if own[node] and self.tag[node] in SCORED:
-                points = (1 + commas[node] + min(own[node] / 100, 3)) * (1 - linked[node] / own[node])
+                points = (1 + commas[node] + min(own[node] / 100, 3)) * (1 - linked[node] / own[node]) * (weight[node] if weight else 1)
                 up, share = self.parent[node] if self.tag[node] not in ("div", "section", "article", "main", "body") else node, 1.0
                 while share > 0.1:
                     score[up] += points * share
@@ -155,10 +170,41 @@ class Page:
                     up, share = self.parent[up], share / 2
         for node in range(n):
             if total[node]:
-                score[node] = (score[node] + self.bonus[node]) * (1 - in_links[node] / total[node])
+                score[node] = (score[node] + self.bonus[node] * (weight[node] if weight else 1)) * (1 - in_links[node] / total[node])
             else:
                 score[node] = 0.0
-        best = max(range(n), key=lambda i: (score[i], -i))
+        return max(range(n), key=lambda i: (score[i], -i)), score, total, in_links
+
+    def _settle_doubts(self) -> None:
+        """Drops doubtful elements, but those that hold the best container, an article or main part, or the title of one."""
+        n = len(self.tag)
+        weight, holds, title = [1.0] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            weight[i] = weight[self.parent[i]] if not self.doubt[i] or weight[self.parent[i]] < 1 else DOUBT
+        node = self._best(weight)[0]
+        while node:
+            holds[node], node = True, self.parent[node]
+        for i in range(n - 1, 0, -1):
+            if not self.drop[i]:
+                holds[i] |= self.tag[i] in ("article", "main")
+                title[i] |= self.tag[i] == "h1"
+                holds[self.parent[i]] |= holds[i]
+                title[self.parent[i]] |= title[i]
+        gone = [False] * n
+        for i in range(1, n):
+            gone[i] = gone[self.parent[i]]
+            if self.doubt[i] and not holds[i] and not gone[i]:
+                named = WANTED.search(self.doubt[i]) is not None
+                gone[i] = not (title[i] and (named or self._within(self.parent[i], ("article", "main"))))
+                self.bonus[i] += 25 * (named and not gone[i])
+            self.drop[i] = self.drop[i] or gone[i]
+        self.text = [x for x in self.text if not gone[x[0]]]
+
+    def main_text(self) -> str:
+        if any(self.doubt):
+            self._settle_doubts()
+        n = len(self.tag)
+        best, score, total, in_links = self._best()
         node = best
         while node:  # an article that holds the best container is kept whole
             if self.tag[node] == "article":

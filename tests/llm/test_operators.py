@@ -145,6 +145,21 @@ def test_main_text():
     assert html_extract.extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+@pytest.mark.parametrize("wrapper", ["content with-sidebar", "post no-comments", "page has-sidebar", "header-layout", "entry"])
+def test_unwanted_names_do_not_cost_the_text(wrapper):
+    words = "This is a sentence of the article, with commas, and enough words to count as text. " * 4
+    page = f"""<body><div class="site-header"><h1>Site</h1>Slogan</div><div class="{wrapper}"><div class="entry-header"><h1>Title</h1></div><p>{words}</p><p>{words}</p><div class="share-box">Share, this</div></div>
+    <div class="sidebar">Other things, many, of them.</div><div id="comments"><p>I like it, really, it is a long and fine comment, is it not?</p></div></body>"""
+    assert html_extract.extract(page) == " ".join(f"Title {words}{words}".split())
+
+
+def test_long_comments_are_still_left_out():
+    words = "This is a sentence of the article, with commas, and enough words to count as text. " * 4
+    page = f"<body><div class=text><p>{words}</p></div><div class=comments><p>{words}</p><p>{words}</p></div></body>"
+    assert html_extract.extract(page) == words.strip()
+    assert html_extract.extract(f"<body><article><div class=header><h1>Title</h1></div><p>{words}</p><div class=related><p>{words}</p></div></article></body>") == f"Title {words.strip()}"
+
+
 def test_pages_follow_the_article(spark, data):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     import html as h
