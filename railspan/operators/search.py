@@ -95,6 +95,9 @@ def search(jobs: DataFrame, edge: DataFrame, budget: float = 90, max_transfers:
                 seeds = {origin: 0.0} if seeds is None else dict(seeds)
                 for s, (m, c, p) in earliest_arrivals(out, feet, seeds, start, budget, max_transfers, penalty).items():
                     rows.append((origin, start, s, round(m), c, p))
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=["origin", "start", "station", "minutes", "transfers", "path"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["origin", "start", "station", "minutes", "transfers", "path"])
 
     n = jobs.sparkSession.sparkContext.defaultParallelism
@@ -106,6 +109,14 @@ def window_jobs(origins: DataFrame, first_hour: int, last_hour: int, step: int =
                           F.lit(None).cast("map<string,double>").alias("seeds"))
 
 
+def departure_jobs(origins: DataFrame, edge: DataFrame, first_hour: int, last_hour: int) -> DataFrame:
+    """Each distinct departure of each origin in the window (its end excluded); on the hour where an origin has none."""
+    own = edge.filter(F.col("dep_min").between(first_hour * 60, last_hour * 60 - 1)).select(F.col("src").cast("string").alias("origin"), F.col("dep_min").cast("int").alias("start")).distinct()
+    every = origins.select(F.col("id").cast("string").alias("origin"))
+    bare = every.join(own, "origin", "left_anti").withColumn("start", F.explode(F.sequence(F.lit(first_hour * 60), F.lit(last_hour * 60 - 1), F.lit(60))))
+    return own.join(every, "origin", "left_semi").union(bare).withColumn("seeds", F.lit(None).cast("map<string,double>"))
+
+
 def sweep(found: DataFrame) -> DataFrame:
     """Least travel time over the start times; the earliest start among equals."""
     best = found.groupBy("origin", "station").agg(F.min(F.struct("minutes", "start", "transfers", "path")).alias("b"))

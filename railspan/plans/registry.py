@@ -455,7 +455,7 @@ def components(s, d):
 
 
 def _reached(s, d):
-    return se.sweep(se.search(se.window_jobs(b.places(s, d), 7, 8, 15), nw.edges(b.stop_times(s, d)), budget=90))
+    return se.sweep(se.search(se.window_jobs(b.places(s, d), 7, 8), nw.edges(b.stop_times(s, d)), budget=90))
 
 
 @query()
@@ -466,8 +466,8 @@ def reach(s, d):
 @query()
 def duration_to(s, d):
     e = se.reverse(nw.edges(b.stop_times(s, d)))
-    jobs = b.places(s, d).select(F.col("id").cast("string").alias("origin"), F.lit(-600).alias("start"), F.lit(None).cast("map<string,double>").alias("seeds"))
-    return se.search(jobs, e, budget=180).groupBy("station").agg(F.min("minutes").alias("minutes"), F.round(F.avg("minutes"), 4).alias("mean"), F.max("minutes").alias("most"))
+    jobs = b.places(s, d).select(F.col("id").cast("string").alias("origin"), F.explode(F.sequence(F.lit(-535), F.lit(-480), F.lit(5))).alias("start"), F.lit(None).cast("map<string,double>").alias("seeds"))
+    return se.sweep(se.search(jobs, e, budget=180)).groupBy("station").agg(F.min("minutes").alias("minutes"), F.round(F.avg("minutes"), 4).alias("mean"), F.max("minutes").alias("most"))
 
 
 @query()
@@ -485,8 +485,9 @@ def rail_distance(s, d):
 
 @query()
 def speed_matrix(s, d):
-    found = se.search(se.window_jobs(b.places(s, d), 8, 12, 60), nw.edges(b.stop_times(s, d)), budget=240)
-    x = se.speed_matrix(found, rail_distance(s, d), 5)
+    e = nw.edges(b.stop_times(s, d))
+    found = se.search(se.departure_jobs(b.places(s, d), e, 8, 20), e, budget=240)
+    x = se.speed_matrix(found, rail_distance(s, d), 12)
     return x.withColumn("class", sc.speed_class(F.col("kmh")))
 
 
