@@ -3,29 +3,30 @@
 Universal hash minima are cut into bands; documents that share a band are candidates. Copies with equal
 shingle sets are folded into one representative first, so a group of thousands costs one document.
 Within a bucket no pairs are enumerated: members are compared with the member that shares most buckets and
-with the least one, then, where components are still apart, with members drawn by a hash. What is apart after
-that meets in full: as pairs in small buckets, as blocks of bounded size in large ones, where intersections
-are counted by a matrix product and at most one link for each pair of components leaves the task.
+with the least one. Members of buckets that are still split between components meet by an exact prefix filter
+on their full shingle sets: only a pair whose sizes and rarest shingles allow the similarity is a candidate, and
+members of a bucket's largest component meet only the stragglers of other components.
 Every link is confirmed on the full shingle sets. Components: alternating large-star and small-star.
 """
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from railspan.llm.common import WordHashes, bound_batches, grams, lists, materialize, mix, only, partitions, sequence_hash
+from railspan.llm.common import WordHashes, bound_batches, grams, lists, materialize, mix, only, sequence_hash, signed
 from railspan.llm.components import connected_components
 
 #: 40 bands of 6 minima miss a pair of similarity 0.8 with probability 5e-6.
 BANDS, ROWS = 40, 6
-#: Rounds of drawn pivots and pivots a bucket in each; members of a bucket that may meet as pairs; members of a block and their shingles.
-DRAWN_ROUNDS, DRAWN, SMALL, BLOCK, BLOCK_SHINGLES = 2, 3, 32, 1000, 400_000
+#: Copies of one text are dealt to this many keys; ratio of neighbouring classes of set sizes.
+SALTS, CLASS_RATIO = 64, 1.05
 
 
 def shingle_set(text: str | None, k: int, known: WordHashes) -> np.ndarray:
@@ -99,65 +100,74 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return materialize(pairs.join(left, "u").join(right, "v").mapInArrow(_confirm(k, percent), "u long, v long"), "links")
 
 
-def _blocks(k: int, percent: int):
-    """Rows sorted by bucket, block and other block: links between components among the documents of each such group."""
+def _shingles(k: int):
+    """One row for each distinct shingle of each document."""
 
     def run(batches):
-        known = WordHashes()
+        known, ids, found = WordHashes(), [], []
+
+        def put():
+            sizes = [len(x) for x in found]
+            whole = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), sizes)), signed(np.concatenate(found))], names=["id", "shingle"])
+            ids.clear()
+            found.clear()
+            return whole
 
-        def links(ids, components, sets):
-            n = len(ids)
-            sizes = np.array([len(x) for x in sets])
-            flat = np.concatenate(sets)
-            owner = np.repeat(np.arange(n), sizes)
-            _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-            shared = count[column] > 1
-            order = np.argsort(column[shared], kind="stable")
-            column, owner = column[shared][order], owner[shared][order]
-            both = np.zeros((n, n), np.float32)
-            if len(column):
-                column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
-                for at in range(0, int(column[-1]) + 1, 4096):
-                    lo, hi = np.searchsorted(column, (at, at + 4096))
-                    part = np.zeros((n, 4096), np.float32)
-                    part[owner[lo:hi], column[lo:hi] - at] = 1
-                    both += part @ part.T
-            x, y = np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes - both), 1) & (both > 0))
-            up = {c: c for c in components}
-
-            def root(c):
-                while up[c] != c:
-                    up[c] = up[up[c]]
-                    c = up[c]
-                return c
-
-            for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                a, b = root(components[i]), root(components[j])
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
-
-        def groups():
-            key, held = None, {}
-            for batch in batches:
-                cols = [batch.column(c).to_pylist() for c in ("bucket", "block", "other", "id", "component", "text")]
-                for bucket, block, other, i, c, text in zip(*cols, strict=True):
-                    if (bucket, block, other) != key:
-                        if len(held) > 1:
-                            yield held
-                        key, held = (bucket, block, other), {}
-                    held.setdefault(i, (c, shingle_set(text, k, known)))
-            if len(held) > 1:
-                yield held
-
-        for held in groups():
-            found = list(links(list(held), [c for c, _ in held.values()], [x for _, x in held.values()]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+        held = 0
+        for batch in batches:
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids.append(i)
+                found.append(shingle_set(text, k, known))
+                held += len(found[-1])
+                if held > 100_000:
+                    yield put()
+                    held = 0
+        if found:
+            yield put()
 
     return run
 
 
+def _size_class(n) -> Column:
+    return F.floor(F.log(n) / F.lit(math.log(CLASS_RATIO))).cast("int")
+
+
+def _prefixes(apart: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(shingle, id, n, component, rest, pos): the first shingles of each document, from the rarest on.
+
+    Of two sets alike to the percent, ordered alike from the rarest shingle on, each has its first shared one among
+    its first n - ceil(percent n / 100) + 1. A shingle that no other document has leads to no partner, but counts as a place.
+    """
+    rows = texts.select(F.col("doc_id").alias("id"), "text").join(apart.select("id"), "id", "left_semi").mapInArrow(_shingles(k), "id long, shingle long")
+    rows = materialize(rows, "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = rows.join(often, "shingle")
+    by_rank = Window.partitionBy("id").orderBy("df", "shingle")
+    ranked = shared.withColumns({"rank": F.row_number().over(by_rank), "shared": F.count("*").over(Window.partitionBy("id"))})
+    return (ranked.join(apart, "id").withColumn("pos", F.col("n") - F.col("shared") + F.col("rank") - 1)
+            .filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("shingle", "id", "n", "component", "rest", "pos"))
+
+
+def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components, one of them a straggler, that sizes and places of a shared shingle still allow.
+
+    Alike sets share percent / (100 + percent) of both sizes; what precedes their first shared shingle is lost to them. So the
+    smaller set (x) meets only by a shorter prefix, and the larger one (y) only sets of the size classes that its place allows.
+    """
+    t = 100 + percent
+    x = (prefixes.filter(t * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n"))
+         .select("shingle", _size_class("n").alias("cls"), F.col("id").alias("ix"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"), F.col("rest").alias("rx")))
+    most = F.least(F.col("n"), F.floor(t * (F.col("n") - F.col("pos")) / percent) - F.col("n"))
+    y = (prefixes.withColumns({"least": F.ceil(F.col("n") * percent / 100), "most": most}).filter("least <= most")
+         .select("shingle", F.explode(F.sequence(_size_class("least"), _size_class("most"))).alias("cls"), F.col("id").alias("iy"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"), F.col("rest").alias("ry")))
+    before = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("ix") < F.col("iy")))
+    fits = before & (F.col("cx") != F.col("cy")) & (100 * F.col("nx") >= percent * F.col("ny")) & (t * F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= percent * (F.col("nx") + F.col("ny")))
+    key = ["shingle", "cls"]
+    one = x.filter("rx").join(y, key).filter(fits).select(*_ordered("ix", "iy"))
+    two = x.filter("not rx").join(y.filter("ry"), key).filter(fits).select(*_ordered("ix", "iy"))
+    return one.union(two).distinct()
+
+
 def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
 
@@ -176,10 +186,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     docs = only(docs, doc_id="long", text="string")
     signed_docs = materialize(
         docs.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    salted = signed_docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
 
-    linkable = signed_docs.filter("n_shingles > 0 and doc_id is not null")
-    classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = linkable.join(classes, (linkable.doc_id == classes.rep) & (linkable.digest == classes.digest), "left_semi")
+    linkable = salted.filter("n_shingles > 0 and doc_id is not null")
+    classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.collect_set("salt").alias("salts"))
+    reps = linkable.join(classes.select("rep", "digest"), (F.col("doc_id") == F.col("rep")) & (linkable.digest == classes.digest), "left_semi")
     rows_of = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = rows_of.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = materialize(rows_of.join(shared, "bucket"), "buckets")
@@ -195,42 +206,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     links = _confirmed(stars.filter("id <> pivot").select(*_ordered("id", "pivot")).distinct(), texts, shingle, percent)
     found = connected_components(links)
 
-    def still_apart(found):
-        """Members of the buckets that hold several components, and how many these buckets have."""
-        placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-        split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("load")).filter("lo < hi")
-        return materialize(placed.join(split.select("bucket", "size", "load"), "bucket"), "apart")
-
-    apart = still_apart(found)
-    for turn in range(DRAWN_ROUNDS):
-        draws = [F.min(F.struct(F.xxhash64("bucket", "id", F.lit(turn * DRAWN + i)).alias("h"), F.col("id").alias("pivot"), F.col("component").alias("pc"))).alias(f"d{i}") for i in range(DRAWN)]
-        drawn = apart.groupBy("bucket").agg(*draws)
-        pairs = (apart.join(drawn, "bucket").select("id", "component", F.explode(F.array(*[f"d{i}" for i in range(DRAWN)])).alias("d"))
-                 .filter("component <> d.pc").select("id", F.col("d.pivot").alias("pivot")))
-        more = _confirmed(pairs.select(*_ordered("id", "pivot")).distinct(), texts, shingle, percent)
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        found = connected_components(links)
-        apart = still_apart(found)
-
-    few = apart.filter(F.col("size") <= SMALL)
-    x = few.select("bucket", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-    y = few.select("bucket", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-    near = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")  # sets of such sizes alone can be linked
-    pairs = x.join(y, "bucket").filter((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & near).select("u", "v").distinct()
-    last = _confirmed(pairs, texts, shingle, percent)
-
-    many = apart.filter(F.col("size") > SMALL).withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("load") / BLOCK_SHINGLES)).cast("int"))
-    many = many.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = (many.select("bucket", F.least("own", "with").alias("block"), F.greatest("own", "with").alias("other"), "id", "component")
-              .join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("bucket", "block", "other", "id", "component", "text")
-              .repartition(2 * partitions(spark), "bucket", "block", "other").sortWithinPartitions("bucket", "block", "other", "id"))
-    last = materialize(last.union(blocks.mapInArrow(_blocks(shingle, percent), "u long, v long")), "links")
-    if not last.isEmpty():
-        found = connected_components(links.union(last))
-
-    placed_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return (signed_docs.select("doc_id", "n_shingles", "digest").join(placed_class, "digest", "left")
+    # A link that is still missing joins two components of a bucket, and not both its ends are in the bucket's largest one.
+    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    held = placed.groupBy("bucket", "component").agg(F.count("*").alias("held"))
+    split = held.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("held", (-F.col("component")).alias("neg"))).alias("main")).filter("parts > 1")
+    apart = materialize(placed.join(split.select("bucket", (-F.col("main.neg")).alias("main")), "bucket")
+                        .groupBy("id", "n", "component").agg(F.max(F.col("component") != F.col("main")).alias("rest")), "apart")
+    prefixes = materialize(_prefixes(apart, texts, shingle, percent), "prefixes")
+    more = _confirmed(_candidates(prefixes, percent), texts, shingle, percent)
+
+    # The links found last join whole components: only these are nodes of the second graph.
+    ends = [apart.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in ("u", "v")]
+    merged = connected_components(more.join(ends[0], "u").join(ends[1], "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    first = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "salts", F.coalesce("component", "rep").alias("first"))
+    joined = first.join(merged.select(F.col("node").alias("first"), "component"), "first", "left")
+    placed_class = joined.select("digest", F.explode("salts").alias("salt"), F.coalesce("component", "first").alias("component"))
+    return (salted.select("doc_id", "n_shingles", "digest", "salt").join(placed_class, ["digest", "salt"], "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

@@ -406,10 +406,7 @@ def test_empty_null_and_repeated_rows(spark, tmp_path, name):
         assert (out.count() >= len(own)) if "packing" in name else out.count() == len(own)
 
 
-def test_near_duplicates_in_blocks(docs, monkeypatch):
-    monkeypatch.setattr(near_dup, "SMALL", 2)
-    monkeypatch.setattr(near_dup, "BLOCK", 7)
-    monkeypatch.setattr(near_dup, "DRAWN_ROUNDS", 0)
+def test_near_duplicates_in_blocks(docs):
     rows, df = docs
     rows = rows + [(5000 + i, changed(BASE, 25 + i % 20, 900 + i // 2)) for i in range(120)]
     df = with_clashes(df.sparkSession, rows)
