@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 import string
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from railspan.llm.common import bound_batches, only
 
@@ -63,12 +66,10 @@ class Feistel:
         self.key, self.kind = key, kind
 
     def _round(self, i: int, value: int, size: int) -> int:
-        return int.from_bytes(hashlib.blake2b(f"{self.kind}|{size}|{i}|{value}".encode(), key=self.key[:64], digest_size=16).digest(), "big")
+        return int.from_bytes(hashlib.blake2b(f"{self.kind}|{size}|{i}|{value}".encode(), key=self.key[:64], digest_size=64).digest(), "big")
 
     def __call__(self, value: int, size: int) -> int:
-        a = int(size**0.5)
-        while a * a < size:
-            a += 1
+        a = math.isqrt(max(size, 1) - 1) + 1
         while True:  # the square may be a little larger than the size: walk the cycle until back inside
             left, right = divmod(value, a)
             for i in range(ROUNDS):
@@ -218,23 +219,31 @@ def _phone(text: str, f: Feistel) -> str | None:
     return lead + refill(body, f"{f(int(digits), 10 ** len(digits)):0{len(digits)}d}")
 
 
+@cache
+def _letters(c: str) -> str:
+    """The characters that may stand for c: of its kind among ASCII, else of its category among the 256 code points around it."""
+    for group in (string.digits, string.ascii_lowercase, string.ascii_uppercase):
+        if c in group:
+            return group
+    if ord(c) < 128 or not c.isalnum():
+        return ""
+    low = ord(c) & ~0xFF
+    return "".join(x for x in map(chr, range(max(low, 128), low + 256)) if unicodedata.category(x) == unicodedata.category(c) and x.isalnum())
+
+
 def _email(text: str, f: Feistel) -> str | None:
     local, _, domain = text.partition("@")
-    groups = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
-    kinds = [next((g for g in groups if c in g), "") for c in local]
-    other = "".join(c for c, k in zip(local, kinds, strict=True) if not k and c.isalnum())
+    kinds = [_letters(c) for c in local]
     value, size = 0, 1
     for c, k in zip(local, kinds, strict=True):
         if k:
             value, size = value * len(k) + k.index(c), size * len(k)
-    value = (value + int.from_bytes(hashlib.blake2b(other.encode(), key=f.key[:64], digest_size=8).digest(), "big") * bool(other)) % size
     value, out = f(value, size), []
     for c, k in zip(reversed(local), reversed(kinds), strict=True):
         if k:
             value, x = divmod(value, len(k))
-            out.append(k[x])
-        else:  # letters beyond ASCII stand for themselves no more: a letter that depends on the key alone
-            out.append(string.ascii_lowercase[f._round(99, ord(c), 26) % 26] if c.isalnum() else c)
+            c = k[x]
+        out.append(c)
     return f"{''.join(reversed(out))}@{domain}"
 
 
@@ -287,17 +296,23 @@ class Pseudonyms:
         return None
 
 
-def _run(key: bytes):
+def _run(key: bytes, counts: bool):
     def run(batches):
         names = Pseudonyms(key)
         for batch in batches:
             done = [names.replace(t) if t else (t, dict.fromkeys(KINDS, 0)) for t in batch.column("text").to_pylist()]
             cols = [batch.column(c) if c != "text" else pa.array([t for t, _ in done], pa.string()) for c in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*cols, *[pa.array([n[k] for _, n in done], pa.int64()) for k in KINDS]], names=[*batch.schema.names, *[f"n_{k}" for k in KINDS]])
+            more = {f"n_{k}": pa.array([n[k] for _, n in done], pa.int64()) for k in KINDS} if counts else {}
+            yield pa.RecordBatch.from_arrays([*cols, *more.values()], names=[*batch.schema.names, *more])
 
     return run
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The secret set as spark.railspan.pseudonymKey; without it the demonstration key, which protects nothing."""
+    return spark.conf.get("spark.railspan.pseudonymKey", DEFAULT_KEY.decode()).encode()
+
+
 def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """doc_id, text with pseudonyms, and n_<kind>, the number of replaced values of each kind, for each row.
 
@@ -305,11 +320,11 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     is. Rows are independent: no shuffle, repeated rows give repeated results, other columns are ignored.
     """
     bound_batches(docs.sparkSession)
-    return only(docs, doc_id="long", text="string").mapInArrow(_run(key), "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS))
+    return only(docs, doc_id="long", text="string").mapInArrow(_run(key, True), "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS))
 
 
 def pseudonymise_table(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """docs with pseudonyms in text; all rows and columns stay."""
+    """docs with pseudonyms in text; all rows and columns, whatever their names, stay. Nulls and empty tables as in pseudonymise."""
     bound_batches(docs.sparkSession)
-    schema = f"{docs._jdf.schema().toDDL()}, " + ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.mapInArrow(_run(key), schema).select(*docs.columns)
+    text_as_string = docs.withColumn("text", docs["text"].cast("string"))
+    return text_as_string.mapInArrow(_run(key, False), text_as_string.schema)
