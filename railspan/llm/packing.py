@@ -15,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from railspan.llm.bpe import read_ranks
 from railspan.llm.common import bound_batches, materialize, mix, only, partitions
 
 #: Hash bins of a document's vector; dimensions and bits of the curve.
 BINS, DIMS, BITS = 256, 4, 12
+#: Ids that one task packs, in bytes; fewer if the session has more shuffle partitions.
+TASK_BYTES = 64 << 20
 ID = np.dtype("<u2")
 
 
@@ -65,8 +68,8 @@ def curve_keys(documents: list[np.ndarray]) -> np.ndarray:
     return hilbert_keys(np.clip(((vectors @ planes) / 8 + 0.5) * side, 0, side - 1).astype(np.int64), BITS)
 
 
-#: Characters that libraries may split differently; texts with one of them are left to the tokenizers library.
-ODD = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+#: Characters that libraries may split differently; texts with one of them, or with a special token of the file, are left to the tokenizers library.
+ODD = r"[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
 
 
 class Ids:
@@ -82,14 +85,17 @@ class Ids:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.exact = Tokenizer.from_str(spec)
-        self.exact.encode_special_tokens = True  # their strings in a text are ordinary text
+        if self.exact.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of more than 16 bits")
+        special = [re.escape(t.content) for t in self.exact.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([ODD, *special]))
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks.splitlines()), special_tokens={})
 
     def by_file(self, text: str) -> np.ndarray:
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, ID)
 
     def batch(self, texts: list[str], separator: int) -> list[np.ndarray]:
-        found = [self.by_file(t) if ODD.search(t) else np.array(self.fast.encode_ordinary(t), ID) for t in texts]
+        found = [self.by_file(t) if self.odd.search(t) else np.array(self.fast.encode_ordinary(t), ID) for t in texts]
         probe = min(range(len(texts)), key=lambda i: (not texts[i], len(texts[i])))
         if not np.array_equal(found[probe], self.by_file(texts[probe])):
             raise ValueError("the rank file is not the tokenizer's vocabulary")
@@ -104,7 +110,8 @@ def _tokenise(spec, ranks, pattern: str, separator: int):
                 continue
             ids = ids_of.batch([t or "" for t in batch.column("text").to_pylist()], separator)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(curve_keys(ids)), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "curve_key", "ids"])
+                [batch.column("doc_id"), pa.array(curve_keys(ids)), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.nbytes for x in ids], pa.int64())],
+                names=["doc_id", "curve_key", "ids", "size"])
 
     return run
 
@@ -175,6 +182,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, patter
         spec = spark.sparkContext.broadcast(f.read())
     with open(ranks_path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
-    keyed = materialize(only(docs, doc_id="long", text="string").mapInArrow(_tokenise(spec, ranks, pattern, separator), "doc_id long, curve_key long, ids binary"), "curve")
-    sorted_ = keyed.repartitionByRange(partitions(spark), "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", "ids")
+    keyed = materialize(only(docs, doc_id="long", text="string").mapInArrow(_tokenise(spec, ranks, pattern, separator), "doc_id long, curve_key long, ids binary, size long"), "curve")
+    parts = max(partitions(spark), -(-(keyed.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES))
+    sorted_ = keyed.drop("size").repartitionByRange(parts, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", "ids")
     return sorted_.mapInArrow(_pack(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
