@@ -8,24 +8,27 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents in one Arrow batch: long texts must not pile up in a Python worker.
-BATCH_ROWS = 500
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small, so a worker's memory does not follow the texts' length."""
+    """Keep Arrow batches small in rows and bytes, so a worker's memory does not follow the texts' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share; one of our own only in local mode where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="railspan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -127,6 +130,13 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def sampled_labels(labels: DataFrame, name: str, most: int, unless: Column | None = None) -> DataFrame:
+    """At most `most` ids with their label, chosen by a hash of the id; nulls and ids whose labels differ are left out."""
+    known = only(labels, **{"doc_id": "long", name: "int"}).dropna().groupBy("doc_id").agg(F.min(name).alias(name), F.max(name).alias("other"))
+    known = known.filter(F.col(name) == F.col("other")).select("doc_id", name)
+    return (known if unless is None else known.filter(~unless)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
 def only(df: DataFrame, **cols: str) -> DataFrame:
     """Just the named columns with the wanted types: further columns cannot clash. name='type'."""
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in cols.items()])

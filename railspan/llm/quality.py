@@ -2,8 +2,9 @@
 
 Each line of a text is content or boilerplate. Features of a line give scores for both labels, transitions
 tie neighbours together, and Viterbi decoding finds the best labelling; the share of words that lie in
-content lines decides whether a document stays. Weights are fitted to a bounded sample of labelled documents
-whose lines take the document's label.
+content lines decides whether a document stays. Weights are fitted to a bounded sample of labelled documents:
+their lines first take the document's label; then lines that clearly read otherwise change theirs, as long as most
+of the document keeps it, and the field is fitted again, so that it learns where content and boilerplate meet.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railspan.llm.common import WordHashes, bound_batches, grams, only
+from railspan.llm.common import WordHashes, bound_batches, grams, only, sampled_labels
 
 SYMBOL = re.compile(r"[#*$%&|<>]")
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -24,6 +25,8 @@ DIGIT = re.compile(r"[0-9]")
 LETTER = re.compile(r"[^\W\d_]")
 #: Labelled documents in the sample, at most; rounds of fitting.
 SAMPLE_DOCS, EPOCHS = 1500, 60
+#: Rounds of relabelling lines, and the log-odds that change a label.
+ROUNDS, MARGIN = 2, 1.0
 #: Least share of words in content lines.
 LEAST_CONTENT = 0.5
 
@@ -82,11 +85,31 @@ class ChainModel:
         return out[::-1]
 
 
-def fit_chain(documents: list[list[list[int]]], labels: list[int], epochs: int = EPOCHS, ridge: float = 1e-3) -> ChainModel:
-    """Gradient ascent on the chain's conditional likelihood; all sequences advance together, line by line."""
-    kept = sorted(((d, y) for d, y in zip(documents, labels, strict=True) if d), key=lambda p: -len(p[0]))
-    if len({y for _, y in kept}) < 2:
+def relabelled(model: ChainModel, lines: list[list[int]], label: int) -> list[int]:
+    """The document's label for each line, but the other one for lines that clearly read so, if these are fewer than half."""
+    score = np.array([sum(model.emit[i, 1] - model.emit[i, 0] for i in feats) for feats in lines])
+    other = score < -MARGIN if label else score > MARGIN
+    return np.where(other, 1 - label, label).tolist() if 2 * other.sum() < len(lines) else [label] * len(lines)
+
+
+def fit_lines(documents: list[list[list[int]]], labels: list[int], rounds: int = ROUNDS) -> ChainModel:
+    """Fit to documents whose lines' labels are latent: rounds of fitting and relabelling."""
+    model = fit_chain(documents, labels)
+    for _ in range(rounds if len({y for d, y in zip(documents, labels, strict=True) if d}) == 2 else 0):
+        model = fit_chain(documents, labels, [relabelled(model, d, y) for d, y in zip(documents, labels, strict=True)])
+    return model
+
+
+def fit_chain(documents: list[list[list[int]]], labels: list[int], lines: list[list[int]] | None = None, epochs: int = EPOCHS, ridge: float = 1e-3) -> ChainModel:
+    """Gradient ascent on the chain's conditional likelihood; all sequences advance together, line by line.
+
+    lines holds the labels of each document's lines; without it, they take the document's label.
+    """
+    lines = lines or [[y] * len(d) for d, y in zip(documents, labels, strict=True)]
+    ordered = sorted(((d, y, own) for d, y, own in zip(documents, labels, lines, strict=True) if d), key=lambda p: -len(p[0]))
+    if len({y for _, y, _ in ordered}) < 2:
         return ChainModel.plain()
+    kept = [(d, y) for d, y, _ in ordered]
     sizes = np.array([len(d) for d, _ in kept])
     y = np.array([v for _, v in kept])
     longest, k = sizes[0], len(FEATURES)
@@ -97,6 +120,7 @@ def fit_chain(documents: list[list[list[int]]], labels: list[int], epochs: int =
         for row, (d, _) in zip(step, kept[: active[t]], strict=True):
             row[d[t]] = 1
         x.append(step)
+    truth = [np.array([own[t] for _, _, own in ordered[: active[t]]]) for t in range(longest)]
     share = np.array([len(kept) / (2 * (y == v).sum()) for v in y]) / sizes  # both labels and all documents weigh alike
     emit, move = np.zeros((k, 2)), np.zeros((2, 2))
     speed = [np.zeros_like(emit), np.zeros_like(move)]
@@ -116,11 +140,11 @@ def fit_chain(documents: list[list[list[int]]], labels: list[int], epochs: int =
         for t in range(longest):
             n = active[t]
             near = np.exp(ahead[t] + behind[t] - total[:n, None])
-            want = np.eye(2)[y[:n]]
+            want = np.eye(2)[truth[t]]
             g_emit = g_emit + x[t].T @ ((want - near) * share[:n, None])
             if t:
                 pair = np.exp(ahead[t - 1][:n, :, None] + move + (scores[t] + behind[t])[:, None, :] - total[:n, None, None])
-                pair = np.eye(4)[y[:n] * 3].reshape(n, 2, 2) - pair
+                pair = np.eye(4)[2 * truth[t - 1][:n] + truth[t]].reshape(n, 2, 2) - pair
                 g_move = g_move + (pair * share[:n, None, None]).sum(axis=0)
         for value, grad, v in ((emit, g_emit, speed[0]), (move, g_move, speed[1])):
             v *= 0.9
@@ -153,15 +177,15 @@ def _sampled(batches):
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ChainModel:
     """Fit to sample_docs labelled documents at most, chosen by a hash of their ids; only these are gathered.
 
-    Ids are chosen first, so texts of other documents are not moved. Null labels are left out.
+    Ids are chosen first, so texts of other documents are not moved. Null labels are left out, and ids with labels that
+    differ; of an id that repeats in docs, the least text counts. Without both labels every line is content.
     """
     bound_batches(docs.sparkSession)
-    chosen = only(labels, doc_id="long", quality="int").dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = (only(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("quality", "text")
-            .mapInArrow(_sampled, "quality int, lines array<array<int>>").collect())
-    rows = rows[: 2 * sample_docs]
+    chosen = sampled_labels(labels, "quality", sample_docs)
+    texts = only(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    rows = texts.select("quality", "text").mapInArrow(_sampled, "quality int, lines array<array<int>>").collect()
     rows.sort(key=lambda r: (r["quality"], r["lines"]))
-    return fit_chain([r["lines"] for r in rows], [r["quality"] for r in rows])
+    return fit_lines([r["lines"] for r in rows], [int(r["quality"] > 0) for r in rows])
 
 
 def _judge(model: ChainModel, least: float):

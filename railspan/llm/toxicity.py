@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railspan.llm.common import bound_batches, only
+from railspan.llm.common import bound_batches, only, sampled_labels
 
 #: Labelled documents in the sample, at most.
 SAMPLE_DOCS = 4000
@@ -33,7 +33,7 @@ QUOTES = frozenset("\"“”«»")
 # Word classes of the grammar in four languages.
 THREATS = frozenset("kill murder hurt destroy shoot stab burn hang beat attack die töten umbringen schlagen tuer frapper matar golpear".split())
 TARGETS = frozenset("you your yours yourself he she they them him her people du dich dir ihr euch tu toi vous ils elles usted ustedes ellos ellas".split())
-NEGATIONS = frozenset("not no never nor without isn't aren't nicht kein keine nie pas jamais aucun nunca ningún sin".split())
+NEGATIONS = frozenset("not no never nor without isn aren wasn weren don doesn didn won nicht kein keine nie pas jamais aucun nunca ningún sin".split())
 REPORTS = frozenset("said says reported quoted according allegedly claimed wrote sagte schrieb laut selon déclaré écrit dijo según escribió".split())
 
 
@@ -218,13 +218,13 @@ def _packed(batches):
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
     """Fit to at most sample_docs labelled documents whose crc32(doc_id) mod 5 is not 0, chosen by a hash of their ids.
 
-    Only these texts are gathered, packed. Null ids and labels are left out. Without both labels the model scores all alike.
+    Only these texts are gathered, packed. Null ids and labels are left out, and
+    ids with labels that differ; of an id that repeats in docs, the least text counts. Without both labels the model scores all alike.
     """
     bound_batches(docs.sparkSession)
-    chosen = (only(labels, doc_id="long", toxic="int").dropna().filter(~held_out_id(F.col("doc_id"))).dropDuplicates(["doc_id"])
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
-    rows = (only(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-            .mapInArrow(_packed, "doc_id long, toxic int, text binary").collect())
+    chosen = sampled_labels(labels, "toxic", sample_docs, held_out_id(F.col("doc_id")))
+    texts = only(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    rows = texts.select("doc_id", "toxic", "text").mapInArrow(_packed, "doc_id long, toxic int, text binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["text"])))
     return fit([zlib.decompress(bytes(r["text"])).decode("utf-8", "surrogatepass") for r in rows], [int(r["toxic"] > 0) for r in rows])
 
@@ -253,7 +253,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _harmless(model: ToxicityModel, threshold: float):
+    def run(batches):
+        scorer = Scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t or "") < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return run
+
+
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold, with their columns."""
+    """The rows of docs that score below the threshold, with their columns, whatever their names. Null texts score as empty ones."""
     bound_batches(docs.sparkSession)
-    return docs.mapInArrow(_run(model), f"{docs._jdf.schema().toDDL()}, _score double").filter(F.col("_score") < threshold).select(*docs.columns)
+    return docs.mapInArrow(_harmless(model, threshold), docs.schema)
