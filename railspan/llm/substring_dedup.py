@@ -234,10 +234,12 @@ def repeated_words(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated words of each text cut; texts without any stay as they are. All rows are kept."""
+    """docs with the repeated words of each text cut; texts without any, null and empty ones stay as they are.
+
+    All rows and columns, whatever their names, are kept; an empty table stays empty.
+    """
     found = Repeats(docs)
     new = found.cuts.filter("n_removed > 0").select("doc_id", "key", "kept").union(found.copies.select("doc_id", "key", F.lit("").alias("kept")))
-    new = new.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("kept").alias("_kept"))
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return (keyed.join(new, (keyed["doc_id"] == new["_id"]) & (keyed["_text_key"] == new["_key"]), "left")
-            .withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"), F.struct(*docs.columns).alias("row"))
+    cut = rows.join(new, ["doc_id", "key"], "left")
+    return cut.select(*[(F.coalesce("kept", F.col("row")["text"]) if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -83,3 +83,33 @@ def base_quality(text):
             seen.add(line)
     failed = len(w) < 50 or 100 * len(twice) > 50 * len(w)
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(twice), failed
+
+
+def linked(text, among_weak, scope=300):
+    """(spans, links) of the scan: all base spans, and the weak ones that a complement lies near to, by comparing all pairs."""
+    text = text or ""
+    assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    login = r"(?i:user_?name|user|login|account|client_?id)\x20*[:=]\x20*[A-Za-z0-9._@-]+"
+    kinds = (("assign", assign, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16), ("bare_key", r"(?<![A-Za-z0-9+])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+])", 0, 40),
+             ("login", login, 0, 6), ("endpoint", r"""(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x00-\x20"'<>]+""", 0, 8))
+    found = [(m.start(), r, m.end(), k) for r, (k, p, g, n) in enumerate(kinds) for m in re.finditer(p, text) if len(m.group(g)) >= n]
+    wants = {"bare_key": (("access", "assign"), ("login", "endpoint")), "login": (("assign",), ("bare_key",)), "endpoint": (("access", "assign"), ("bare_key",))}
+    base, links, weak = [f for f in found if f[1] < 3], [], []
+    for w in found:
+        if w[3] not in wants:
+            continue
+        near = {}
+        for o in found:
+            strong = o[3] in wants[w[3]][0]
+            if not strong and not (among_weak and o[3] in wants[w[3]][1]):
+                continue
+            away = max(o[0] - w[2], w[0] - o[2])
+            if away > scope or (away < 0 and not (strong and w[3] != "bare_key")):
+                continue
+            one, other = text[: w[2]], text[: o[2]]
+            where = "line" if one.count("\n") == other.count("\n") else "block" if len(re.findall("\n\n", one)) == len(re.findall("\n\n", other)) else "near"
+            near[o[3]] = min(near.get(o[3], (10**9,)), (max(away, 0), o[0], o[2], where))
+        if near:
+            weak.append(w)
+            links.append((w[0], w[1], f"{w[3]}:{w[0]}:{w[2]}[{' '.join(sorted(f'{k}:{a}:{b}:{s}' for k, (_, a, b, s) in near.items()))}]"))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + weak)), ",".join(x for _, _, x in sorted(links))
