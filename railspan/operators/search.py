@@ -1,35 +1,26 @@
-"""Timetable searches as Arrow kernels: one task searches many origins over a broadcast timetable.
+"""Timetable searches and paths on the track.
 
-The timetable of a day is bounded (its edges are counted before they are gathered); origins and start times
-are dealt to tasks as rows.
+A timetable search scans the edges once, in order of departure, for a block of searches together. Searches are dealt
+to blocks by the hour of their start and by origin; the edges that a block can use come to it through a shuffle, sorted,
+and are read as a stream: neither the driver nor any task holds a timetable. A task holds the labels of its block: for
+each reached station, the best arrival of each of at most JOBS searches or so.
 """
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
-from collections import defaultdict
+import math
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_EDGES = 3_000_000
-RESULT = "origin string, start int, station string, minutes int, transfers int, path array<string>"
-
+from railspan.sources.scratch import written
 
-def gather(edge: DataFrame, walks: DataFrame | None = None, limit: int = MAX_EDGES) -> tuple[dict, dict]:
-    """Departures of each station, sorted by time, and walks; refuses timetables beyond the limit."""
-    if edge.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} edges: search one day or one region at a time")
-    out, feet = defaultdict(list), defaultdict(list)
-    for r in edge.select("src", "dep_min", "dst", "arr_min", "trip_id").collect():
-        out[str(r.src)].append((r.dep_min, str(r.dst), r.arr_min, str(r.trip_id)))
-    for v in out.values():
-        v.sort()
-    for r in walks.select("stop_a", "stop_b", "walk_min").collect() if walks is not None else ():
-        feet[str(r.stop_a)].append((str(r.stop_b), float(r.walk_min)))
-    return dict(out), dict(feet)
+#: Searches of a block, about; minutes of start times of a block.
+JOBS, SLOT = 2000, 90
+RESULT = "origin string, start int, station string, minutes int, transfers int, path array<string>"
+NO_TRIP = np.iinfo(np.int64).min
 
 
 def reverse(edge: DataFrame) -> DataFrame:
@@ -37,71 +28,227 @@ def reverse(edge: DataFrame) -> DataFrame:
     return edge.select(F.col("dst").alias("src"), (-F.col("arr_min")).alias("dep_min"), F.col("src").alias("dst"), (-F.col("dep_min")).alias("arr_min"), "trip_id")
 
 
-def earliest_arrivals(out: dict, feet: dict, seeds: dict[str, float], start: float, budget: float, max_transfers: int, penalty: float) -> dict[str, tuple[float, int, list[str]]]:
-    """Best arrival at each station: seeds are stations with minutes of access.
+class Block:
+    """Labels of the searches of one block: for each station and search the arrival, changes, trip and station before.
 
-    Staying on a trip is free; changing needs `penalty` minutes and a transfer; boarding first, or after a
-    walk, needs neither. From a station, only the first later departure to each next station is taken by change.
+    Staying on a trip is free; changing needs `penalty` minutes and a transfer; boarding first, or after a walk, needs
+    neither. From a station, only the first later departure to each next station that ends in time is taken by change.
+    Of two labels the earlier arrival is kept, then fewer changes, then the lesser trip. Edges come by departure, so what
+    arrived before an edge departs is settled.
     """
-    deadline = start + budget
-    best: dict[str, float] = {}
-    parent: dict[str, str] = {}
-    changes: dict[str, int] = {}
-    heap = [(start + m, s, 0, "", "") for s, m in sorted(seeds.items())]
-    heapq.heapify(heap)
-    while heap:
-        now, here, moved, trip, before = heapq.heappop(heap)
-        if here in best:
-            continue
-        best[here], changes[here], parent[here] = now, moved, before
-        tried = set()
-        deps = out.get(here, ())
-        for dep, nxt, arr, t in deps[bisect_left(deps, (now,)) :]:
-            if dep > deadline:
-                break
-            if arr > deadline or nxt in best:
-                continue
-            if t == trip:
-                heapq.heappush(heap, (arr, nxt, moved, t, here))
-                continue
-            if trip and (dep < now + penalty or moved + 1 > max_transfers):
-                continue
-            if nxt in tried:
-                continue
-            tried.add(nxt)
-            heapq.heappush(heap, (arr, nxt, moved + bool(trip), t, here))
-        for nxt, m in feet.get(here, ()):
-            if nxt not in best and now + m <= deadline:
-                heapq.heappush(heap, (now + m, nxt, moved, "", here))
-
-    def path(s):
-        hops = [s]
-        while parent[hops[-1]]:
-            hops.append(parent[hops[-1]])
-        return hops[::-1]
 
-    return {s: (t - start, changes[s], path(s)) for s, t in best.items() if s not in seeds or seeds[s] > 0}
+    def __init__(self, budget: float, max_transfers: int, penalty: float):
+        self.budget, self.max_transfers, self.penalty = budget, max_transfers, penalty
+        self.origins, self.starts, self.seeds = [], [], []
+        self.walks: dict[str, list[tuple[str, float]]] = {}
+        self.rows: dict[str, int] = {}
+        self.labels: list[tuple[np.ndarray, ...]] = []
+        self.first: list[float] = []
+        self.code, self.trips = {NO_TRIP: 0}, [NO_TRIP]  # trips by short numbers, and back
+        self.earlier: dict[tuple[str, str], list] = {}
+        self.ready = False
+
+    def add_job(self, origin: str, start: int, seeds: list | None) -> None:
+        self.origins.append(origin)
+        self.starts.append(start)
+        self.seeds.append({origin: 0.0} if seeds is None else {s["key"]: s["value"] for s in seeds})
+
+    def _row(self, station: str) -> int:
+        at = self.rows.get(station)
+        if at is None:
+            at = self.rows[station] = len(self.labels)
+            n = len(self.starts)
+            self.labels.append((np.full(n, np.inf, self.minutes), np.zeros(n, np.int16), np.zeros(n, np.int32), np.full(n, -1, np.int32)))
+            self.first.append(np.inf)
+        return at
+
+    def _begin(self) -> None:
+        self.ready = True
+        whole = not self.walks and all(m == 0 for seeds in self.seeds for m in seeds.values())
+        self.minutes = np.float32 if whole else np.float64  # whole minutes are exact in either
+        self.deadline = np.array(self.starts, self.minutes) + self.minutes(self.budget)
+        self.soonest, self.latest = float(self.deadline.min()), float(self.deadline.max())
+        for i, seeds in enumerate(self.seeds):
+            for station, minutes in seeds.items():
+                at = self._row(station)
+                self.labels[at][0][i] = self.starts[i] + minutes
+                self.first[at] = min(self.first[at], self.starts[i] + minutes)
+        for station in list(self.rows):
+            self._walk(station, np.flatnonzero(np.isfinite(self.labels[self.rows[station]][0])))
+
+    def _walk(self, station: str, new: np.ndarray) -> None:
+        left = [(station, new)]
+        while left and self.walks:
+            here, new = left.pop()
+            at = self.rows[here]
+            for there, minutes in self.walks.get(here, ()):
+                when = self.labels[at][0][new] + minutes
+                fits = when <= self.deadline[new]
+                better = self._improve(at, there, new[fits], when[fits], self.labels[at][1][new[fits]], 0)
+                if len(better):
+                    left.append((there, better))
+
+    def _improve(self, before: int, station: str, jobs: np.ndarray, when: np.ndarray, changes: np.ndarray, code: int) -> np.ndarray:
+        """Writes the labels that are better than the station's, and returns their searches."""
+        to = self._row(station)
+        arrival, moved, trips, last = self.labels[to]
+        old = arrival[jobs]
+        better, same = when < old, when == old
+        if same.any():
+            more, own = changes - moved[jobs], self.trips[code]
+            lesser = np.array([own < self.trips[c] for c in trips[jobs].tolist()], bool)
+            better |= same & ((more < 0) | ((more == 0) & lesser))
+        jobs = jobs[better]
+        if len(jobs):
+            arrival[jobs], moved[jobs], trips[jobs], last[jobs] = when[better], changes[better], code, before
+            self.first[to] = min(self.first[to], float(when[better].min()))
+        return jobs
+
+    def ride(self, src: str, dst: str, dep: float, arr: float, trip: int, listed: bool, overtakes: bool) -> bool:
+        """One edge; listed: some edge of its pair of stations overtakes another, and this one is remembered for it."""
+        if not self.ready:
+            self._begin()
+        code = self.code.get(trip)
+        if code is None:
+            code = self.code[trip] = len(self.trips)
+            self.trips.append(trip)
+        at, found = self.rows.get(src), ()
+        if at is not None and self.first[at] <= dep and arr <= self.latest:
+            arrival, moved, trips, _ = self.labels[at]
+            fresh = trips == 0
+            change = arrival <= dep - self.penalty
+            change &= moved < self.max_transfers
+            change |= fresh
+            if overtakes:  # an earlier departure to the same station, which a search could take, counts as the first one
+                need = np.where(fresh, arrival, arrival + self.penalty)
+                for d, a, c in self.earlier.get((src, dst), ()):
+                    change &= ~((d >= need) & (a <= self.deadline) & (c != trips))
+            change |= trips == code
+            change &= arrival <= dep
+            if arr > self.soonest:
+                change &= arr <= self.deadline
+            there = self.rows.get(dst)
+            if there is not None:
+                change &= arr <= self.labels[there][0]
+            jobs = np.flatnonzero(change)
+            if len(jobs):
+                used = trips[jobs]
+                found = self._improve(at, dst, jobs, np.full(len(jobs), arr, self.minutes), moved[jobs] + ((used != code) & (used != 0)), code)
+                if len(found):
+                    self._walk(dst, found)
+        if listed:
+            self.earlier.setdefault((src, dst), []).append((dep, arr, code))
+        return len(found) > 0
+
+    def results(self, paths: bool):
+        if not self.ready:
+            self._begin()
+        names = list(self.rows)
+        origins, starts = pa.array(self.origins, pa.string()), np.array(self.starts)
+        out, held = [], 0
+        for station, at in self.rows.items():
+            arrival, moved, _, _ = self.labels[at]
+            own = np.array([seeds.get(station) == 0 for seeds in self.seeds])
+            hit = np.flatnonzero(np.isfinite(arrival) & ~own)
+            path = pa.array([self._path(names, at, i) for i in hit.tolist()], pa.list_(pa.string())) if paths else pa.nulls(len(hit), pa.list_(pa.string()))
+            out.append(pa.RecordBatch.from_arrays([
+                origins.take(pa.array(hit)), pa.array(starts[hit], pa.int32()), pa.repeat(station, len(hit)),
+                pa.array(np.rint(arrival[hit] - starts[hit]).astype(np.int32)), pa.array(moved[hit].astype(np.int32)), path],
+                names=["origin", "start", "station", "minutes", "transfers", "path"]))
+            held += len(hit)
+            if held > 50_000:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out, held = [], 0
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    def _path(self, names: list[str], at: int, i: int) -> list[str]:
+        hops = []
+        while at >= 0:
+            hops.append(names[at])
+            at = int(self.labels[at][3][i])
+        return hops[::-1]
 
 
-def search(jobs: DataFrame, edge: DataFrame, budget: float = 90, max_transfers: int = 3, penalty: float = 5, walks: DataFrame | None = None) -> DataFrame:
-    """Reached stations of each job (origin string, start int, seeds map<string,double> or null for the origin alone)."""
-    net = jobs.sparkSession.sparkContext.broadcast(gather(edge, walks))
+def _scan(budget: float, max_transfers: int, penalty: float, paths: bool):
+    """Rows by block: its searches, its walks, its edges by departure."""
 
     def run(batches):
-        out, feet = net.value
-        for pdf in batches:
-            rows = []
-            for origin, start, seeds in zip(pdf.origin, pdf.start, pdf.seeds, strict=True):
-                seeds = {origin: 0.0} if seeds is None else dict(seeds)
-                for s, (m, c, p) in earliest_arrivals(out, feet, seeds, start, budget, max_transfers, penalty).items():
-                    rows.append((origin, start, s, round(m), c, p))
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["origin", "start", "station", "minutes", "transfers", "path"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["origin", "start", "station", "minutes", "transfers", "path"])
-
-    n = jobs.sparkSession.sparkContext.defaultParallelism
-    return jobs.select("origin", "start", "seeds").repartition(4 * n, "origin", "start").mapInPandas(run, RESULT)
+        key, block, same = None, None, []
+
+        def settle():
+            """Edges of one minute again, if some take no time, until nothing improves."""
+            if len(same) > 1 and any(dep == arr for _, _, dep, arr, *_ in same):
+                while any([block.ride(a, b, dep, arr, trip, False, over) for a, b, dep, arr, trip, over in same]):
+                    pass
+            same.clear()
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("slot", "part", "kind", "a", "b", "dep", "arr", "trip", "listed", "overtakes", "seeds")]
+            for slot, part, kind, a, b, dep, arr, trip, listed, over, seeds in zip(*cols, strict=True):
+                if (slot, part) != key:
+                    if block is not None and block.starts:
+                        settle()
+                        yield from block.results(paths)
+                    key, block = (slot, part), Block(budget, max_transfers, penalty)
+                    same.clear()
+                if kind == 0:
+                    block.add_job(a, int(dep), seeds)
+                elif not block.starts:  # no search was dealt to this block
+                    continue
+                elif kind == 1:
+                    block.walks.setdefault(a, []).append((b, arr))
+                else:
+                    if same and same[-1][2] != dep:
+                        settle()
+                    block.ride(a, b, dep, arr, trip, listed, over)
+                    same.append((a, b, dep, arr, trip, over))
+        if block is not None and block.starts:
+            settle()
+            yield from block.results(paths)
+
+    return run
+
+
+def search(jobs: DataFrame, edge: DataFrame, budget: float = 90, max_transfers: int = 3, penalty: float = 5, walks: DataFrame | None = None, paths: bool = True) -> DataFrame:
+    """Reached stations of each job (origin string, start int, seeds map<string,double> or null for the origin alone).
+
+    Edges with a null and walks with a null are left out; without jobs or edges there is no row. path is null unless paths is asked for.
+    """
+    spark = jobs.sparkSession
+    jobs = jobs.select("origin", F.col("start").cast("int").alias("start"), "seeds").dropna(subset=["origin", "start"])
+    zero = jobs.agg(F.min("start")).first()[0]  # slots are counted from the first start
+    jobs = jobs.withColumn("slot", F.floor((F.col("start") - F.lit(zero)) / SLOT).cast("int"))
+    each = jobs.groupBy("slot").agg(F.count("*").alias("n"))
+    most, lo, hi, slots = each.agg(F.max("n"), F.min("slot"), F.max("slot"), F.count("*")).first()
+    if not slots:
+        return spark.createDataFrame([], RESULT)
+    parts = -(-most // JOBS)
+    whole = math.ceil(budget)
+
+    deals = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    pair = Window.partitionBy("a", "b")
+    upto = pair.orderBy("dep", "arr", "trip").rowsBetween(Window.unboundedPreceding, -1)
+    used = (edge.select(F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"), F.col("dep_min").cast("double").alias("dep"), F.col("arr_min").cast("double").alias("arr"), F.xxhash64(F.col("trip_id").cast("string")).alias("trip"))
+            .dropna().filter(F.col("dep").between(zero, zero + (hi + 1) * SLOT + whole) & (F.col("arr") >= F.col("dep")))
+            .withColumn("overtakes", F.coalesce(F.max("arr").over(upto) >= F.col("arr"), F.lit(False))).withColumn("listed", F.max("overtakes").over(pair)))
+    first = F.greatest(F.lit(lo), F.ceil((F.col("dep") - zero - whole - SLOT + 1) / SLOT).cast("int"))
+    last = F.least(F.lit(hi), F.floor((F.col("dep") - zero) / SLOT).cast("int"))
+    none = F.lit(None).cast("array<struct<key:string,value:double>>").alias("seeds")
+    cols = ["slot", "part", "kind", "a", "b", "dep", "arr", "trip", "listed", "overtakes", "seeds"]
+    rides = (used.filter(first <= last).withColumn("slot", F.explode(F.sequence(first, last))).join(each.select("slot"), "slot", "left_semi")
+             .select("*", deals, F.lit(2).alias("kind"), none).select(cols))
+    flags = [F.lit(False).alias("listed"), F.lit(False).alias("overtakes")]
+    starts = jobs.select("slot", F.pmod(F.xxhash64("origin"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), F.col("origin").alias("a"), F.lit("").alias("b"), F.col("start").cast("double").alias("dep"),
+                         F.lit(0.0).alias("arr"), F.lit(0).cast("long").alias("trip"), *flags, F.map_entries("seeds").alias("seeds"))
+    rows = starts.select(cols).union(rides)
+    if walks is not None:
+        feet = walks.select(F.col("stop_a").cast("string").alias("a"), F.col("stop_b").cast("string").alias("b"), F.col("walk_min").cast("double").alias("arr")).dropna()
+        feet = feet.withColumn("slot", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).join(each.select("slot"), "slot", "left_semi")
+        rows = rows.union(feet.select("slot", deals, F.lit(1).alias("kind"), "a", "b", F.lit(0.0).alias("dep"), "arr", F.lit(0).cast("long").alias("trip"), *flags, none).select(cols))
+    tasks = min(4096, int(parts * (hi + 1)))  # one block to each, as far as tasks go
+    dealt = rows.repartitionById(tasks, F.pmod(F.col("slot") * parts + F.col("part"), F.lit(tasks)).cast("int")).sortWithinPartitions("slot", "part", "kind", "dep", "arr", "a", "b", "trip")
+    return dealt.mapInArrow(_scan(budget, max_transfers, penalty, paths), RESULT)
 
 
 def window_jobs(origins: DataFrame, first_hour: int, last_hour: int, step: int = 5) -> DataFrame:
@@ -117,10 +264,16 @@ def departure_jobs(origins: DataFrame, edge: DataFrame, first_hour: int, last_ho
     return own.join(every, "origin", "left_semi").union(bare).withColumn("seeds", F.lit(None).cast("map<string,double>"))
 
 
-def sweep(found: DataFrame) -> DataFrame:
-    """Least travel time over the start times; the earliest start among equals."""
-    best = found.groupBy("origin", "station").agg(F.min(F.struct("minutes", "start", "transfers", "path")).alias("b"))
-    return best.select("origin", "station", "b.minutes", "b.start", "b.transfers", "b.path")
+def sweep(found: DataFrame, paths: bool = True) -> DataFrame:
+    """Least travel time over the start times; the earliest start among equals. Without paths the rows stay narrow."""
+    if paths:
+        best = found.groupBy("origin", "station").agg(F.min(F.struct("minutes", "start", "transfers", "path")).alias("b"))
+        return best.select("origin", "station", "b.minutes", "b.start", "b.transfers", "b.path")
+    # One number in this order: the least of numbers needs no sort.
+    number = (F.col("minutes").cast("long") * (1 << 24) + (F.col("start") + (1 << 23))) * (1 << 8) + F.col("transfers")
+    best = found.groupBy("origin", "station").agg(F.min(number).alias("b"))
+    start = F.shiftright("b", 8) % (1 << 24) - (1 << 23)
+    return best.select("origin", "station", F.shiftright("b", 32).cast("int").alias("minutes"), start.cast("int").alias("start"), (F.col("b") % (1 << 8)).cast("int").alias("transfers"))
 
 
 def reach_counts(swept: DataFrame) -> DataFrame:
@@ -142,71 +295,46 @@ def cardinal_reach(swept: DataFrame, places: DataFrame) -> DataFrame:
     return far.groupBy("origin").agg(F.sum("km").alias("reach_km"))
 
 
-def rail_distances(origins: DataFrame, rails: DataFrame, limit: int = MAX_EDGES) -> DataFrame:
-    """Shortest track length (km) and hops from each origin over undirected edges (a, b, km): Dijkstra in each task."""
-    if rails.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} track edges")
-    near = defaultdict(dict)
-    for r in rails.select("a", "b", "km").collect():
-        for x, y in ((str(r.a), str(r.b)), (str(r.b), str(r.a))):
-            near[x][y] = min(r.km, near[x].get(y, r.km))
-    net = origins.sparkSession.sparkContext.broadcast(dict(near))
+def rail_distances(origins: DataFrame, rails: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(origin, station, km): shortest track length from each origin (id) over undirected edges (a, b, km).
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for origin in pdf.origin:
-                done, heap = {}, [(0.0, origin, "")]
-                while heap:
-                    d, x, before = heapq.heappop(heap)
-                    if x in done:
-                        continue
-                    done[x] = (d, [*done[before][1], x] if before else [x])
-                    for y, w in net.value.get(x, {}).items():
-                        if y not in done:
-                            heapq.heappush(heap, (d + w, y, x))
-                rows += [(origin, s, d, p) for s, (d, p) in done.items() if s != origin]
-            yield pd.DataFrame(rows, columns=["origin", "station", "km", "hops"])
-
-    return origins.select(F.col("id").cast("string").alias("origin")).mapInPandas(run, "origin string, station string, km double, hops array<string>")
-
-
-def hop_paths(pairs: DataFrame, track: DataFrame, max_hops: int = 30, limit: int = MAX_EDGES) -> DataFrame:
+    Rounds of relaxation: only distances that became shorter are joined with the track again, and the least one of each
+    pair is kept; each round is a written table. Ends when nothing becomes shorter; raises after max_rounds.
+    """
+    both = rails.select(F.col("a").cast("string").alias("x"), F.col("b").cast("string").alias("y"), "km").dropna().filter("x <> y")
+    both = written(both.union(both.select("y", "x", "km")).groupBy("x", "y").agg(F.min("km").alias("w")), "rails")
+    start = F.col("id").cast("string")
+    best = front = written(origins.select(start.alias("origin"), start.alias("station"), F.lit(0.0).alias("km")).dropna().distinct(), "distances")
+    for _ in range(max_rounds):
+        found = front.join(both, F.col("station") == F.col("x")).groupBy("origin", F.col("y").alias("station")).agg(F.min(F.col("km") + F.col("w")).alias("new"))
+        front = written(found.join(best, ["origin", "station"], "left").filter("km is null or new < km").select("origin", "station", F.col("new").alias("km")), "front")
+        if front.isEmpty():
+            return best.filter("origin <> station")
+        best = written(best.union(front).groupBy("origin", "station").agg(F.min("km").alias("km")), "distances")
+    raise RuntimeError(f"distances still change after {max_rounds} rounds")
+
+
+def hop_paths(pairs: DataFrame, track: DataFrame, max_hops: int = 30) -> DataFrame:
     """(from_id, to_id, hops) for the pairs that undirected track (a, b) links within max_hops: a path of fewest hops.
 
-    Breadth first from each origin, neighbours in order of their ids, so equals are settled alike in every run.
+    Breadth first from all origins together, one round for each hop: the stations reached last are joined with the track, and
+    of equals the path that comes first in order of its ids is kept. An origin rests when all its stations are found.
     """
-    if track.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} track edges")
-    near = defaultdict(set)
-    for r in track.select(F.col("a").cast("string"), F.col("b").cast("string")).distinct().collect():
-        near[r.a].add(r.b)
-        near[r.b].add(r.a)
-    net = pairs.sparkSession.sparkContext.broadcast({x: sorted(y) for x, y in near.items()})
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for origin, wanted in zip(pdf.from_id, pdf.wanted, strict=True):
-                before, ring = {origin: None}, [origin]
-                for _ in range(max_hops):
-                    following = []
-                    for x in ring:
-                        for y in net.value.get(x, ()):
-                            if y not in before:
-                                before[y] = x
-                                following.append(y)
-                    ring = following
-                for to in wanted:
-                    if to in before and to != origin:
-                        hops = [to]
-                        while hops[-1] != origin:
-                            hops.append(before[hops[-1]])
-                        rows.append((origin, to, hops[::-1]))
-            yield pd.DataFrame(rows, columns=["from_id", "to_id", "hops"])
-
-    by_origin = pairs.groupBy(F.col("from_id").cast("string").alias("from_id")).agg(F.collect_set(F.col("to_id").cast("string")).alias("wanted"))
-    return by_origin.mapInPandas(run, "from_id string, to_id string, hops array<string>")
+    both = track.select(F.col("a").cast("string").alias("x"), F.col("b").cast("string").alias("y")).dropna().filter("x <> y")
+    both = written(both.union(both.select("y", "x")).distinct(), "track")
+    wanted = written(pairs.select(F.col("from_id").cast("string").alias("from_id"), F.col("to_id").cast("string").alias("to_id")).dropna().filter("from_id <> to_id").distinct(), "wanted")
+    front = written(wanted.select("from_id", F.col("from_id").alias("at"), F.array("from_id").alias("hops")).distinct(), "front")
+    seen, found = front.select("from_id", "at"), None
+    for _ in range(max_hops):
+        following = front.join(both, F.col("at") == F.col("x")).select("from_id", F.col("y").alias("at"), F.concat("hops", F.array("y")).alias("hops"))
+        front = written(following.join(seen, ["from_id", "at"], "left_anti").groupBy("from_id", "at").agg(F.min("hops").alias("hops")), "front")
+        if front.isEmpty():
+            break
+        here = front.withColumnRenamed("at", "to_id").join(wanted, ["from_id", "to_id"], "left_semi").select("from_id", "to_id", "hops")
+        found = here if found is None else found.union(here)
+        left = wanted.join(found, ["from_id", "to_id"], "left_anti").select("from_id").distinct()
+        front, seen = front.join(left, "from_id", "left_semi"), seen.union(front.select("from_id", "at"))
+    return found if found is not None else wanted.withColumn("hops", F.array("from_id")).limit(0)
 
 
 def speed_matrix(found: DataFrame, distances: DataFrame, n_hours: int) -> DataFrame:

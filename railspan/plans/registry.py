@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from railspan.functions import calendar as cal
@@ -11,6 +13,7 @@ from railspan.operators import network as nw
 from railspan.operators import punctuality as pu
 from railspan.operators import search as se
 from railspan.plans import bridge as b
+from railspan.sources.scratch import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -446,16 +449,12 @@ def dedup_best(s, d):
 
 @query("SELECT id, least(min(o_orderkey * 2) OVER w, c) AS component FROM (SELECT o_orderkey * 2 AS id, o_orderkey, o_custkey * 2 + 1 AS c FROM orders UNION SELECT o_custkey * 2 + 1, o_orderkey, o_custkey * 2 + 1 FROM orders) WINDOW w AS (PARTITION BY c) QUALIFY row_number() OVER (PARTITION BY id) = 1")
 def components(s, d):
-    import tempfile
-    import uuid
-
-    at = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="railspan-")
     e = b.table(s, d, "orders").select((F.col("o_orderkey") * 2).alias("a"), (F.col("o_custkey") * 2 + 1).alias("b"))
-    return nw.components(e, f"{at}/components-{uuid.uuid4().hex}")
+    return nw.components(e, f"{shared_dir(s)}/components-{uuid.uuid4().hex}")
 
 
 def _reached(s, d):
-    return se.sweep(se.search(se.window_jobs(b.places(s, d), 7, 8), nw.edges(b.stop_times(s, d)), budget=90))
+    return se.sweep(se.search(se.window_jobs(b.places(s, d), 7, 8), nw.edges(b.stop_times(s, d)), budget=90, paths=False), paths=False)
 
 
 @query()
@@ -467,7 +466,7 @@ def reach(s, d):
 def duration_to(s, d):
     e = se.reverse(nw.edges(b.stop_times(s, d)))
     jobs = b.places(s, d).select(F.col("id").cast("string").alias("origin"), F.explode(F.sequence(F.lit(-535), F.lit(-480), F.lit(5))).alias("start"), F.lit(None).cast("map<string,double>").alias("seeds"))
-    return se.sweep(se.search(jobs, e, budget=180)).groupBy("station").agg(F.min("minutes").alias("minutes"), F.round(F.avg("minutes"), 4).alias("mean"), F.max("minutes").alias("most"))
+    return se.sweep(se.search(jobs, e, budget=180, paths=False), paths=False).groupBy("station").agg(F.min("minutes").alias("minutes"), F.round(F.avg("minutes"), 4).alias("mean"), F.max("minutes").alias("most"))
 
 
 @query()
@@ -475,19 +474,26 @@ def cardinal_reach(s, d):
     return se.cardinal_reach(_reached(s, d), b.places(s, d))
 
 
-@query()
-def rail_distance(s, d):
+def _rails(s, d):
     p = b.places(s, d).select("id", "lat", "lon")
     e = nw.edges(b.stop_times(s, d)).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct()
     e = e.join(p.toDF("a", "la", "oa"), "a").join(p.toDF("b", "lb", "ob"), "b").select("a", "b", sc.haversine_km(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob")).alias("km"))
     return se.rail_distances(p, e)
 
 
+@query(f"""WITH {b.PLACES}, {b.EDGES}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS z FROM edges WHERE src <> dst), k AS (SELECT a, z, {b.km_sql('p', 'q')} AS km FROM u JOIN places p ON p.id = a JOIN places q ON q.id = z),
+d1 AS (SELECT a AS x, z AS y, km FROM k UNION ALL SELECT z, a, km FROM k UNION ALL SELECT id, id, 0 FROM places),
+d2 AS MATERIALIZED (SELECT l.x, m.y, min(l.km + m.km) AS km FROM d1 l JOIN d1 m ON l.y = m.x GROUP BY 1, 2), d4 AS MATERIALIZED (SELECT l.x, m.y, min(l.km + m.km) AS km FROM d2 l JOIN d2 m ON l.y = m.x GROUP BY 1, 2),
+d8 AS (SELECT l.x, m.y, min(l.km + m.km) AS km FROM d4 l JOIN d4 m ON l.y = m.x GROUP BY 1, 2) SELECT CAST(x AS VARCHAR) AS origin, CAST(y AS VARCHAR) AS station, round(km, 6) AS km FROM d8 WHERE x <> y""")
+def rail_distance(s, d):
+    return _rails(s, d).withColumn("km", r("km"))
+
+
 @query()
 def speed_matrix(s, d):
     e = nw.edges(b.stop_times(s, d))
-    found = se.search(se.departure_jobs(b.places(s, d), e, 8, 20), e, budget=240)
-    x = se.speed_matrix(found, rail_distance(s, d), 12)
+    found = se.search(se.departure_jobs(b.places(s, d), e, 8, 20), e, budget=240, paths=False)
+    x = se.speed_matrix(found, _rails(s, d), 12)
     return x.withColumn("class", sc.speed_class(F.col("kmh")))
 
 
