@@ -149,32 +149,40 @@ def hold_saves(conn: DataFrame, holds=HOLDS) -> DataFrame:
 
 
 def hold_downstream(conn: DataFrame, rec: DataFrame, holds=HOLDS) -> DataFrame:
-    """What a hold does to the held train's later stops: connections newly missed from it, and saved onto it."""
-    stops = route_stops(rec).select("day_date", "train_no", "station", "stop_order")
-    held = conn.filter("missed = 1").select("day_date", "dow", "station", "dep_train").distinct().join(stops.withColumnRenamed("train_no", "dep_train"), ["day_date", "dep_train", "station"])
-    later = stops.select("day_date", F.col("train_no").alias("dep_train"), F.col("station").alias("later"), F.col("stop_order").alias("later_order"))
-    route = held.join(later, ["day_date", "dep_train"]).filter(F.col("later_order") > F.col("stop_order")).select("day_date", "dow", "station", F.col("dep_train").alias("train"), "later").distinct()
-    route = route.withColumn("hold", F.explode(F.array(*[F.lit(h) for h in holds])))
-    slack = F.col("c.dep_actual") - F.col("c.arr_actual")
-    c = conn.select("day_date", F.col("station").alias("later"), "arr_train", "dep_train", "missed", "dep_actual", "arr_actual").alias("c")
-    key = ["station", "train", "dow", "hold"]
-    new = (route.join(c.withColumnRenamed("arr_train", "train").alias("c"), ["day_date", "later", "train"]).groupBy(*key)
-           .agg(F.count_if((F.col("missed") == 0) & (slack > 0) & (slack <= F.col("hold"))).alias("new_misses")))
-    saved = (route.join(c.withColumnRenamed("dep_train", "train").alias("c"), ["day_date", "later", "train"]).groupBy(*key)
-             .agg(F.count_if((F.col("missed") == 1) & (-slack > 0) & (-slack <= F.col("hold"))).alias("saved_later")))
-    keys = route.select(*key).distinct()
-    return keys.join(new, key, "left").join(saved, key, "left").select(*key, *[F.coalesce(x, F.lit(0)).alias(x) for x in ("new_misses", "saved_later")])
+    """What a hold does to the held train's later stops: connections newly missed from it, and saved onto it.
+
+    Connections are counted for each train, day and stop before the stops of a route meet them, and all holds at once.
+    """
+    slack = F.col("dep_actual") - F.col("arr_actual")
+    new = [F.count_if((F.col("missed") == 0) & (slack > 0) & (slack <= h)).alias(f"new_{h}") for h in holds]
+    saved = [F.count_if((F.col("missed") == 1) & (-slack > 0) & (-slack <= h)).alias(f"saved_{h}") for h in holds]
+    of_dep = conn.groupBy("day_date", "dow", "station", F.col("dep_train").alias("train")).agg(*saved, F.max("missed").alias("held"))
+    of_arr = conn.groupBy("day_date", "station", F.col("arr_train").alias("train")).agg(*new)
+    cols = [f"{x}_{h}" for x in ("new", "saved") for h in holds]
+    effects = of_arr.join(of_dep.drop("dow", "held"), ["day_date", "station", "train"], "full").withColumnRenamed("station", "later")
+
+    stops = route_stops(rec).select("day_date", F.col("train_no").alias("train"), "station", "stop_order")
+    held = of_dep.filter("held = 1").select("day_date", "dow", "station", "train").join(stops, ["day_date", "train", "station"])
+    later = stops.select("day_date", "train", F.col("station").alias("later"), F.col("stop_order").alias("later_order"))
+    route = held.join(later, ["day_date", "train"]).filter(F.col("later_order") > F.col("stop_order")).select("day_date", "dow", "station", "train", "later").distinct()
+    sums = route.join(effects, ["day_date", "later", "train"], "left").groupBy("station", "train", "dow").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cols])
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("hold"), F.col(f"new_{h}").alias("new_misses"), F.col(f"saved_{h}").alias("saved_later")) for h in holds]))
+    return sums.select("station", "train", "dow", each.alias("e")).select("station", "train", "dow", "e.hold", "e.new_misses", "e.saved_later")
 
 
 def hold_advice(conn: DataFrame, rec: DataFrame, least: int = 2) -> DataFrame:
     """Best hold for each pair: always, or on one weekday where that is far better."""
     down = hold_downstream(conn, rec).withColumnRenamed("train", "dep_train")
-    by_dow = hold_saves(conn).join(down, ["station", "dep_train", "dow", "hold"], "left").select(
-        "station", "arr_train", "dep_train", "dow", "hold", "saves", (F.col("saves") + F.coalesce("saved_later", F.lit(0)) - F.coalesce("new_misses", F.lit(0))).alias("net"))
-    occ = conn.groupBy("station", "arr_train", "dep_train", "dow").agg(F.count("*").alias("n_occ"), F.sum("missed").alias("m"))
+    over = F.col("arr_actual") - F.col("dep_actual")
+    occ = conn.groupBy("station", "arr_train", "dep_train", "dow").agg(
+        F.count("*").alias("n_occ"), F.sum("missed").alias("m"), *[F.count_if((F.col("missed") == 1) & (over <= h)).alias(f"saves_{h}") for h in HOLDS])
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("hold"), F.col(f"saves_{h}").alias("saves")) for h in HOLDS])).alias("e")
+    saves = occ.filter("m > 0").select("station", "arr_train", "dep_train", "dow", "n_occ", each).select("station", "arr_train", "dep_train", "dow", "n_occ", "e.hold", "e.saves").filter("saves > 0")
+    by_dow = saves.join(down, ["station", "dep_train", "dow", "hold"], "left").select(
+        "station", "arr_train", "dep_train", "dow", "hold", "n_occ", "saves", (F.col("saves") + F.coalesce("saved_later", F.lit(0)) - F.coalesce("new_misses", F.lit(0))).alias("net"))
     pair = ["station", "arr_train", "dep_train"]
     always = by_dow.groupBy(*pair, "hold").agg(F.sum("net").alias("net"), F.sum("saves").alias("saves")).groupBy(*pair).agg(F.max(F.struct("net", (-F.col("hold")).alias("h"), "saves")).alias("u"))
-    one_day = by_dow.join(occ, [*pair, "dow"]).filter("n_occ >= 2").groupBy(*pair).agg(F.max(F.struct("net", (-F.col("dow")).alias("w"), (-F.col("hold")).alias("h"), "saves")).alias("d"))
+    one_day = by_dow.filter("n_occ >= 2").groupBy(*pair).agg(F.max(F.struct("net", (-F.col("dow")).alias("w"), (-F.col("hold")).alias("h"), "saves")).alias("d"))
     misses = occ.groupBy(*pair).agg(F.sum("m").cast("long").alias("missed")).filter(F.col("missed") >= least)
     out = always.join(misses, pair).join(one_day, pair, "left")
     day_wins = F.coalesce((F.col("d.net") > 1.5 * F.col("u.net")) | ((F.col("u.net") < 2) & (F.col("d.net") >= F.col("u.net"))), F.lit(False))
