@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from railspan.plans import registry
+from railspan.plans import registry, reports  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
