@@ -44,13 +44,14 @@ def date_range(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 
 def filter_dates(df: DataFrame, day: str = "day_date", weekdays=None, public: DataFrame | None = None, school: DataFrame | None = None) -> DataFrame:
-    """Rows on the wanted weekdays (Monday is 0), not on a public holiday nor inside a school holiday. The calendars are small by nature."""
+    """Rows on the wanted weekdays (Monday is 0), not on a public holiday nor inside a school holiday."""
     if weekdays is not None:
         df = df.filter(F.weekday(day).isin(list(weekdays)))
     if public is not None:
-        df = df.join(F.broadcast(public), F.col(day) == F.col("holiday"), "left_anti")
+        df = df.join(public, F.col(day) == F.col("holiday"), "left_anti")
     if school is not None:
-        df = df.join(F.broadcast(school.select(F.col("start").alias("_s"), F.col("end").alias("_e"))), F.col(day).between(F.col("_s"), F.col("_e")), "left_anti")
+        closed = school.select(F.explode(F.sequence("start", "end")).alias("_closed")).distinct()  # days, so that they meet by equality
+        df = df.join(closed, F.col(day) == F.col("_closed"), "left_anti")
     return df
 
 
@@ -68,7 +69,9 @@ def month_snapshots(dates: DataFrame, day: str = "day_date") -> DataFrame:
 def service_dates(calendar: DataFrame, exceptions: DataFrame, dates: DataFrame) -> DataFrame:
     """(service_id, day_date) that run: by weekday flags, plus additions (type 1), minus removals (type 2), on the wanted dates."""
     flags = F.array(*[F.col(d) for d in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")])
-    regular = (calendar.join(dates, F.col("day_date").between(F.col("start_date"), F.col("end_date")))
+    first, last = F.trunc("start_date", "MM"), F.trunc("end_date", "MM")
+    months = calendar.filter("start_date <= end_date").withColumn("month", F.explode(F.sequence(first, last, F.expr("interval 1 month"))))
+    regular = (months.join(dates.select("day_date", F.trunc("day_date", "MM").alias("month")), "month").filter(F.col("day_date").between(F.col("start_date"), F.col("end_date")))
                .filter(F.element_at(flags, F.weekday("day_date") + 1) == 1).select("service_id", "day_date"))
     extra = exceptions.filter("exception_type = 1").join(dates, F.col("date") == F.col("day_date")).select("service_id", "day_date")
     gone = exceptions.filter("exception_type = 2").select("service_id", F.col("date").alias("day_date"))

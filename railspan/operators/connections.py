@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from railspan.operators.ranks import running_counts
+
 # Seconds that a departure may be held; longest wait; edges of the wait histogram in minutes.
 HOLDS, LONGEST_WAIT, WAIT_EDGES = (120, 180, 300), 7200, (0, 5, 10, 15, 20, 30, 60, 120)
 
@@ -100,8 +102,7 @@ def wait_histogram(waits: DataFrame) -> DataFrame:
 
 def upper_median(df: DataFrame, col: str) -> DataFrame:
     """Element n // 2 of the sorted values."""
-    ranks = df.groupBy(col).agg(F.count("*").alias("c"))  # one row for each value, however many rows there are
-    run = ranks.withColumn("upto", F.sum("c").over(Window.orderBy(col))).crossJoin(ranks.agg(F.sum("c").alias("n")))
+    run = running_counts(df, col)
     return run.filter(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.min(col).alias("upper_median"))
 
 
@@ -117,8 +118,8 @@ def impact(conn: DataFrame, rec: DataFrame) -> DataFrame:
 def corridors(conn: DataFrame, rec: DataFrame, pairs: DataFrame) -> DataFrame:
     """Connections of trains that serve the origin with trains that serve the destination, for all pairs at once."""
     serves = rec.select("station", "train_no", "day_date").distinct()
-    o = serves.join(F.broadcast(pairs.select("origin", "dest")), F.col("station") == F.col("origin")).select("origin", "dest", F.col("train_no").alias("arr_train"), "day_date").distinct()
-    d = serves.join(F.broadcast(pairs.select("origin", "dest")), F.col("station") == F.col("dest")).select("origin", "dest", F.col("train_no").alias("dep_train"), "day_date").distinct()
+    o = serves.join(pairs.select("origin", "dest"), F.col("station") == F.col("origin")).select("origin", "dest", F.col("train_no").alias("arr_train"), "day_date").distinct()
+    d = serves.join(pairs.select("origin", "dest"), F.col("station") == F.col("dest")).select("origin", "dest", F.col("train_no").alias("dep_train"), "day_date").distinct()
     return rollup(conn.join(o, ["arr_train", "day_date"]).join(d, ["dep_train", "day_date", "origin", "dest"]), "origin", "dest", "dep_hour")
 
 

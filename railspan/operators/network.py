@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railspan.functions.scalars import haversine_km
+from railspan.operators.ranks import running_counts
 
 
 def stop_lookup(stops: DataFrame, box: Column | None = None) -> DataFrame:
@@ -146,11 +147,24 @@ def inside(lat: Column, lon: Column, rings: Column) -> Column:
     return F.aggregate(rings, F.lit(0), lambda n, ring: n + crosses(ring)) % 2 == 1
 
 
+#: Degrees of a grid cell in which points meet areas.
+AREA_CELL = 0.25
+
+
 def assign_area(points: DataFrame, areas: DataFrame, centroids: DataFrame, fallback_km: float = 30.0) -> DataFrame:
-    """Area that holds each point (the least name among several), else the nearest centroid within fallback_km, else null. Areas are few by nature."""
-    held = points.join(F.broadcast(areas.select(F.col("name").alias("area"), "rings")), inside(F.col("lat"), F.col("lon"), F.col("rings"))).groupBy("id").agg(F.min("area").alias("held"))
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
-    near = points.join(F.broadcast(centroids.select(F.col("name").alias("c"), F.col("lat").alias("clat"), F.col("lon").alias("clon")))).groupBy("id").agg(F.min(F.struct(km.alias("km"), "c")).alias("n"))
+    """Area that holds each point (the least name among several), else the nearest centroid within fallback_km, else null.
+
+    Points meet the areas whose bounding boxes touch their grid cell, and the centroids of neighbouring cells (up to 57 degrees north).
+    """
+    cell = AREA_CELL
+    xs, ys = (F.flatten(F.transform("rings", lambda ring: F.transform(ring, lambda p: p[0]))), F.flatten(F.transform("rings", lambda ring: F.transform(ring, lambda p: p[1]))))
+    span = lambda v: F.explode(F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell)))
+    boxes = areas.select(F.col("name").alias("area"), "rings", span(ys).alias("cx")).select("area", "rings", "cx", span(xs).alias("cy"))
+    met = points.select("id", "lat", "lon", *_cells(F.col("lat"), F.col("lon"), cell)).join(boxes, ["cx", "cy"])
+    held = met.filter(inside(F.col("lat"), F.col("lon"), F.col("rings"))).groupBy("id").agg(F.min("area").alias("held"))
+    km, size = haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")), fallback_km / 60
+    ends = centroids.select(F.col("name").alias("c"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), *_cells(F.col("lat"), F.col("lon"), size))
+    near = _around(points.select("id", "lat", "lon"), "lat", "lon", size).join(ends, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(km.alias("km"), "c")).alias("n"))
     return points.join(held, "id", "left").join(near, "id", "left").select("id", F.coalesce("held", F.when(F.col("n.km") < fallback_km, F.col("n.c"))).alias("area"))
 
 
@@ -164,8 +178,7 @@ def quantile_edges(df: DataFrame, col: str, n: int) -> DataFrame:
 
 def terciles(df: DataFrame, col: str) -> DataFrame:
     """Elements floor(0.33 n) and floor(0.66 n) of the sorted values, by counts of distinct values."""
-    ranks = df.groupBy(col).agg(F.count("*").alias("c"))
-    run = ranks.withColumn("upto", F.sum("c").over(Window.orderBy(col))).crossJoin(ranks.agg(F.sum("c").alias("n")))
+    run = running_counts(df, col)
     return run.agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") * 0.33), F.col(col))).alias("t1"), F.min(F.when(F.col("upto") > F.floor(F.col("n") * 0.66), F.col(col))).alias("t2"))
 
 

@@ -68,9 +68,11 @@ def missed_by_weekday(s, d):
     return days.join(co.rollup(_conn(s, d), "dow"), "dow", "left").select("dow", F.coalesce("planned", F.lit(0)).alias("planned"), F.coalesce("missed", F.lit(0)).alias("missed"))
 
 
-@query(f"WITH {b.CONN}, x AS (SELECT day_date, {_ROLL} FROM conn GROUP BY 1), g AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-02-04', INTERVAL 1 DAY)) AS DATE) AS day_date) SELECT CAST(g.day_date AS VARCHAR) AS day, coalesce(planned, 0) AS planned, coalesce(missed, 0) AS missed FROM g LEFT JOIN x USING (day_date)")
+@query(f"WITH {b.CONN}, x AS (SELECT day_date, {_ROLL} FROM conn GROUP BY 1), g AS (SELECT CAST(unnest(generate_series((SELECT min(day_date) FROM rec), (SELECT max(day_date) FROM rec), INTERVAL 1 DAY)) AS DATE) AS day_date) SELECT CAST(g.day_date AS VARCHAR) AS day, coalesce(planned, 0) AS planned, coalesce(missed, 0) AS missed FROM g LEFT JOIN x USING (day_date)")
 def missed_by_day(s, d):
-    return cal.date_range(s, "2024-01-01", "2024-02-04").join(co.rollup(_conn(s, d), "day_date"), "day_date", "left").select(
+    ends = b.rec(s, d).agg(F.min("day_date"), F.max("day_date")).first()
+    days = cal.date_range(s, str(ends[0]), str(ends[1])) if ends[0] else s.createDataFrame([], "day_date date")
+    return days.join(co.rollup(_conn(s, d), "day_date"), "day_date", "left").select(
         F.col("day_date").cast("string").alias("day"), F.coalesce("planned", F.lit(0)).alias("planned"), F.coalesce("missed", F.lit(0)).alias("missed"))
 
 

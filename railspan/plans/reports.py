@@ -204,12 +204,12 @@ def class_tabs(s, d):
 
 
 @query("""SELECT id, name, score FROM (SELECT s_suppkey AS id, s_name AS name, count(*) FILTER (WHERE l_quantity > 40) + 0.5::DOUBLE * count(*) FILTER (WHERE l_quantity BETWEEN 20 AND 40) AS score, count(*) AS n
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE contains(lower(s_name), '1') GROUP BY 1, 2) ORDER BY score DESC, n DESC, id LIMIT 20 OFFSET 1""")
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE contains(lower(s_name), '0') GROUP BY 1, 2) ORDER BY score DESC, n DESC, id LIMIT 20 OFFSET 5""")
 def ranking_page(s, d):
     q = F.col("l_quantity")
-    x = b.table(s, d, "lineitem").join(b.table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).filter(F.contains(F.lower("s_name"), F.lit("1")))
+    x = b.table(s, d, "lineitem").join(b.table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).filter(F.contains(F.lower("s_name"), F.lit("0")))
     x = x.groupBy(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).agg((F.count_if(q > 40) + 0.5 * F.count_if(q.between(20, 40))).cast("double").alias("score"), F.count("*").alias("n"))
-    return fi.page(x, 1, 20, F.desc("score"), F.desc("n"), F.col("id")).drop("n")
+    return fi.page(x, 5, 20, F.desc("score"), F.desc("n"), F.col("id")).drop("n")
 
 
 @query(f"WITH {ROUGH}, o AS (SELECT train_no, min(relation) AS relation FROM rough WHERE delay_arr > 300 GROUP BY 1 HAVING count(*) >= 2) SELECT relation, count(*) AS n, string_agg(train_no, ',' ORDER BY train_no) AS trains FROM o GROUP BY 1")
@@ -248,3 +248,16 @@ def durations_from(s, d):
     first = p.orderBy("id").limit(1).select("id")
     swept = se.sweep(se.search(se.window_jobs(first, 7, 8), nw.edges(b.stop_times(s, d)), budget=60, paths=False), paths=False)
     return re.all_stations(p, swept.select(F.col("station").alias("id"), "minutes"), str(first.first()[0]))
+
+
+@query("""WITH c AS (SELECT n_nationkey AS service_id, n_nationkey % 5 AS off, DATE '2025-01-01' + n_nationkey * 9 AS a, DATE '2025-03-01' + n_nationkey * 9 AS z FROM nation),
+days AS (SELECT CAST(DATE '2025-01-15' + CAST(i AS INTEGER) AS DATE) AS day FROM range(200) t(i)), x AS (SELECT n_nationkey AS service_id, CAST(DATE '2025-02-01' + n_nationkey * 7 AS DATE) AS day, 1 + n_nationkey % 2 AS kind FROM nation),
+runs AS (SELECT service_id, day FROM c JOIN days ON day BETWEEN a AND z WHERE isodow(day) <> off + 1 UNION SELECT service_id, day FROM x WHERE kind = 1 AND day IN (SELECT day FROM days))
+SELECT CAST(service_id AS VARCHAR) AS service_id, count(*) AS n_days FROM runs WHERE (service_id, day) NOT IN (SELECT (service_id, day) FROM x WHERE kind = 2) GROUP BY 1""")
+def service_days(s, d):
+    k, day = F.col("n_nationkey"), lambda start, step: F.date_add(F.lit(start).cast("date"), (F.col("n_nationkey") * step).cast("int"))
+    n = b.table(s, d, "nation")
+    weekdays = "monday tuesday wednesday thursday friday saturday sunday".split()
+    calendar = n.select(k.cast("string").alias("service_id"), day("2025-01-01", 9).alias("start_date"), day("2025-03-01", 9).alias("end_date"), *[(k % 5 != i).cast("int").alias(x) for i, x in enumerate(weekdays)])
+    exceptions = n.select(k.cast("string").alias("service_id"), day("2025-02-01", 7).alias("date"), (1 + k % 2).alias("exception_type"))
+    return cal.service_day_counts(calendar, exceptions, cal.date_range(s, "2025-01-15", "2025-08-02"))

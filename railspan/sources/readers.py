@@ -31,8 +31,9 @@ def read_gtfs(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def latest_snapshot(active: DataFrame, wanted: DataFrame, days_back: int = 9) -> DataFrame:
     """For each wanted day the latest snapshot_date, up to days_back before it, with a service that runs."""
-    near = F.col("snapshot_date").between(F.date_sub("day_date", days_back), F.col("day_date"))
-    return wanted.join(active.filter("n_services > 0"), near, "left").groupBy("day_date").agg(F.max("snapshot_date").alias("snapshot_date"))
+    days = wanted.select("day_date", F.explode(F.sequence(F.date_sub("day_date", days_back), F.col("day_date"))).alias("on"))
+    live = active.filter("n_services > 0").select(F.col("snapshot_date").alias("on"), "snapshot_date")
+    return days.join(live, "on", "left").groupBy("day_date").agg(F.max("snapshot_date").alias("snapshot_date"))
 
 
 def read_punctuality(spark: SparkSession, path: str) -> DataFrame:
