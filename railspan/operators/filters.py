@@ -24,6 +24,16 @@ def drop_unless(df: DataFrame, condition: Column) -> DataFrame:
     return df.filter(F.coalesce(condition, F.lit(True)))
 
 
+def numeric_only(df: DataFrame, name: str) -> DataFrame:
+    """Rows whose text in the column is a number, as that number; others are dropped, not taken as 0."""
+    return df.withColumn(name, F.col(name).try_cast("double")).filter(F.col(name).isNotNull() & ~F.isnan(name))
+
+
+def edges_in_hours(edge: DataFrame, first: int, last: int) -> DataFrame:
+    """Edges that depart from hour first up to, not including, last."""
+    return edge.filter(F.col("dep_min").between(first * 60, last * 60 - 1))
+
+
 def of_operators(rec: DataFrame, operators: list[str] | None = None, relations: list[str] | None = None) -> DataFrame:
     """Records of the operators and relations named; None takes all. A missing name is in no list."""
     for name, wanted in (("operator", operators), ("relation", relations)):

@@ -82,6 +82,15 @@ def nearest_point(left: DataFrame, right: DataFrame, max_km: float = 1.0) -> Dat
     return best.filter(F.col("b.km") <= max_km).select("id", F.col("b.rid").alias("nearest"), F.col("b.km").alias("km"))
 
 
+def nearest_in_metres(left: DataFrame, right: DataFrame, metres: float = 1000.0) -> DataFrame:
+    """For each (id, lat, lon) of left the point of right nearest on the sphere, nearer than metres; the least id among equals."""
+    size = metres / 60_000
+    r = right.select(F.col("id").alias("rid"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), *_cells(F.col("lat"), F.col("lon"), size))
+    m = haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")) * 1000
+    met = _around(left.select("id", "lat", "lon"), "lat", "lon", size).join(r, ["cx", "cy"]).withColumn("m", m).filter(F.col("m") < metres)
+    return met.groupBy("id").agg(F.min(F.struct("m", "rid")).alias("b")).select("id", F.col("b.rid").alias("nearest"), F.col("b.m").alias("metres"))
+
+
 def cluster_isolated(points: DataFrame, segment_ids: DataFrame, max_km: float = 1.0) -> DataFrame:
     """Points without a segment take the id of the nearest point that has one."""
     linked = points.join(segment_ids.select("id").distinct(), "id", "left_semi")
@@ -111,24 +120,33 @@ def raster(spark, resolution: int = 200, box=(49.4, 51.6, 2.5, 6.5)) -> DataFram
         "i", "j", (F.lit(box[0]) + F.col("i") * ((box[1] - box[0]) / n)).alias("lat"), (F.lit(box[2]) + F.col("j") * ((box[3] - box[2]) / n)).alias("lon"))
 
 
-def reach_time(cells: DataFrame, stops: DataFrame, speed: float = 5.0, limit: int = 20_000) -> DataFrame:
-    """Least minutes from each cell to a stop (lat, lon, base minutes), by Manhattan distance. Stops are counted first and must be few."""
-    n = stops.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"more than {limit} stops: narrow the area")
-    s = F.broadcast(stops.select(F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.col("base").alias("base")))
+#: Cells of the largest raster that is broadcast.
+MOST_CELLS = 250_000
+
+
+def _each_cell(cells: DataFrame, stops: DataFrame) -> DataFrame:
+    """Stops beside every cell. The raster is counted and broadcast; any number of stops streams past it, and what follows combines by cell before it shuffles."""
+    if cells.limit(MOST_CELLS + 1).count() > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells: take a coarser raster")
+    return stops.join(F.broadcast(cells))
+
+
+def reach_time(cells: DataFrame, stops: DataFrame, speed: float = 5.0) -> DataFrame:
+    """Least minutes from each cell to a stop (lat, lon, base minutes), by Manhattan distance. Without stops there is no row."""
+    s = stops.select(F.col("lat").alias("slat"), F.col("lon").alias("slon"), "base")
     t = F.col("base") + (F.abs(F.col("lat") - F.col("slat")) * 111 + F.abs(F.col("lon") - F.col("slon")) * 71) / speed * 60
-    return cells.join(s).groupBy("i", "j").agg(F.min(t).alias("time"))
+    return _each_cell(cells, s).groupBy("i", "j").agg(F.min(t).alias("time"))
+
 
+def nearest_cells(cells: DataFrame, stops: DataFrame) -> DataFrame:
+    """The stop (id, lat, lon) nearest in degrees to each cell, the least id among equals: a Voronoi map as a raster.
 
-def nearest_cells(cells: DataFrame, stops: DataFrame, limit: int = 20_000) -> DataFrame:
-    """The stop (id, lat, lon) nearest in degrees to each cell, the least id among equals: a Voronoi map as a raster. Stops are counted first and must be few."""
-    n = stops.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"more than {limit} stops: narrow the area")
-    s = F.broadcast(stops.select("id", F.col("lat").alias("slat"), F.col("lon").alias("slon")))
+    Two passes over the stops, for the least distance and for who has it: both aggregate numbers, so nothing is sorted.
+    """
+    s = stops.select("id", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
     planar = F.pow(F.col("lat") - F.col("slat"), 2) + F.pow(F.col("lon") - F.col("slon"), 2)
-    return cells.join(s).groupBy("i", "j").agg(F.min(F.struct(planar.alias("p"), "id")).alias("b")).select("i", "j", F.col("b.id").alias("id"))
+    least = _each_cell(cells, s).groupBy("i", "j").agg(F.min(planar).alias("p"))
+    return _each_cell(cells.join(least, ["i", "j"]), s).filter(planar == F.col("p")).groupBy("i", "j").agg(F.min("id").alias("id"))
 
 
 def coverage(times: DataFrame) -> DataFrame:
@@ -151,17 +169,32 @@ def inside(lat: Column, lon: Column, rings: Column) -> Column:
 AREA_CELL = 0.25
 
 
+def areas_of(points: DataFrame, areas: DataFrame) -> DataFrame:
+    """(id, area) for each area (name, rings) that holds a point. Points meet the areas whose bounding boxes touch their grid cell."""
+    cell = AREA_CELL
+    xs, ys = (F.flatten(F.transform("rings", lambda ring: F.transform(ring, lambda p: p[0]))), F.flatten(F.transform("rings", lambda ring: F.transform(ring, lambda p: p[1]))))
+    span = lambda v: F.explode(F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell)))
+    boxes = areas.select(F.col("name").alias("area"), "rings", span(ys).alias("cx"), xs.alias("xs")).select("area", "rings", "cx", span(F.col("xs")).alias("cy"))
+    met = points.select("id", "lat", "lon", *_cells(F.col("lat"), F.col("lon"), cell)).join(boxes, ["cx", "cy"])
+    return met.filter(inside(F.col("lat"), F.col("lon"), F.col("rings"))).select("id", "area")
+
+
+def within_any(points: DataFrame, areas: DataFrame) -> DataFrame:
+    """Points that some area holds: a border needs no union of its provinces."""
+    return points.join(areas_of(points, areas).select("id"), "id", "left_semi")
+
+
+def dissolve(areas: DataFrame, groups: DataFrame) -> DataFrame:
+    """Areas (name, rings) joined to the groups (name, group) they are in: all rings of a group's areas, which do not overlap."""
+    return areas.join(groups, "name").groupBy(F.col("group").alias("name")).agg(F.flatten(F.array_sort(F.collect_list("rings"))).alias("rings"))
+
+
 def assign_area(points: DataFrame, areas: DataFrame, centroids: DataFrame, fallback_km: float = 30.0) -> DataFrame:
     """Area that holds each point (the least name among several), else the nearest centroid within fallback_km, else null.
 
     Points meet the areas whose bounding boxes touch their grid cell, and the centroids of neighbouring cells (up to 57 degrees north).
     """
-    cell = AREA_CELL
-    xs, ys = (F.flatten(F.transform("rings", lambda ring: F.transform(ring, lambda p: p[0]))), F.flatten(F.transform("rings", lambda ring: F.transform(ring, lambda p: p[1]))))
-    span = lambda v: F.explode(F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell)))
-    boxes = areas.select(F.col("name").alias("area"), "rings", span(ys).alias("cx")).select("area", "rings", "cx", span(xs).alias("cy"))
-    met = points.select("id", "lat", "lon", *_cells(F.col("lat"), F.col("lon"), cell)).join(boxes, ["cx", "cy"])
-    held = met.filter(inside(F.col("lat"), F.col("lon"), F.col("rings"))).groupBy("id").agg(F.min("area").alias("held"))
+    held = areas_of(points, areas).groupBy("id").agg(F.min("area").alias("held"))
     km, size = haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")), fallback_km / 60
     ends = centroids.select(F.col("name").alias("c"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), *_cells(F.col("lat"), F.col("lon"), size))
     near = _around(points.select("id", "lat", "lon"), "lat", "lon", size).join(ends, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(km.alias("km"), "c")).alias("n"))
@@ -194,6 +227,30 @@ def map_to_track(freq: DataFrame, track: DataFrame, paths: DataFrame) -> DataFra
     return direct.unionByName(path).unionByName(line).groupBy("a", "b").agg(F.sum("freq").alias("freq"), F.min("how").alias("how"))
 
 
+def mapping_counts(freq: DataFrame, track: DataFrame, paths: DataFrame, straight: bool = True) -> DataFrame:
+    """How many segments lie on track, on a path of it, on neither: those become straight lines, or are dropped."""
+    t = track.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("on")).distinct()
+    p = paths.filter("hops is not null").select("from_id", "to_id", F.lit(True).alias("by")).distinct()
+    f = freq.withColumns({"a": F.least("from_id", "to_id"), "b": F.greatest("from_id", "to_id")}).join(t, ["a", "b"], "left").join(p, ["from_id", "to_id"], "left")
+    direct, path = F.col("on").isNotNull(), F.col("on").isNull() & F.col("by").isNotNull()
+    neither = F.count_if(~direct & ~path)
+    return f.agg(F.count("*").alias("total"), F.count_if(direct).alias("direct"), F.count_if(path).alias("path"), F.count_if(direct | path).alias("mapped"),
+                 (neither if straight else F.lit(0)).alias("fallback"), (F.lit(0) if straight else neither).cast("long").alias("dropped"))
+
+
+def segment_index(segments: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(a, b, coords): segments (from_id, to_id, coords) between clusters (id, cluster), unless both ends are of one; of several the longest."""
+    end = lambda n: clusters.select(F.col("id").alias(f"{n}_id"), F.col("cluster").alias(f"{n}_c"))
+    met = segments.join(end("from"), "from_id", "left").join(end("to"), "to_id", "left")
+    x, y = F.coalesce("from_c", "from_id"), F.coalesce("to_c", "to_id")
+    x, y = F.when(x != y, x).otherwise(F.col("from_id")), F.when(x != y, y).otherwise(F.col("to_id"))
+    return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "coords").groupBy("a", "b").agg(F.max_by("coords", F.struct(F.size("coords"), "coords")).alias("coords"))
+
+
+def neighbours(index: DataFrame) -> DataFrame:
+    return index.select(F.col("a").alias("id"), F.col("b").alias("next")).union(index.select("b", "a")).filter("id <> next").distinct()
+
+
 def _hops(df: DataFrame, pos: str, *keep: str) -> DataFrame:
     pairs = F.arrays_zip(F.slice("hops", 1, F.size("hops") - 1).alias("x"), F.slice("hops", 2, F.size("hops") - 1).alias("y"))
     return df.filter("size(hops) > 1").select(*keep, F.posexplode(pairs).alias(pos, "h")).select(*keep, pos, F.col("h.x").alias("x"), F.col("h.y").alias("y"))

@@ -99,3 +99,13 @@ def all_stations(stations: DataFrame, reached: DataFrame, target: str) -> DataFr
     """Every station with its minutes: 0 for the target itself, null where it cannot be reached."""
     met = stations.select(F.col("id").cast("string").alias("id")).join(reached.select(F.col("id").cast("string").alias("id"), "minutes"), "id", "left")
     return met.select("id", F.when(F.col("id") == target, F.lit(0.0)).otherwise(F.col("minutes")).alias("minutes"))
+
+
+def group_stats(values: DataFrame, group: str, value: str) -> DataFrame:
+    return values.groupBy(group).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.max(value).alias("most"))
+
+
+def combine_destinations(times: DataFrame, destinations: DataFrame) -> DataFrame:
+    """For each origin of times (origin, station, minutes, transfers) how far the destinations (station) are that it reaches."""
+    met = times.join(destinations.select("station").distinct(), "station", "left_semi")
+    return met.groupBy("origin").agg(F.countDistinct("station").alias("n"), F.avg("minutes").alias("mean"), F.min("minutes").alias("least"), F.max("minutes").alias("most"), F.avg("transfers").alias("transfers"))

@@ -251,6 +251,28 @@ def search(jobs: DataFrame, edge: DataFrame, budget: float = 90, max_transfers:
     return dealt.mapInArrow(_scan(budget, max_transfers, penalty, paths), RESULT)
 
 
+def to_point(jobs: DataFrame, edge: DataFrame, walks: DataFrame | None = None, **options) -> DataFrame:
+    """(origin, start, station, minutes, transfers, path): from each station the least travel time to a point by a given time.
+
+    jobs: a name (origin), the minute to arrive by (start), and minutes from stations to the point (seeds). The search runs
+    backwards from that minute; path leads from the station to where the point is walked to.
+    """
+    back = None if walks is None else walks.select(F.col("stop_b").alias("stop_a"), F.col("stop_a").alias("stop_b"), "walk_min")
+    found = search(jobs.withColumn("start", -F.col("start")), reverse(edge), walks=back, **options)
+    return found.withColumns({"start": -F.col("start"), "path": F.reverse("path")})
+
+
+def path_lengths(paths: DataFrame, key: str, places: DataFrame) -> DataFrame:
+    """Kilometres along each path (key, path) by its stations' places (id, lat, lon); hops without a known place count nothing."""
+    from railspan.functions.scalars import haversine_km
+
+    n = F.size("path") - 1
+    hops = F.when(n > 0, F.arrays_zip(F.slice("path", 1, F.greatest(n, F.lit(0))).alias("x"), F.slice("path", 2, F.greatest(n, F.lit(0))).alias("y")))
+    end = lambda c: places.select(F.col("id").alias(c), F.col("lat").alias(f"{c}_lat"), F.col("lon").alias(f"{c}_lon"))
+    each = paths.select(key, F.explode_outer(hops).alias("h")).select(key, F.col("h.x").alias("x"), F.col("h.y").alias("y")).join(end("x"), "x", "left").join(end("y"), "y", "left")
+    return each.groupBy(key).agg(F.coalesce(F.sum(haversine_km(F.col("x_lat"), F.col("x_lon"), F.col("y_lat"), F.col("y_lon"))), F.lit(0.0)).alias("km"))
+
+
 def window_jobs(origins: DataFrame, first_hour: int, last_hour: int, step: int = 5) -> DataFrame:
     return origins.select(F.col("id").cast("string").alias("origin"), F.explode(F.sequence(F.lit(first_hour * 60), F.lit(last_hour * 60), F.lit(step))).alias("start"),
                           F.lit(None).cast("map<string,double>").alias("seeds"))

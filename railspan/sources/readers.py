@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railspan.functions.scalars import station_key, whole_number
@@ -29,6 +29,11 @@ def read_gtfs(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(GTFS[name]).parquet(f"{path}/{name}")
 
 
+def read_operators(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One table of all operators' feeds, below operator=.../snapshot_date=... folders, which become columns and prune."""
+    return spark.read.schema(GTFS[name] + ", operator string, snapshot_date date").parquet(f"{path}/{name}")
+
+
 def latest_snapshot(active: DataFrame, wanted: DataFrame, days_back: int = 9) -> DataFrame:
     """For each wanted day the latest snapshot_date, up to days_back before it, with a service that runs."""
     days = wanted.select("day_date", F.explode(F.sequence(F.date_sub("day_date", days_back), F.col("day_date"))).alias("on"))
@@ -82,6 +87,16 @@ def read_weather(spark: SparkSession, path: str, hourly: bool = False) -> DataFr
     return rows.select(day, F.substring("time", 12, 2).cast("int").alias("hour"), *[F.coalesce(n, F.lit(10.0 if n == "temperature_2m" else 0.0)).alias(n) for n in names])
 
 
+def service_day(asked: Column) -> Column:
+    """The day whose records a fetch at a time returns: two days before it."""
+    return F.date_sub(asked, 2)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Lines of JSON; nulls are written, so each line has all fields."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_partitioned(df: DataFrame, path: str, by: str = "day_date") -> None:
     """Parquet by day; each day's rows meet first, so a day is few files."""
     df.repartition(by).write.partitionBy(by).mode("overwrite").parquet(path)
