@@ -140,3 +140,12 @@ def sampled_labels(labels: DataFrame, name: str, most: int, unless: Column | Non
 def only(df: DataFrame, **cols: str) -> DataFrame:
     """Just the named columns with the wanted types: further columns cannot clash. name='type'."""
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in cols.items()])
+
+
+#: The letters that ASCII folds.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(text: Column | str) -> Column:
+    """A-Z lowered, all else as it is. Texts of ASCII alone take the fast way."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -7,7 +7,8 @@ from railspan.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_equals_oracle(spark, data, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{data}/documents.parquet')")
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
     want = con.execute(queries.ORACLES[name])
     cols = [c[0] for c in want.description]
     got = queries.QUERIES[name](spark, data)
