@@ -14,24 +14,35 @@ from railspan.operators.ranks import running_counts
 HOLDS, LONGEST_WAIT, WAIT_EDGES = (120, 180, 300), 7200, (0, 5, 10, 15, 20, 30, 60, 120)
 
 
-def connections(rec: DataFrame, min_gap: int = 120, max_gap: int = 900, close_call: int = 120) -> DataFrame:
-    """Arrivals joined with later departures of other trains, same day and station, min_gap to max_gap seconds apart.
+def sides(arrivals: DataFrame, departures: DataFrame, max_gap: int = 900) -> tuple[DataFrame, DataFrame]:
+    """The two sides of connections: arrivals in their time slot and the next, departures in their own."""
+    arr = arrivals.filter("arr_sec >= 0").select("day_date", "dow", "station", F.col("train_no").alias("arr_train"), F.col("relation").alias("rel_arr"), "arr_sec", "delay_arr",
+                                                 F.explode(F.array(F.floor(F.col("arr_sec") / max_gap), F.floor(F.col("arr_sec") / max_gap) + 1)).alias("slot"))
+    dep = departures.filter("dep_sec >= 0").select("day_date", "station", F.col("train_no").alias("dep_train"), F.col("relation").alias("rel_dep"), "dep_sec", "delay_dep",
+                                                   F.floor(F.col("dep_sec") / max_gap).alias("slot"))
+    return arr, dep
 
-    Besides day and station the join has a time slot of max_gap seconds: a departure falls in its arrival's
-    slot or the next, so a busy station is dealt to as many tasks as its day has slots.
-    """
-    arr = rec.filter("arr_sec >= 0").select("day_date", "dow", "station", F.col("train_no").alias("arr_train"), F.col("relation").alias("rel_arr"), "arr_sec", "delay_arr",
-                                            F.explode(F.array(F.floor(F.col("arr_sec") / max_gap), F.floor(F.col("arr_sec") / max_gap) + 1)).alias("slot"))
-    dep = rec.filter("dep_sec >= 0").select("day_date", "station", F.col("train_no").alias("dep_train"), F.col("relation").alias("rel_dep"), "dep_sec", "delay_dep",
-                                            F.floor(F.col("dep_sec") / max_gap).alias("slot"))
+
+def judged(met: DataFrame, min_gap: int = 120, max_gap: int = 900, close_call: int = 120) -> DataFrame:
+    """Joined sides of other trains within the gaps, with what became of each connection."""
     gap = F.col("dep_sec") - F.col("arr_sec")
     slack = F.col("dep_actual") - F.col("arr_actual")
-    return (arr.join(dep, ["day_date", "station", "slot"]).filter((F.col("arr_train") != F.col("dep_train")) & gap.between(min_gap, max_gap))
+    return (met.filter((F.col("arr_train") != F.col("dep_train")) & gap.between(min_gap, max_gap))
             .withColumn("gap", gap).withColumn("dep_hour", F.floor(F.col("dep_sec") / 3600))
             .withColumn("arr_actual", F.col("arr_sec") + F.col("delay_arr")).withColumn("dep_actual", F.col("dep_sec") + F.col("delay_dep"))
             .withColumn("missed", (slack < 0).cast("int")).withColumn("close_call", ((slack >= 0) & (slack < close_call)).cast("int")).drop("slot"))
 
 
+def connections(rec: DataFrame, min_gap: int = 120, max_gap: int = 900, close_call: int = 120) -> DataFrame:
+    """Arrivals joined with later departures of other trains, same day and station, min_gap to max_gap seconds apart.
+
+    Besides day and station the join has a time slot of max_gap seconds: a departure falls in its arrival's
+    slot or the next, so a busy station is dealt to as many tasks as its day has slots.
+    """
+    arr, dep = sides(rec, rec, max_gap)
+    return judged(arr.join(dep, ["day_date", "station", "slot"]), min_gap, max_gap, close_call)
+
+
 def total(*cols: str) -> list[Column]:
     return [F.sum(c).cast("long").alias(c) for c in cols]
 

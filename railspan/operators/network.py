@@ -131,13 +131,6 @@ def _each_cell(cells: DataFrame, stops: DataFrame) -> DataFrame:
     return stops.join(F.broadcast(cells))
 
 
-def reach_time(cells: DataFrame, stops: DataFrame, speed: float = 5.0) -> DataFrame:
-    """Least minutes from each cell to a stop (lat, lon, base minutes), by Manhattan distance. Without stops there is no row."""
-    s = stops.select(F.col("lat").alias("slat"), F.col("lon").alias("slon"), "base")
-    t = F.col("base") + (F.abs(F.col("lat") - F.col("slat")) * 111 + F.abs(F.col("lon") - F.col("slon")) * 71) / speed * 60
-    return _each_cell(cells, s).groupBy("i", "j").agg(F.min(t).alias("time"))
-
-
 def nearest_cells(cells: DataFrame, stops: DataFrame) -> DataFrame:
     """The stop (id, lat, lon) nearest in degrees to each cell, the least id among equals: a Voronoi map as a raster.
 

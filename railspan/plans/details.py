@@ -10,6 +10,7 @@ from railspan.operators import filters as fi
 from railspan.operators import geometry as ge
 from railspan.operators import network as nw
 from railspan.operators import punctuality as pu
+from railspan.operators import rasters as ra
 from railspan.operators import reports as re
 from railspan.operators import search as se
 from railspan.plans import bridge as b
@@ -208,10 +209,17 @@ def border_mask(s, d):
 SELECT round(quantile_cont(time, 0.5), 6) AS median, round(avg(time), 6) AS mean, round(quantile_cont(time, 0.95), 6) AS p95, {", ".join(f"round(avg(CASE WHEN time <= {m} THEN 100.0 ELSE 0 END), 6) AS pct_{m}min" for m in (5, 10, 15, 20, 30))} FROM t""")
 def access_coverage(s, d):
     """Minutes by bike to the nearest stop, over the cells inside the border."""
-    x = nw.coverage(nw.reach_time(_masked(s), b.places(s, d).withColumn("base", F.lit(0.0)), sc.SPEEDS["Bike"]))
+    x = nw.coverage(ra.reach_time(_masked(s), b.places(s, d).withColumn("base", F.lit(0.0)), sc.SPEEDS["Bike"]))
     return x.select(*[r_(F.col(c), c) for c in x.columns])
 
 
+@query(f"""WITH {b.PLACES}, l AS MATERIALIZED (SELECT DISTINCT lat, lon FROM places), g AS (SELECT i, j, 49.4 + i * ((51.6 - 49.4) / 199)::DOUBLE AS lat, 2.5 + j * ((6.5 - 2.5) / 199)::DOUBLE AS lon FROM range(200) a(i), range(200) c(j))
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(min((abs(g.lat - l.lat) * 111 + abs(g.lon - l.lon) * 71) / 5.0::DOUBLE * 60), 6) AS time FROM g, l GROUP BY 1, 2""")
+def access_raster(s, d):
+    """Minutes on foot from each cell of the whole raster to the nearest stop."""
+    return ra.reach_time(nw.raster(s), b.places(s, d).withColumn("base", F.lit(0.0))).withColumn("time", r("time"))
+
+
 @query()
 def gradient_raster(s, d):
     """Travel time from a place to each cell inside the border: a walk to stops, trains and transfers on foot, a last mile by bike."""
@@ -222,7 +230,7 @@ def gradient_raster(s, d):
     own = jobs.select(F.explode("seeds").alias("station", "base")).select("station", "base")
     base = found.select("station", F.col("minutes").cast("double").alias("base")).union(own).groupBy("station").agg(F.min("base").alias("base"))
     stops = p.withColumn("station", F.col("id").cast("string")).join(base, "station")
-    return nw.reach_time(_masked(s), stops, sc.SPEEDS["Bike"])
+    return ra.reach_time(_masked(s), stops, sc.SPEEDS["Bike"])
 
 
 @query()

@@ -11,6 +11,7 @@ from railspan.functions import scalars as sc
 from railspan.operators import connections as co
 from railspan.operators import network as nw
 from railspan.operators import punctuality as pu
+from railspan.operators import rasters as ra
 from railspan.operators import search as se
 from railspan.plans import bridge as b
 from railspan.sources.scratch import shared_dir
@@ -402,7 +403,7 @@ def radius_search(s, d):
 @query(f"""WITH {b.PLACES}, g AS (SELECT i, j, 49.4 + i * ((51.6 - 49.4) / 39)::DOUBLE AS lat, 2.5 + j * ((6.5 - 2.5) / 39)::DOUBLE AS lon FROM range(40) a(i), range(40) c(j)), t AS (SELECT i, j, min((abs(g.lat - p.lat) * 111 + abs(g.lon - p.lon) * 71) / 5.0 * 60) AS time FROM g, places p GROUP BY 1, 2)
 SELECT round(median(time), 3) AS median, round(avg(time), 3) AS mean, round(quantile_cont(time, 0.95), 3) AS p95, round(avg(CASE WHEN time <= 30 THEN 100.0 ELSE 0 END), 3) AS pct_30min FROM t""")
 def grid_minplus(s, d):
-    x = nw.coverage(nw.reach_time(nw.raster(s, 40), b.places(s, d).withColumn("base", F.lit(0.0))))
+    x = nw.coverage(ra.reach_time(nw.raster(s, 40), b.places(s, d).withColumn("base", F.lit(0.0))))
     return x.select(*[r(c, 3).alias(c) for c in ("median", "mean", "p95", "pct_30min")])
 
 

@@ -13,7 +13,13 @@ def sliding_delay(stream: DataFrame, width: str = "30 minutes", step: str = "15
 
 
 def write_connections(stream: DataFrame, path: str, checkpoint: str, **gaps):
-    """Each micro-batch of whole service days is joined to connections and appended."""
+    """Each micro-batch of whole service days is joined to connections, in a folder of its own, which a batch that is run again overwrites.
+
+    Days that are split over batches need `live.stream_connections`.
+    """
     from railspan.operators.connections import connections
 
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: connections(df, **gaps).write.mode("append").partitionBy("day_date").parquet(path)).start()
+    def put(df: DataFrame, n: int) -> None:
+        connections(df, **gaps).write.mode("overwrite").partitionBy("day_date").parquet(f"{path}/batch={n}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).start()
