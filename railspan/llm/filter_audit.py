@@ -29,7 +29,7 @@ def flag_failures(docs: DataFrame) -> DataFrame:
     """(doc_id, part, A, B, C, D, E): which filters each row of docs (doc_id, text, source) fails.
 
     A: under 50 words. B: fewer than 65 % distinct words. C: more than 5 % of the code points are A-Z. D: a character of
-    #$%&*|. E: the text of a smaller doc_id; copies meet by their SHA-256 in a join that Spark can split, and only texts that several rows have take part.
+    #$%&*|. E: the text of a smaller doc_id. The least id of each text (by its SHA-256) meets its own row by text and id, so copies stay spread.
     """
     text, words = F.coalesce("text", F.lit("")), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     rows = only(docs, doc_id="long", text="string", source="string").select("doc_id", F.coalesce("source", F.lit("")).alias("part"), text.alias("text"))
@@ -38,8 +38,8 @@ def flag_failures(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "part", (n < 50).alias("A"), (100 * F.size(F.array_distinct("words")).cast("long") < 65 * n.cast("long")).alias("B"),
                        (100 * F.regexp_count("text", F.lit("[A-Z]")).cast("long") > 5 * F.length("text").cast("long")).alias("C"), F.col("text").rlike(r"[#$%&*|]").alias("D"), F.unhex(F.sha2("text", 256)).alias("digest"))
     rows = materialize(rows, "flags")
-    least = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "least")
-    return rows.join(least, "digest", "left").select("doc_id", "part", *"ABCD", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("E"))
+    least = rows.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
+    return rows.join(least, ["digest", "doc_id"], "left").select("doc_id", "part", *"ABCD", (F.col("doc_id").isNotNull() & F.col("first").isNull()).alias("E"))
 
 
 def survivors(cells: DataFrame) -> DataFrame:
