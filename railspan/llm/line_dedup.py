@@ -31,6 +31,7 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
     """(d1, d2, gone): positions of the lines that go, for each row (d1, d2, doc_id, text) that loses some."""
     lines = materialize(long_lines(docs, least_chars), "lines")
     common = lines.groupBy("h1", "h2").agg(F.count_if("first").alias("docs"), F.max("doc_id").alias("last")).filter(F.col("docs") >= least_docs).select("h1", "h2", "last")
+    common = materialize(common, "common")  # a written side: Spark can split the other where many documents share a line
     return lines.join(common, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("d1", "d2").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
