@@ -363,3 +363,28 @@ def speed_matrix(found: DataFrame, distances: DataFrame, n_hours: int) -> DataFr
     """Commercial speed of each pair that is reached in half of the hours, at least."""
     best = found.groupBy("origin", "station", F.floor(F.col("start") / 60).alias("hour")).agg(F.min("minutes").alias("m")).groupBy("origin", "station").agg(F.count("*").alias("hours"), F.min("m").alias("minutes"))
     return (best.filter((F.col("hours") >= max(1, n_hours // 2)) & (F.col("minutes") > 0)).join(distances, ["origin", "station"]).select("origin", "station", "minutes", "km", (F.col("km") / F.col("minutes") * 60).alias("kmh")))
+
+
+def speed_ranking(found: DataFrame, stations: DataFrame, chosen: DataFrame, rail: DataFrame, n_hours: int) -> DataFrame:
+    """Commercial speeds between the chosen stations (id, name, lat, lon, trains_per_day), a row for each ordered pair of their names.
+
+    found: searches (origin, start, station, minutes) from the chosen ones; stations (id, name): all, of which those with a chosen name
+    count as that destination; rail: (origin, station, km) along the track, without which a pair has its distance as the crow flies. A pair has a
+    speed if some start in half of the hours, at least, reaches it; place ranks origins by fast pairs and half of the medium ones, then trains.
+    """
+    from railspan.functions.scalars import haversine_km, speed_class
+
+    a = chosen.select(F.col("id").cast("string").alias("origin"), F.col("name").alias("from_name"), F.col("lat").alias("la"), F.col("lon").alias("oa"), "trains_per_day")
+    b = chosen.select(F.col("id").cast("string").alias("station"), F.col("name").alias("to_name"), F.col("lat").alias("lb"), F.col("lon").alias("ob"))
+    named = stations.join(chosen.select("name"), "name", "left_semi").select(F.col("id").cast("string").alias("station"), F.col("name").alias("to_name"))
+    best = found.select("origin", "start", "station", "minutes").join(named, "station").groupBy("origin", "to_name").agg(F.min("minutes").alias("minutes"), F.countDistinct(F.floor(F.col("start") / 60)).alias("hours"))
+    pairs = a.join(b, F.col("from_name") != F.col("to_name"))  # the result's rows: the square of the stations that were asked for
+    met = pairs.join(best, ["origin", "to_name"], "left").join(rail.select("origin", "station", F.col("km").alias("rail")), ["origin", "station"], "left")
+    enough = F.col("hours") >= max(1, n_hours // 2)
+    met = met.withColumn("km", F.coalesce(F.when(F.col("rail") > 0, F.col("rail")), haversine_km(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob")))).withColumn("minutes", F.when(enough, F.col("minutes")))
+    met = met.withColumn("kmh", F.when(F.col("minutes") > 0, F.col("km") / F.col("minutes") * 60).when(F.col("minutes") == 0, F.lit(0.0)))
+    met = met.withColumn("class", F.when(F.col("kmh").isNotNull(), speed_class(F.col("kmh"))))
+    counts = met.groupBy("origin", "from_name", "trains_per_day").agg(*[F.count_if(F.coalesce(F.col("class") == c, F.lit(False))).alias(c) for c in ("fast", "medium", "slow")])
+    order = Window.orderBy(F.desc(F.col("fast") + F.col("medium") * 0.5), F.desc("trains_per_day"), "from_name")  # as many rows as stations were asked for
+    return met.join(counts.withColumn("place", F.row_number().over(order)).drop("from_name", "trains_per_day"), "origin").select(
+        "from_name", "to_name", "minutes", "km", "kmh", "class", "trains_per_day", "fast", "medium", "slow", "place")

@@ -8,6 +8,7 @@ from railspan.functions import calendar as cal
 from railspan.functions import scalars as sc
 from railspan.operators import filters as fi
 from railspan.operators import geometry as ge
+from railspan.operators import labels as la
 from railspan.operators import network as nw
 from railspan.operators import punctuality as pu
 from railspan.operators import rasters as ra
@@ -256,3 +257,37 @@ def overlapping_lines(s, d):
     end = lambda k: F.struct((F.col("lat") + (F.col("id") % k) * 0.01).alias("lat"), (F.col("lon") + (F.col("id") % 3) * 0.01).alias("lon"))
     lines = p.select("id", F.array(F.struct("lat", "lon"), end(5)).alias("coords")).union(p.filter("id % 4 = 0").select(F.col("id") + 1_000_000, F.array(end(5), F.struct("lat", "lon"))))
     return ge.overlapping(lines).withColumn("shared", r("shared"))
+
+
+def _short_track(s, d):
+    """Made-up track: stops within 25 km of one another, with their distance."""
+    return nw.transfer_band(b.places(s, d), 25.0).filter("stop_a < stop_b").select(F.col("stop_a").alias("a"), F.col("stop_b").alias("b"), "km")
+
+
+_DOUBLED = "\n".join(f", d{2 * i} AS MATERIALIZED (SELECT l.x, m.y, min(l.km + m.km) AS km FROM d{i} l JOIN d{i} m ON l.y = m.x GROUP BY 1, 2)" for i in (1, 2, 4, 8, 16))
+
+
+@query(f"""WITH {b.PLACES}, {b.EDGES}, e AS (SELECT p.id AS x, q.id AS y, {b.km_sql('p', 'q')} AS km FROM places p JOIN places q ON p.id <> q.id), d1 AS MATERIALIZED (SELECT x, y, km FROM e WHERE km <= 25 UNION ALL SELECT id, id, 0 FROM places){_DOUBLED}
+SELECT DISTINCT CAST(src AS VARCHAR) AS origin, CAST(dst AS VARCHAR) AS station, round(km, 6) AS km FROM edges JOIN d32 ON x = src AND y = dst WHERE src <> dst""")
+def track_distance(s, d):
+    """Kilometres along the track between the ends of every ride, from hub labels."""
+    rides = nw.edges(b.stop_times(s, d)).select(F.col("src").alias("origin"), F.col("dst").alias("station"))
+    return la.distances(rides, la.hub_labels(_short_track(s, d))).withColumn("km", r("km"))
+
+
+#: Stations whose speeds are ranked.
+RANKED = 12
+
+
+@query()
+def speed_ranking(s, d):
+    """Commercial speeds between the stations with the most trains; two stations with one name count as one destination."""
+    e = nw.edges(b.stop_times(s, d))
+    trains = nw.trains_per_day(nw.segment_frequency(e, 7)).select(F.col("id").cast("long").alias("id"), "trains_per_day")
+    stations = b.places(s, d).select("id", F.concat(F.lit("P"), F.floor(F.col("id") / 2).cast("string")).alias("name"), "lat", "lon").join(trains, "id")
+    chosen = nw.best_by(stations, "name", F.desc("trains_per_day"), F.col("id")).orderBy(F.desc("trains_per_day"), "name").limit(RANKED)
+    found = se.search(se.departure_jobs(chosen.select("id"), e, 8, 20), e, budget=240, paths=False)
+    one = chosen.select(F.col("id").alias("origin"))
+    rail = la.distances(one.join(one.select(F.col("origin").alias("station")), F.col("origin") != F.col("station")), la.hub_labels(_short_track(s, d)))
+    x = se.speed_ranking(found, stations, chosen, rail, 12)
+    return x.withColumns({c: r(c) for c in ("km", "kmh", "trains_per_day")})
