@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from railspan.operators.asof import asof
 from railspan.operators.ranks import running_counts
+from railspan.sources.scratch import written
 
 # Seconds that a departure may be held; longest wait; edges of the wait histogram in minutes.
 HOLDS, LONGEST_WAIT, WAIT_EDGES = (120, 180, 300), 7200, (0, 5, 10, 15, 20, 30, 60, 120)
@@ -92,15 +94,24 @@ def domino_trains(conn: DataFrame, least: int = 3, k: int = 50) -> DataFrame:
 
 
 def next_departures(conn: DataFrame, rec: DataFrame, horizon: int = LONGEST_WAIT) -> DataFrame:
-    """For each missed arrival the wait until the next departure that really leaves later, within the horizon."""
-    late = conn.filter("missed = 1").select("day_date", "station", "arr_train", "arr_actual").distinct()
-    dep = rec.filter("dep_sec >= 0").select("day_date", "station", F.col("train_no").alias("t"), (F.col("dep_sec") + F.col("delay_dep")).alias("leaves"))
-    slot = F.floor(F.col("arr_actual") / horizon)
-    late = late.withColumn("slot", F.explode(F.array(slot, slot + 1)))
-    dep = dep.withColumn("slot", F.floor(F.col("leaves") / horizon))
-    wait = F.col("leaves") - F.col("arr_actual")
-    return (late.join(dep, ["day_date", "station", "slot"]).filter((wait > 0) & (wait <= horizon) & (F.col("t") != F.col("arr_train")))
-            .groupBy("day_date", "station", "arr_train", "arr_actual").agg(F.min(wait).alias("wait")))
+    """For each missed arrival the wait until the next departure that really leaves later, within the horizon.
+
+    An as-of join with the departures of the day and station; where the next one is the arrival's own train, another with the one after
+    that, until none is left.
+    """
+    key = ["day_date", "station"]
+    left = conn.filter("missed = 1").select(*key, "arr_train", "arr_actual").distinct().withColumn("at", F.struct(F.col("arr_actual").alias("t"), F.lit(1).alias("after"), F.lit("").alias("train")))
+    leaves = (F.col("dep_sec") + F.col("delay_dep")).alias("t")
+    dep = rec.filter("dep_sec >= 0 and delay_dep is not null").select(*key, F.struct(leaves, F.lit(0).alias("after"), F.col("train_no").alias("train")).alias("at")).distinct()
+    found = None
+    while found is None or not left.isEmpty():
+        met = asof(left, dep, key, "at", forward=True).withColumn("next", F.col("match.at")).drop("match").filter(F.col("next.t") - F.col("arr_actual") <= horizon)
+        met = written(met, "next")
+        own = F.col("next.train") == F.col("arr_train")
+        here = met.filter(~own).select(*key, "arr_train", "arr_actual", (F.col("next.t") - F.col("arr_actual")).alias("wait"))
+        found = here if found is None else found.union(here)
+        left = met.filter(own).select(*key, "arr_train", "arr_actual", F.col("next").alias("at"))
+    return found
 
 
 def wait_histogram(waits: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from railspan.operators.asof import asof
+
 # The longest range of days that each report takes.
 LONGEST_RANGE = {"propagation": 30, "problematic": 30, "missed": 30, "deleted": 31, "weather": 365}
 
@@ -99,8 +101,10 @@ def first_names(rows: DataFrame) -> DataFrame:
 
 
 def holiday_name(days: DataFrame, holidays: DataFrame) -> DataFrame:
-    """(day, name): the first holiday (start, end, name) that holds the day, null where none does. Holidays become days before they are joined."""
-    each = holidays.select(F.explode(F.sequence("start", "end")).alias("day"), F.struct("start", "name").alias("h")).groupBy("day").agg(F.min("h").alias("h"))
-    return days.join(each, "day", "left").select("day", F.col("h.name").alias("name"))
-
+    """(day, name): of the holidays (start, end, name) that hold the day the first by start and name, null where none does.
 
+    What an earlier holiday covers is cut off a later one, so days meet the last holiday that starts before them.
+    """
+    seen = F.max("end").over(Window.orderBy("start", "name", "end").rowsBetween(Window.unboundedPreceding, -1))  # a calendar's few rows
+    own = holidays.withColumn("seen", seen).filter("seen is null or end > seen").select(F.greatest("start", F.date_add("seen", 1)).alias("day"), "end", "name")
+    return asof(days.select("day").distinct(), own, [], "day").select("day", F.when(F.col("match.end") >= F.col("day"), F.col("match.name")).alias("name"))

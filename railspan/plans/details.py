@@ -291,3 +291,43 @@ def speed_ranking(s, d):
     rail = la.distances(one.join(one.select(F.col("origin").alias("station")), F.col("origin") != F.col("station")), la.hub_labels(_short_track(s, d)))
     x = se.speed_ranking(found, stations, chosen, rail, 12)
     return x.withColumns({c: r(c) for c in ("km", "kmh", "trains_per_day")})
+
+
+_EASTER = """y0 AS (SELECT unnest(range(1995, 2002)) AS y), y1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y0), y2 AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM y1),
+y3 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM y2), y4 AS (SELECT y, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS n FROM y3), easter AS (SELECT y, make_date(y, n // 31, n % 31 + 1) AS e FROM y4),
+off AS (SELECT unnest([make_date(y, 1, 1), make_date(y, 5, 1), make_date(y, 7, 21), make_date(y, 8, 15), make_date(y, 11, 1), make_date(y, 11, 11), make_date(y, 12, 25), CAST(e + 1 AS DATE), CAST(e + 39 AS DATE), CAST(e + 50 AS DATE)]) AS day FROM easter)"""
+
+
+def _order_days(s, d):
+    return b.table(s, d, "orders").select(F.to_date("o_orderdate").alias("day_date"))
+
+
+def _breaks(s, d):
+    """Made-up school holidays, one for each nation; some overlap."""
+    k = F.col("n_nationkey")
+    start = F.date_add(F.lit("1995-02-01").cast("date"), (k * 80).cast("int"))
+    return b.table(s, d, "nation").select(start.alias("start"), F.date_add(start, (10 + k % 4 * 40).cast("int")).alias("end"), F.col("n_name").alias("name"))
+
+
+_BREAKS = "breaks AS (SELECT CAST(DATE '1995-02-01' + n_nationkey * 80 AS DATE) AS a, CAST(DATE '1995-02-01' + n_nationkey * 80 + 10 + n_nationkey % 4 * 40 AS DATE) AS z, n_name AS name FROM nation)"
+
+
+@query(f"WITH {_EASTER} SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders WHERE isodow(o_orderdate) <= 5 AND CAST(o_orderdate AS DATE) NOT IN (SELECT day FROM off) GROUP BY 1")
+def orders_on_workdays(s, d):
+    kept = cal.filter_dates(_order_days(s, d), "day_date", range(5), cal.public_holidays(s, 1995, 2001))
+    return kept.groupBy(F.year("day_date").alias("year")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_BREAKS} SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM breaks WHERE CAST(o_orderdate AS DATE) BETWEEN a AND z) GROUP BY 1")
+def orders_outside_breaks(s, d):
+    return cal.filter_dates(_order_days(s, d), "day_date", school=_breaks(s, d)).groupBy(F.year("day_date").alias("year")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_BREAKS}, x AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) SELECT day, arg_min(name, (a, name)) AS name FROM x LEFT JOIN breaks ON day BETWEEN a AND z GROUP BY 1")
+def break_of_day(s, d):
+    return fi.holiday_name(_order_days(s, d).select(F.col("day_date").alias("day")), _breaks(s, d))
+
+
+@query(f"WITH {_BREAKS} SELECT greatest(a, DATE '1996-01-01') AS start, least(z, DATE '1998-06-30') AS finish, name FROM breaks WHERE z >= DATE '1996-01-01' AND a <= DATE '1998-06-30'")
+def clipped_breaks(s, d):
+    return cal.clipped_periods(_breaks(s, d), "1996-01-01", "1998-06-30").withColumnRenamed("end", "finish")

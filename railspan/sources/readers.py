@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railspan.functions.scalars import station_key, whole_number
+from railspan.operators.asof import asof
 
 PUNCTUALITY = "train_no string, train_serv string, relation string, ptcar_lg_nm_nl string, planned_time_arr string, planned_time_dep string, delay_arr string, delay_dep string"
 GTFS = {
@@ -36,9 +37,9 @@ def read_operators(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def latest_snapshot(active: DataFrame, wanted: DataFrame, days_back: int = 9) -> DataFrame:
     """For each wanted day the latest snapshot_date, up to days_back before it, with a service that runs."""
-    days = wanted.select("day_date", F.explode(F.sequence(F.date_sub("day_date", days_back), F.col("day_date"))).alias("on"))
-    live = active.filter("n_services > 0").select(F.col("snapshot_date").alias("on"), "snapshot_date")
-    return days.join(live, "on", "left").groupBy("day_date").agg(F.max("snapshot_date").alias("snapshot_date"))
+    live = active.filter("n_services > 0").select(F.col("snapshot_date").alias("on")).distinct()
+    met = asof(wanted.select("day_date", F.col("day_date").alias("on")).distinct(), live, [], "on")
+    return met.select("day_date", F.when(F.col("match.on") >= F.date_sub("day_date", days_back), F.col("match.on")).alias("snapshot_date"))
 
 
 def read_punctuality(spark: SparkSession, path: str) -> DataFrame:
