@@ -59,14 +59,30 @@ def keep_commercial(rec: DataFrame, commercial: DataFrame | None) -> DataFrame:
     return rec if commercial is None or commercial.isEmpty() else rec.join(commercial, ["station", "train_no"], "left_semi")
 
 
-def _cells(lat: Column, lon: Column, size: float) -> list[Column]:
-    return [F.floor(lat / size).alias("cx"), F.floor(lon / size).alias("cy")]
+def _columns(km: float) -> tuple[float, int, float]:
+    """Degrees between grid rows, number of grid columns around the earth, degrees of a column: a row is wider than km."""
+    size = min(km / 60, 180.0)
+    n = max(1, int(360 / size))
+    return size, n, 360 / n
 
 
-def _around(df: DataFrame, lat: str, lon: str, size: float) -> DataFrame:
-    """Each row in its own grid cell and the eight around it."""
-    x, y = F.floor(F.col(lat) / size), F.floor(F.col(lon) / size)
-    return df.withColumn("cx", F.explode(F.array(x - 1, x, x + 1))).withColumn("cy", F.explode(F.array(y - 1, y, y + 1)))
+def _cells(lat: Column, lon: Column, km: float) -> list[Column]:
+    size, n, wide = _columns(km)
+    return [F.floor(lat / size).alias("cx"), F.pmod(F.floor((lon + 180) / wide), F.lit(n)).alias("cy")]
+
+
+def _around(df: DataFrame, lat: str, lon: str, km: float, planar: bool = False) -> DataFrame:
+    """Each row in all grid cells that places within km of it can be in, at every latitude and across 180 degrees.
+
+    A circle's longitudes widen with the latitude; near a pole it meets all columns. planar: also the places that are as near in degrees as one within km can be.
+    """
+    size, n, wide = _columns(km)
+    polar = F.abs(F.col(lat)) + size
+    reach = F.when(polar < 89.5, F.least(F.lit(180.0), size * 0.6 / F.cos(F.radians(F.least(polar, F.lit(89.5)))))).otherwise(180.0)
+    up = F.greatest(F.lit(size), F.least(reach, F.lit(180.0))) if planar else F.lit(size)
+    rows = F.sequence(F.floor((F.col(lat) - up) / size), F.floor((F.col(lat) + up) / size))
+    cols = F.sequence(F.floor((F.col(lon) + 180 - reach) / wide), F.floor((F.col(lon) + 180 + reach) / wide))
+    return df.withColumn("cx", F.explode(rows)).withColumn("cy", F.explode(F.array_distinct(F.transform(cols, lambda c: F.pmod(c, F.lit(n))))))
 
 
 def nearest_point(left: DataFrame, right: DataFrame, max_km: float = 1.0) -> DataFrame:
@@ -74,20 +90,18 @@ def nearest_point(left: DataFrame, right: DataFrame, max_km: float = 1.0) -> Dat
 
     Both sides meet in grid cells as wide as the radius reaches, so no pairs beyond neighbouring cells are made.
     """
-    size = max_km / 60  # degrees: at least max_km in longitude up to 57 degrees north
-    r = right.select(F.col("id").alias("rid"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), *_cells(F.col("lat"), F.col("lon"), size))
+    r = right.select(F.col("id").alias("rid"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), *_cells(F.col("lat"), F.col("lon"), max_km))
     planar = F.pow(F.col("lat") - F.col("rlat"), 2) + F.pow(F.col("lon") - F.col("rlon"), 2)
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))
-    best = (_around(left.select("id", "lat", "lon"), "lat", "lon", size).join(r, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(planar.alias("p"), "rid", km.alias("km"))).alias("b")))
+    best = (_around(left.select("id", "lat", "lon"), "lat", "lon", max_km, planar=True).join(r, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(planar.alias("p"), "rid", km.alias("km"))).alias("b")))
     return best.filter(F.col("b.km") <= max_km).select("id", F.col("b.rid").alias("nearest"), F.col("b.km").alias("km"))
 
 
 def nearest_in_metres(left: DataFrame, right: DataFrame, metres: float = 1000.0) -> DataFrame:
     """For each (id, lat, lon) of left the point of right nearest on the sphere, nearer than metres; the least id among equals."""
-    size = metres / 60_000
-    r = right.select(F.col("id").alias("rid"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), *_cells(F.col("lat"), F.col("lon"), size))
+    r = right.select(F.col("id").alias("rid"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), *_cells(F.col("lat"), F.col("lon"), metres / 1000))
     m = haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")) * 1000
-    met = _around(left.select("id", "lat", "lon"), "lat", "lon", size).join(r, ["cx", "cy"]).withColumn("m", m).filter(F.col("m") < metres)
+    met = _around(left.select("id", "lat", "lon"), "lat", "lon", metres / 1000).join(r, ["cx", "cy"]).withColumn("m", m).filter(F.col("m") < metres)
     return met.groupBy("id").agg(F.min(F.struct("m", "rid")).alias("b")).select("id", F.col("b.rid").alias("nearest"), F.col("b.m").alias("metres"))
 
 
@@ -100,11 +114,10 @@ def cluster_isolated(points: DataFrame, segment_ids: DataFrame, max_km: float =
 
 def transfer_band(stops: DataFrame, max_km: float = 0.4) -> DataFrame:
     """All pairs of stops within walking distance, in both directions, with the minutes of the walk."""
-    size = max_km / 60
     a = stops.select(F.col("id").alias("stop_a"), F.col("lat").alias("la"), F.col("lon").alias("oa"))
-    b = stops.select(F.col("id").alias("stop_b"), F.col("lat").alias("lb"), F.col("lon").alias("ob"), *_cells(F.col("lat"), F.col("lon"), size))
+    b = stops.select(F.col("id").alias("stop_b"), F.col("lat").alias("lb"), F.col("lon").alias("ob"), *_cells(F.col("lat"), F.col("lon"), max_km))
     km = haversine_km(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob"))
-    return (_around(a, "la", "oa", size).join(b, ["cx", "cy"]).filter(F.col("stop_a") != F.col("stop_b")).withColumn("km", km).filter(F.col("km") <= max_km)
+    return (_around(a, "la", "oa", max_km).join(b, ["cx", "cy"]).filter(F.col("stop_a") != F.col("stop_b")).withColumn("km", km).filter(F.col("km") <= max_km)
             .select("stop_a", "stop_b", "km", (F.col("km") / 4.5 * 60).alias("walk_min")))
 
 
@@ -120,28 +133,6 @@ def raster(spark, resolution: int = 200, box=(49.4, 51.6, 2.5, 6.5)) -> DataFram
         "i", "j", (F.lit(box[0]) + F.col("i") * ((box[1] - box[0]) / n)).alias("lat"), (F.lit(box[2]) + F.col("j") * ((box[3] - box[2]) / n)).alias("lon"))
 
 
-#: Cells of the largest raster that is broadcast.
-MOST_CELLS = 250_000
-
-
-def _each_cell(cells: DataFrame, stops: DataFrame) -> DataFrame:
-    """Stops beside every cell. The raster is counted and broadcast; any number of stops streams past it, and what follows combines by cell before it shuffles."""
-    if cells.limit(MOST_CELLS + 1).count() > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} cells: take a coarser raster")
-    return stops.join(F.broadcast(cells))
-
-
-def nearest_cells(cells: DataFrame, stops: DataFrame) -> DataFrame:
-    """The stop (id, lat, lon) nearest in degrees to each cell, the least id among equals: a Voronoi map as a raster.
-
-    Two passes over the stops, for the least distance and for who has it: both aggregate numbers, so nothing is sorted.
-    """
-    s = stops.select("id", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    planar = F.pow(F.col("lat") - F.col("slat"), 2) + F.pow(F.col("lon") - F.col("slon"), 2)
-    least = _each_cell(cells, s).groupBy("i", "j").agg(F.min(planar).alias("p"))
-    return _each_cell(cells.join(least, ["i", "j"]), s).filter(planar == F.col("p")).groupBy("i", "j").agg(F.min("id").alias("id"))
-
-
 def coverage(times: DataFrame) -> DataFrame:
     t = F.col("time")
     return times.agg(F.percentile(t, F.lit(0.5)).alias("median"), F.avg(t).alias("mean"), F.percentile(t, F.lit(0.95)).alias("p95"), *[F.avg((t <= m).cast("int") * 100.0).alias(f"pct_{m}min") for m in (5, 10, 15, 20, 30)])
@@ -168,7 +159,7 @@ def areas_of(points: DataFrame, areas: DataFrame) -> DataFrame:
     xs, ys = (F.flatten(F.transform("rings", lambda ring: F.transform(ring, lambda p: p[0]))), F.flatten(F.transform("rings", lambda ring: F.transform(ring, lambda p: p[1]))))
     span = lambda v: F.explode(F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell)))
     boxes = areas.select(F.col("name").alias("area"), "rings", span(ys).alias("cx"), xs.alias("xs")).select("area", "rings", "cx", span(F.col("xs")).alias("cy"))
-    met = points.select("id", "lat", "lon", *_cells(F.col("lat"), F.col("lon"), cell)).join(boxes, ["cx", "cy"])
+    met = points.select("id", "lat", "lon", F.floor(F.col("lat") / cell).alias("cx"), F.floor(F.col("lon") / cell).alias("cy")).join(boxes, ["cx", "cy"])
     return met.filter(inside(F.col("lat"), F.col("lon"), F.col("rings"))).select("id", "area")
 
 
@@ -185,12 +176,12 @@ def dissolve(areas: DataFrame, groups: DataFrame) -> DataFrame:
 def assign_area(points: DataFrame, areas: DataFrame, centroids: DataFrame, fallback_km: float = 30.0) -> DataFrame:
     """Area that holds each point (the least name among several), else the nearest centroid within fallback_km, else null.
 
-    Points meet the areas whose bounding boxes touch their grid cell, and the centroids of neighbouring cells (up to 57 degrees north).
+    Points meet the areas whose bounding boxes touch their grid cell, and the centroids of the cells that fallback_km reaches.
     """
     held = areas_of(points, areas).groupBy("id").agg(F.min("area").alias("held"))
-    km, size = haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")), fallback_km / 60
-    ends = centroids.select(F.col("name").alias("c"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), *_cells(F.col("lat"), F.col("lon"), size))
-    near = _around(points.select("id", "lat", "lon"), "lat", "lon", size).join(ends, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(km.alias("km"), "c")).alias("n"))
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
+    ends = centroids.select(F.col("name").alias("c"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), *_cells(F.col("lat"), F.col("lon"), fallback_km))
+    near = _around(points.select("id", "lat", "lon"), "lat", "lon", fallback_km).join(ends, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(km.alias("km"), "c")).alias("n"))
     return points.join(held, "id", "left").join(near, "id", "left").select("id", F.coalesce("held", F.when(F.col("n.km") < fallback_km, F.col("n.c"))).alias("area"))
 
 

@@ -9,6 +9,7 @@ from railspan.functions import scalars as sc
 from railspan.operators import filters as fi
 from railspan.operators import geometry as ge
 from railspan.operators import labels as la
+from railspan.operators import nearest as ne
 from railspan.operators import network as nw
 from railspan.operators import punctuality as pu
 from railspan.operators import rasters as ra
@@ -331,3 +332,20 @@ def break_of_day(s, d):
 @query(f"WITH {_BREAKS} SELECT greatest(a, DATE '1996-01-01') AS start, least(z, DATE '1998-06-30') AS finish, name FROM breaks WHERE z >= DATE '1996-01-01' AND a <= DATE '1998-06-30'")
 def clipped_breaks(s, d):
     return cal.clipped_periods(_breaks(s, d), "1996-01-01", "1998-06-30").withColumnRenamed("end", "finish")
+
+
+@query(f"""WITH {b.PLACES}, {CELLS_SQL}, k AS (SELECT i, j, p.id, pow((c.lat - p.lat) * 111, 2) + pow((c.lon - p.lon) * 71, 2) AS p2, row_number() OVER (PARTITION BY i, j ORDER BY pow((c.lat - p.lat) * 111, 2) + pow((c.lon - p.lon) * 71, 2), p.id) AS k FROM cells c, places p)
+SELECT i, j, id, round(sqrt(p2), 6) AS km FROM k WHERE k = 1""")
+def nearest_cells_km(s, d):
+    """The stop nearest to each cell in planar kilometres, with its distance."""
+    x = ne.nearest(nw.raster(s, 40).select(F.struct("i", "j").alias("id"), "lat", "lon"), b.places(s, d), ne.planar_km)
+    return x.select("id.i", "id.j", F.col("nearest").alias("id"), r("apart").alias("km"))
+
+
+@query(f"""WITH {b.PLACES}, k AS (SELECT p.id, q.id AS nearest, {b.km_sql('p', 'q')} AS km FROM places p JOIN places q ON p.id <> q.id AND p.id % 3 <> 0 AND q.id % 3 = 0)
+SELECT id, arg_min(nearest, (round(km, 9), nearest)) AS nearest, round(min(km), 4) AS km FROM k GROUP BY 1""")
+def nearest_on_earth(s, d):
+    """For each stop the nearest of every third one on the sphere, however far: its way along the surface."""
+    p = b.places(s, d)
+    x = ne.nearest(p.filter("id % 3 <> 0"), p.filter("id % 3 = 0"))
+    return x.select("id", "nearest", F.round(2 * ne.EARTH_KM * F.asin(F.col("apart") / (2 * ne.EARTH_KM)), 4).alias("km"))

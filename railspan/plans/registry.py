@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from railspan.functions import calendar as cal
 from railspan.functions import scalars as sc
 from railspan.operators import connections as co
+from railspan.operators import nearest as ne
 from railspan.operators import network as nw
 from railspan.operators import punctuality as pu
 from railspan.operators import rasters as ra
@@ -555,7 +556,7 @@ def area_of_stops(s, d):
 
 @query(f"""WITH {b.PLACES}, g AS (SELECT i, j, 49.4 + i * ((51.6 - 49.4) / 39)::DOUBLE AS lat, 2.5 + j * ((6.5 - 2.5) / 39)::DOUBLE AS lon FROM range(40) a(i), range(40) c(j)), k AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, id, row_number() OVER (PARTITION BY i, j ORDER BY pow(g.lat - p.lat, 2) + pow(g.lon - p.lon, 2), id) AS k FROM g, places p) SELECT i, j, id FROM k WHERE k = 1""")
 def nearest_cells(s, d):
-    return nw.nearest_cells(nw.raster(s, 40), b.places(s, d))
+    return ne.nearest_cells(nw.raster(s, 40), b.places(s, d))
 
 
 @query("SELECT CAST(greatest(a, DATE '2025-01-03') AS VARCHAR) AS start, CAST(least(z, DATE '2025-11-01') AS VARCHAR) AS finish, name FROM (VALUES "

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from railspan.operators import filters as fi
 from railspan.operators import geometry as ge
+from railspan.operators import nearest as ne
 from railspan.operators import network as nw
 from railspan.operators import search as se
 from railspan.sources import readers
@@ -59,8 +60,8 @@ def test_holes_and_regions(spark):
 def test_nearest_cell_of_equals_is_the_least_id(spark):
     cells = spark.createDataFrame([(0, 0, 50.0, 4.0), (0, 1, 50.0, 5.0)], "i int, j int, lat double, lon double")
     stops = spark.createDataFrame([(7, 50.0, 4.5), (3, 50.0, 3.5), (9, 50.0, 5.0)], "id long, lat double, lon double")
-    assert {(x.i, x.j): x.id for x in nw.nearest_cells(cells, stops).collect()} == {(0, 0): 3, (0, 1): 9}
-    assert nw.nearest_cells(cells, stops.limit(0)).count() == 0
+    assert {(x.i, x.j): x.id for x in ne.nearest_cells(cells, stops).collect()} == {(0, 0): 3, (0, 1): 9}
+    assert ne.nearest_cells(cells, stops.limit(0)).count() == 0
 
 
 def test_clusters_that_would_swallow_a_segment_are_not_used(spark):
