@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from railspan.functions import calendar as cal
 from railspan.functions import scalars as sc
+from railspan.operators import covers as cv
 from railspan.operators import filters as fi
 from railspan.operators import geometry as ge
 from railspan.operators import labels as la
@@ -349,3 +351,50 @@ def nearest_on_earth(s, d):
     p = b.places(s, d)
     x = ne.nearest(p.filter("id % 3 <> 0"), p.filter("id % 3 = 0"))
     return x.select("id", "nearest", F.round(2 * ne.EARTH_KM * F.asin(F.col("apart") / (2 * ne.EARTH_KM)), 4).alias("km"))
+
+
+_SHAPE = [(-1, -1), (0.3, -0.2), (1, -1), (0.9, 1), (0, 0.4), (-1, 1)]  # offsets of lon and lat, not convex
+
+
+def _shapes(s, d):
+    """Made-up areas, one for each nation: a shape around a place, wider for some; neighbours overlap."""
+    k = F.col("n_nationkey")
+    lon, lat, wide = 2.71 + k % 5 * 0.83, 49.63 + F.floor(k / 5) * 0.41, 0.19 + k % 4 * 0.1
+    return b.table(s, d, "nation").select(F.col("n_name").alias("name"), F.array(F.array(*[F.array(lon + x * wide, lat + y * wide) for x, y in _SHAPE])).alias("rings"))
+
+
+_SHAPES_SQL = "shape(i, x, y) AS (VALUES " + ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(_SHAPE)) + """),
+corner AS (SELECT n_name AS name, i, 2.71 + n_nationkey % 5 * 0.83 + x * (0.19 + n_nationkey % 4 * 0.1) AS x, 49.63 + n_nationkey // 5 * 0.41 + y * (0.19 + n_nationkey % 4 * 0.1) AS y FROM nation, shape),
+side AS (SELECT a.name, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM corner a JOIN corner b ON a.name = b.name AND b.i = (a.i + 1) % 6)"""
+
+
+@query(f"""WITH {b.PLACES}, {_SHAPES_SQL} SELECT id, name AS area FROM points JOIN side ON (ay > lat) <> (by_ > lat) WHERE lon < (bx - ax) * (lat - ay) / (by_ - ay) + ax GROUP BY 1, 2 HAVING count(*) % 2 = 1""")
+def points_in_areas(s, d):
+    """Points in areas by the areas' cells; only those in a border's cell are tested."""
+    areas = _shapes(s, d)
+    return cv.covered(b.points(s, d), cv.cell_cover(areas), areas)
+
+
+@query(f"""WITH {_SHAPES_SQL}, cells AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 49.4::DOUBLE + i * ((51.6::DOUBLE - 49.4::DOUBLE) / 99) AS lat, 2.5::DOUBLE + j * ((6.5::DOUBLE - 2.5::DOUBLE) / 99) AS lon FROM range(100) a(i), range(100) c(j)),
+x AS (SELECT i, j, name FROM cells JOIN side ON (ay > lat) <> (by_ > lat) WHERE lon < (bx - ax) * (lat - ay) / (by_ - ay) + ax GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1) SELECT DISTINCT i, j FROM x""")
+def mask_by_cells(s, d):
+    """Cells of the raster inside any of the areas of a table."""
+    areas = _shapes(s, d)
+    return cv.covered(nw.raster(s, 100).withColumn("id", F.struct("i", "j")), cv.cell_cover(areas), areas).select("id.i", "id.j").distinct()
+
+
+def _tiles(s, d):
+    """Made-up provinces that share borders: a strip of squares for each region, one for each of its nations."""
+    g = F.col("n_regionkey")
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    n = b.table(s, d, "nation").withColumn("place", place)
+    corner = lambda x, y: F.array((F.col("place") + x).cast("double"), (g * 2 + y).cast("double"))
+    return n.select(F.col("n_name").alias("name"), g.cast("string").alias("group"), F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))).alias("rings"))
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS region, 1 AS rings, CAST(count(*) AS DOUBLE) AS area, 2 * count(*) + 2 AS corners FROM nation GROUP BY 1")
+def region_borders(s, d):
+    """Regions as the union of touching provinces: one ring each, with the provinces' area."""
+    t = _tiles(s, d)
+    x = cv.dissolve(t.select("name", "rings"), t.select("name", "group"))
+    return x.select(F.col("name").alias("region"), F.size("rings").alias("rings"), cv.ring_area(F.col("rings")).alias("area"), F.size(F.flatten("rings")).cast("long").alias("corners"))
