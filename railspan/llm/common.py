@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -149,3 +150,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def ascii_lower(text: Column | str) -> Column:
     """A-Z lowered, all else as it is. Texts of ASCII alone take the fast way."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def any_names(work):
+    """For a transform of documents that keeps their columns: it sees doc_id, text and columns with plain names, and the real names come back by
+    place, whatever they hold (dots, quotes, the same letters in another case)."""
+    @functools.wraps(work)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        plain = [c if c in ("doc_id", "text") else f"further_{i}" for i, c in enumerate(docs.columns)]
+        return work(docs.toDF(*plain), *args, **options).toDF(*docs.columns)
+
+    return run

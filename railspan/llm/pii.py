@@ -20,7 +20,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from railspan.llm.common import bound_batches, only
+from railspan.llm.common import any_names, bound_batches, only
 
 ROUNDS = 10
 #: For tests and the check only: a production run passes its own secret.
@@ -30,7 +30,7 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100,
 KINDS = ("email", "ip", "card", "iban", "ssn", "date", "phone")
 END = r"(?![A-Za-z0-9]|[.-]\d)"
 PATTERNS = {
-    "email": r"(?<![\w.+-])[\w.+-]{1,64}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![\w.+-])[\w.+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}+(?![0-9])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9.+-])(?:\d{13,19}|\d{4}(?:[\x20-]\d{4}){3}|\d{4}[\x20-]\d{6}[\x20-]\d{5})" + END,
@@ -63,10 +63,10 @@ class Feistel:
     """A keyed permutation of 0 .. size-1: alternating modular rounds on two digits of the value."""
 
     def __init__(self, key: bytes, kind: str):
-        self.key, self.kind = key, kind
+        self.key, self.kind = key if len(key) <= 64 else hashlib.sha512(key).digest(), kind  # all of a long key counts
 
     def _round(self, i: int, value: int, size: int) -> int:
-        return int.from_bytes(hashlib.blake2b(f"{self.kind}|{size}|{i}|{value}".encode(), key=self.key[:64], digest_size=64).digest(), "big")
+        return int.from_bytes(hashlib.blake2b(f"{self.kind}|{size}|{i}|{value}".encode(), key=self.key, digest_size=64).digest(), "big")
 
     def __call__(self, value: int, size: int) -> int:
         a = math.isqrt(max(size, 1) - 1) + 1
@@ -231,20 +231,28 @@ def _letters(c: str) -> str:
     return "".join(x for x in map(chr, range(max(low, 128), low + 256)) if unicodedata.category(x) == unicodedata.category(c) and x.isalnum())
 
 
-def _email(text: str, f: Feistel) -> str | None:
-    local, _, domain = text.partition("@")
-    kinds = [_letters(c) for c in local]
+def _letters_of(part: str, f: Feistel) -> str:
+    kinds = [_letters(c) for c in part]
     value, size = 0, 1
-    for c, k in zip(local, kinds, strict=True):
+    for c, k in zip(part, kinds, strict=True):
         if k:
             value, size = value * len(k) + k.index(c), size * len(k)
     value, out = f(value, size), []
-    for c, k in zip(reversed(local), reversed(kinds), strict=True):
+    for c, k in zip(reversed(part), reversed(kinds), strict=True):
         if k:
             value, x = divmod(value, len(k))
             c = k[x]
         out.append(c)
-    return f"{''.join(reversed(out))}@{domain}"
+    return "".join(reversed(out))
+
+
+def _email(text: str, f: Feistel) -> str | None:
+    """The part before the @, 64 characters at a time, each of them under the pseudonym of what stands before it: equal parts stay equal."""
+    local, _, domain = text.partition("@")
+    done = _letters_of(local[:64], f)
+    for at in range(64, len(local), 64):
+        done += _letters_of(local[at : at + 64], Feistel(f.key, f"{f.kind}|{done[-64:]}|{at}"))
+    return f"{done}@{domain}"
 
 
 MAKERS = {"email": _email, "ip": _ip, "card": _card, "iban": _iban, "ssn": _ssn, "date": _date, "phone": _phone}
@@ -323,6 +331,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     return only(docs, doc_id="long", text="string").mapInArrow(_run(key, True), "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS))
 
 
+@any_names
 def pseudonymise_table(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """docs with pseudonyms in text; all rows and columns, whatever their names, stay. Nulls and empty tables as in pseudonymise."""
     bound_batches(docs.sparkSession)

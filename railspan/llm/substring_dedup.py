@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railspan.llm.common import WordHashes, bound_batches, grams, lists, materialize, only, partitions
+from railspan.llm.common import WordHashes, any_names, bound_batches, grams, lists, materialize, only, partitions
 
 WINDOW = 20
 #: Words of a phrase. Among any WINDOW - PHRASE + 1 consecutive phrases, one is taken.
@@ -233,6 +233,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
                     F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut", "sha")).alias("kept_sha256")))
 
 
+@any_names
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated words of each text cut; texts without any, null and empty ones stay as they are.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railspan.llm.common import bound_batches, only, sampled_labels
+from railspan.llm.common import any_names, bound_batches, only, sampled_labels
 
 #: Labelled documents in the sample, at most.
 SAMPLE_DOCS = 4000
@@ -262,6 +262,7 @@ def _harmless(model: ToxicityModel, threshold: float):
     return run
 
 
+@any_names
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, with their columns, whatever their names. Null texts score as empty ones."""
     bound_batches(docs.sparkSession)

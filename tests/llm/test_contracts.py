@@ -224,3 +224,28 @@ def test_near_duplicate_stragglers(spark):
         assert got == brute.near_duplicates(rows, k)
 
 
+
+
+def test_stages_keep_columns_of_any_names(spark, tmp_path):
+    """Dots, backticks, spaces, and the names of own columns in other letters."""
+    names = ["a.b", "x`y", "DOC_ID", "Text", "row", "kept", "k e y", "further_2", "doc_id.text"]
+    rows = [(1, "mail a@b.org " + " ".join(f"w{i}" for i in range(40))), (2, "again " + " ".join(f"w{i}" for i in range(40))), (2, None), (None, "no id"), (5, "")]
+    df = spark.createDataFrame([(*range(9), *r) for r in rows], ", ".join(f"`c{i}` int" for i in range(9)) + ", doc_id long, text string").toDF(*names, "doc_id", "text")
+    spark.createDataFrame([(1, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, name
+        got = out.collect()
+        assert {tuple(r)[:9] for r in got} == {tuple(range(9))} and {r[9] for r in got} == {1, 2, None, 5}, name
+    assert corpus_pipeline.pack(spark, df.toDF(*[f"n{i}" for i in range(9)], "doc_id", "text"), str(tmp_path)).count() >= 5
+
+
+def test_long_addresses_and_long_keys():
+    p = pii.Pseudonyms(pii.DEFAULT_KEY)
+    for local, end in (("x" * 65, "org"), ("y" * 5000, "org"), ("a.b", "z" * 40)):
+        text = f"write to {local}@example.{end} now"
+        new, _ = p.replace(text)
+        assert local not in new and f"@example.{end} now" in new
+    long = b"k" * 64
+    assert pii.Pseudonyms(long + b"1").replace("2019-02-01")[0] != pii.Pseudonyms(long + b"2").replace("2019-02-01")[0]
