@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railspan.llm import near_dup, packing, pii, substring_dedup, toxicity
-from railspan.llm.common import materialize, table
+from railspan.llm.common import any_names, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat an id one stays, that with the least text (a null text counts as empty). Rows with a null id
     and rows without words are linked with nothing and stay. All columns stay, whatever their names.
     """
+    return _one_of_each(docs)
+
+
+@any_names
+def _one_of_each(docs: DataFrame) -> DataFrame:
     gone = near_dup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     again = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 and doc_id is not null").select("doc_id")
     stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
