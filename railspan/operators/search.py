@@ -37,8 +37,9 @@ class Block:
     arrived before an edge departs is settled.
     """
 
-    def __init__(self, budget: float, max_transfers: int, penalty: float):
-        self.budget, self.max_transfers, self.penalty = budget, max_transfers, penalty
+    def __init__(self, budget: float, max_transfers: int, penalty: float, early_stop: bool = False):
+        self.budget, self.max_transfers, self.penalty, self.early_stop = budget, max_transfers, penalty, early_stop
+        self.stopped: dict[int, np.ndarray] = {}
         self.origins, self.starts, self.seeds = [], [], []
         self.walks: dict[str, list[tuple[str, float]]] = {}
         self.rows: dict[str, int] = {}
@@ -113,6 +114,9 @@ class Block:
             code = self.code[trip] = len(self.trips)
             self.trips.append(trip)
         at, found = self.rows.get(src), ()
+        if self.early_stop and at is not None and arr > self.soonest and self.first[at] <= dep:  # searches that wait here take no later edge
+            ended = self.stopped.setdefault(at, np.zeros(len(self.starts), bool))
+            ended |= (self.labels[at][0] <= dep) & (arr > self.deadline)
         if at is not None and self.first[at] <= dep and arr <= self.latest:
             arrival, moved, trips, _ = self.labels[at]
             fresh = trips == 0
@@ -125,6 +129,8 @@ class Block:
                     change &= ~((d >= need) & (a <= self.deadline) & (c != trips))
             change |= trips == code
             change &= arrival <= dep
+            if at in self.stopped:
+                change &= ~self.stopped[at]
             if arr > self.soonest:
                 change &= arr <= self.deadline
             there = self.rows.get(dst)
@@ -170,7 +176,7 @@ class Block:
         return hops[::-1]
 
 
-def _scan(budget: float, max_transfers: int, penalty: float, paths: bool):
+def _scan(budget: float, max_transfers: int, penalty: float, paths: bool, early_stop: bool = False):
     """Rows by block: its searches, its walks, its edges by departure."""
 
     def run(batches):
@@ -190,7 +196,7 @@ def _scan(budget: float, max_transfers: int, penalty: float, paths: bool):
                     if block is not None and block.starts:
                         settle()
                         yield from block.results(paths)
-                    key, block = (slot, part), Block(budget, max_transfers, penalty)
+                    key, block = (slot, part), Block(budget, max_transfers, penalty, early_stop)
                     same.clear()
                 if kind == 0:
                     block.add_job(a, int(dep), seeds)
@@ -210,10 +216,11 @@ def _scan(budget: float, max_transfers: int, penalty: float, paths: bool):
     return run
 
 
-def search(jobs: DataFrame, edge: DataFrame, budget: float = 90, max_transfers: int = 3, penalty: float = 5, walks: DataFrame | None = None, paths: bool = True) -> DataFrame:
+def search(jobs: DataFrame, edge: DataFrame, budget: float = 90, max_transfers: int = 3, penalty: float = 5, walks: DataFrame | None = None, paths: bool = True, early_stop: bool = False) -> DataFrame:
     """Reached stations of each job (origin string, start int, seeds map<string,double> or null for the origin alone).
 
     Edges with a null and walks with a null are left out; without jobs or edges there is no row. path is null unless paths is asked for.
+    early_stop: at a station, the edges that leave after one that would arrive too late are not looked at, though one of them may be faster.
     """
     spark = jobs.sparkSession
     jobs = jobs.select("origin", F.col("start").cast("int").alias("start"), "seeds").dropna(subset=["origin", "start"])
@@ -248,7 +255,7 @@ def search(jobs: DataFrame, edge: DataFrame, budget: float = 90, max_transfers:
         rows = rows.union(feet.select("slot", deals, F.lit(1).alias("kind"), "a", "b", F.lit(0.0).alias("dep"), "arr", F.lit(0).cast("long").alias("trip"), *flags, none).select(cols))
     tasks = min(4096, int(parts * (hi + 1)))  # one block to each, as far as tasks go
     dealt = rows.repartitionById(tasks, F.pmod(F.col("slot") * parts + F.col("part"), F.lit(tasks)).cast("int")).sortWithinPartitions("slot", "part", "kind", "dep", "arr", "a", "b", "trip")
-    return dealt.mapInArrow(_scan(budget, max_transfers, penalty, paths), RESULT)
+    return dealt.mapInArrow(_scan(budget, max_transfers, penalty, paths, early_stop), RESULT)
 
 
 def to_point(jobs: DataFrame, edge: DataFrame, walks: DataFrame | None = None, **options) -> DataFrame:

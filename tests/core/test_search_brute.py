@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from railspan.operators import search as se
 
 
-def brute(edges, walks, seeds, start, budget, most, penalty):
+def brute(edges, walks, seeds, start, budget, most, penalty, early_stop=False):
     """Stations in order of their labels (arrival, changes, trip): each is settled once, and only then travelled on from."""
     heap = [(start + m, 0, None, s) for s, m in seeds.items()]
     done, end = {}, start + budget
@@ -21,6 +21,8 @@ def brute(edges, walks, seeds, start, budget, most, penalty):
         done[here] = (now, changes)
         push, first = [], set()
         for dep, arr, t, to in sorted((d, a, t, y) for x, d, y, a, t in edges if x == here and d >= now):
+            if arr > end and early_stop:
+                break
             if arr > end or to in done:
                 continue
             if trip is not None and t == trip:
@@ -71,6 +73,22 @@ def test_search_equals_brute_force(spark, seed, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_early_stop_equals_brute_force(spark, seed):
+    r = random.Random(20 + seed)
+    edges = network(r, 12, 90)
+    e = spark.createDataFrame(edges, "src string, dep_min long, dst string, arr_min long, trip_id string")
+    codes = {x.trip_id: x.c for x in e.select("trip_id", F.xxhash64("trip_id").alias("c")).distinct().collect()}
+    turned = [(y, -a, x, -d, codes[t]) for x, d, y, a, t in edges]
+    jobs = [(f"s{k}", -t, None) for k in range(12) for t in range(150, 200, 10)]
+    found = {}
+    for stop in (False, True):
+        got = se.search(spark.createDataFrame(jobs, "origin string, start int, seeds map<string,double>"), se.reverse(e), budget=40, max_transfers=2, penalty=4, early_stop=stop).collect()
+        found[stop] = {(x.origin, x.start, x.station): (x.minutes, x.transfers) for x in got}
+        assert found[stop] == {(o, s, at): v for o, s, _ in jobs for at, v in brute(turned, [], {o: 0.0}, s, 40, 2, 4, stop).items()}
+    assert found[True] != found[False]
+
+
 def test_search_of_nothing(spark):
     jobs = spark.createDataFrame([], "origin string, start int, seeds map<string,double>")
     edges = spark.createDataFrame([], "src string, dep_min long, dst string, arr_min long, trip_id string")
