@@ -91,3 +91,27 @@ def safe_corr(x: Column, y: Column) -> Column:
     """Pearson correlation; 0 where a side is constant. Pairs with a null are left out."""
     x, y = F.when(y.isNotNull(), x).cast("double"), F.when(x.isNotNull(), y).cast("double")
     return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
+
+
+def round_exact(x: Column, n: int) -> Column:
+    """x to n decimals by its exact binary value, a true half to the even neighbour: 2.675 is below its half, so it becomes 2.67.
+
+    x * 10^n is a rounded product and its error, worked out without error from halves of 26 bits; the error decides where the product alone is a half.
+    """
+    s, cut = float(10**n), float((1 << 27) + 1)
+    a = F.abs(x.cast("double"))
+    p = a * s
+    split = lambda v: (v * cut - (v * cut - v))  # noqa: E731  the upper half of the digits
+    ah, sh = split(a), float(s * cut - (s * cut - s))
+    al, sl = a - ah, s - sh
+    error = ((ah * sh - p) + ah * sl + al * sh) + al * sl
+    low = F.floor(p)
+    odd = p - low
+    up = F.when(odd != 0.5, odd > 0.5).when(error != 0, error > 0).otherwise(low % 2 == 1)
+    whole = (low + up.cast("long")).cast("double") / s
+    small = F.when(x < 0, -whole).otherwise(whole)
+    return F.when(F.isnan(x) | (p >= float(1 << 51)), x).otherwise(small)  # larger values have no decimals to drop
+
+
+def weekday_label(day: Column | str) -> Column:
+    return F.element_at(F.array(*[F.lit(d) for d in ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")]), F.weekday(day) + 1)

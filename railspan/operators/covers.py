@@ -67,6 +67,14 @@ def covered(points: DataFrame, cover: DataFrame, areas: DataFrame, root: int = R
     return met.filter("not edge").select("id", "area").union(tested.select("id", "area"))
 
 
+def areas_of_lines(lines: DataFrame, areas: DataFrame) -> DataFrame:
+    """Lines (id, coords of lat and lon, ...) with the area, by the least name, that holds their middle corner; lines whose middle no area holds are dropped."""
+    middle = F.try_element_at("coords", F.floor(F.size("coords") / 2).cast("int") + 1)
+    points = lines.filter("size(coords) > 1").select("id", middle["lat"].alias("lat"), middle["lon"].alias("lon"))
+    held = covered(points, cell_cover(areas), areas).groupBy("id").agg(F.min("area").alias("area"))
+    return lines.join(held, "id")
+
+
 def _stitch(edges: pd.DataFrame) -> pd.DataFrame:
     """Rings of one group's border: ways along its edges that come back to their start; of several next edges the first one."""
     ways: dict = {}

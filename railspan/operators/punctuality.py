@@ -82,16 +82,37 @@ def offenders(rec: DataFrame, late: float = 5.0, cap: float = 30.0, least_days:
         F.max("mx").alias("worst"), F.sum("n").cast("long").alias("total_stops")).filter(F.col("days_seen") >= least_days)
 
 
+def offender_days(rec: DataFrame, late: float = 5.0, cap: float = 30.0, least_days: int = 3) -> DataFrame:
+    """Each train at each station with its days in order, as structs: day, mean and greatest delay, stops, late ones. A train's days at a station bound the array."""
+    d = F.least(F.greatest(F.col("delay_arr") / 60, F.lit(0.0)), F.lit(cap))
+    day = rec.filter("delay_arr is not null and day_date is not null").withColumn("d", d).groupBy("train_no", "station", "day_date").agg(
+        F.avg("d").alias("avg_delay"), F.max("d").alias("max_delay"), F.count("*").alias("n"), F.count_if(F.col("d") > late).alias("n_late"))
+    days = F.sort_array(F.collect_list(F.struct("day_date", "avg_delay", "max_delay", "n", "n_late")))
+    return day.groupBy("train_no", "station").agg(days.alias("days")).filter(F.size("days") >= least_days)
+
+
+def with_relation(trains: DataFrame, rec: DataFrame) -> DataFrame:
+    """trains with their commonest relation, the least of equals; null where none is known."""
+    return trains.join(most_common(rec.join(trains.select("train_no"), "train_no", "left_semi"), "train_no", "relation"), "train_no", "left")
+
+
 def daily_delay(rec: DataFrame) -> DataFrame:
     return rec.groupBy("day_date").agg(F.count("*").alias("n"), F.avg("d").alias("avg_delay"), F.percentile("d", F.lit(0.5)).alias("median_delay"), F.avg((F.col("d") > 1).cast("int") * 100.0).alias("pct_late"))
 
 
-def correlations(daily: DataFrame, weather: DataFrame, factors: list[str], measures: list[str], least: int = 3) -> DataFrame:
-    """Every factor with every measure over the days, in one pass."""
+def correlations(daily: DataFrame, weather: DataFrame, factors: list[str], measures: list[str], least: int = 3, constant: float | None = 0.0) -> DataFrame:
+    """Every factor with every measure over the days, in one pass. constant: what stands where a side does not vary; None leaves such rows out."""
     both = daily.join(weather, "day_date")
     stats = both.agg(*[safe_corr(F.col(f), F.col(m)).alias(f"{f}|{m}") for f in factors for m in measures], *[F.count(F.when(F.col(f).isNotNull() & F.col(m).isNotNull(), 1)).alias(f"n|{f}|{m}") for f in factors for m in measures])
     rows = F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(m).alias("measure"), F.col(f"`n|{f}|{m}`").alias("n"), F.round(F.col(f"`{f}|{m}`"), 3).alias("r")) for f in factors for m in measures])
-    return stats.select(F.inline(rows)).filter(F.col("n") >= least)
+    out = stats.select(F.inline(rows)).filter(F.col("n") >= least)
+    if constant == 0.0:
+        return out
+    spread = lambda x, y: F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x).cast("double")))
+    varies = both.agg(*[(F.coalesce(spread(f, m) * spread(m, f), F.lit(0.0)) > 0).alias(f"{f}|{m}") for f in factors for m in measures])
+    flags = varies.select(F.inline(F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(m).alias("measure"), F.col(f"`{f}|{m}`").alias("varies")) for f in factors for m in measures])))
+    met = out.join(F.broadcast(flags), ["factor", "measure"])  # a row for each factor and measure
+    return met.filter("varies").drop("varies") if constant is None else met.withColumn("r", F.when(F.col("varies"), F.col("r")).otherwise(constant)).drop("varies")
 
 
 def compare_weather(daily: DataFrame, weather: DataFrame, least: int = 5) -> DataFrame:

@@ -109,3 +109,34 @@ def combine_destinations(times: DataFrame, destinations: DataFrame) -> DataFrame
     """For each origin of times (origin, station, minutes, transfers) how far the destinations (station) are that it reaches."""
     met = times.join(destinations.select("station").distinct(), "station", "left_semi")
     return met.groupBy("origin").agg(F.countDistinct("station").alias("n"), F.avg("minutes").alias("mean"), F.min("minutes").alias("least"), F.max("minutes").alias("most"), F.avg("transfers").alias("transfers"))
+
+
+def first_then_top(df: DataFrame, first: int, came: list[Column], top: int, by: list[Column]) -> DataFrame:
+    """The `top` rows by `by` of the `first` rows by `came`: a list that was cut in one order and is shown in another."""
+    return df.orderBy(*came).limit(first).orderBy(*by).limit(top)
+
+
+def cancelled_trains(gone: DataFrame, first: int = 500, top: int = 200) -> DataFrame:
+    """Of the first cancelled trains (day_date, train_no, stops, duration_min) by day and number those that took longest, with the ends of their way."""
+    cut = first_then_top(gone, first, [F.col("day_date"), F.col("train_no")], top, [F.desc("duration_min"), F.col("day_date"), F.col("train_no")])
+    return cut.select("day_date", "train_no", "duration_min", F.size("stops").alias("n_stops"), F.try_element_at("stops", F.lit(1)).alias("first_station"), F.try_element_at("stops", F.lit(-1)).alias("last_station"))
+
+
+def ordered_calls(stop_times: DataFrame) -> DataFrame:
+    """For each trip (trip_id, seq, stop, arr_min, dep_min) its stops in order, and the first and last clock of its ends; a trip's stops bound the array."""
+    call = F.struct("seq", "stop", "arr_min", "dep_min")
+    x = stop_times.groupBy("trip_id").agg(F.sort_array(F.collect_list(call)).alias("c"))
+    return x.select("trip_id", F.transform("c", lambda v: v["stop"]).alias("stops"), F.element_at("c", 1)["arr_min"].alias("first_arr"), F.element_at("c", 1)["dep_min"].alias("first_dep"),
+                    F.element_at("c", -1)["arr_min"].alias("last_arr"), F.element_at("c", -1)["dep_min"].alias("last_dep"))
+
+
+def travel_by_area(swept: DataFrame, areas: DataFrame) -> DataFrame:
+    """For each origin of swept (origin, station, minutes) and area (id, area): stations reached there, and minutes to them on average, least and most."""
+    met = swept.join(areas.select(F.col("id").cast("string").alias("station"), "area"), "station").filter("area is not null")
+    return met.groupBy("origin", "area").agg(F.count("*").alias("n"), F.avg("minutes").alias("mean"), F.min("minutes").alias("least"), F.max("minutes").alias("most"))
+
+
+def reach_means(counts: DataFrame, areas: DataFrame) -> DataFrame:
+    """For each area of the origins of counts (origin, reachable, avg_minutes): their number, and stations reached and minutes to them on average."""
+    met = counts.join(areas.select(F.col("id").cast("string").alias("origin"), "area"), "origin")
+    return met.groupBy("area").agg(F.count("*").alias("n"), F.avg("reachable").alias("reachable"), F.avg("avg_minutes").alias("minutes"))

@@ -235,7 +235,7 @@ def connectivity(s, d):
 
 @query()
 def reach_by_area(s, d):
-    """Mean number of stations reached from the stations of each area, with the travel time on average."""
+    """Mean number of stations reached from the stations of each area; reach_means adds the travel time."""
     counts = se.reach_counts(_swept(s, d))
     areas = b.places(s, d).select(F.col("id").cast("string").alias("id"), F.col("nation").alias("area"))
     return re.area_means(counts.select(F.col("origin").alias("id"), F.col("reachable").alias("value")), areas)

@@ -8,7 +8,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from railspan.plans import details, registry, reports  # noqa: F401
+from railspan.plans import details, registry, reports, tails  # noqa: F401
 from tests.core.test_nearest import km
 from tests.core.test_search import tables
 from tests.core.test_search_brute import brute
@@ -91,6 +91,15 @@ def test_reach_by_area(spark, world, morning):
     assert (got.n, got["mean"]) == (len(counts), pytest.approx(statistics.mean(counts)))
 
 
+def test_means_by_area(spark, world, morning):
+    """All stops are of one area here."""
+    got = {x.origin: (x.area, x.n, x["mean"], x.least, x.most) for x in rows(spark, world, "travel_by_area")}
+    assert got == {o: (0, len(v), pytest.approx(statistics.mean(v)), min(v), max(v)) for o, v in reached(morning).items()}
+    (x,) = rows(spark, world, "reach_means")
+    every = reached(morning).values()
+    assert (x.n, x.reachable, x.minutes) == (len(every), pytest.approx(statistics.mean(map(len, every))), pytest.approx(statistics.mean(map(statistics.mean, every))))
+
+
 def test_durations(spark, world, morning):
     first = swept(world[1], [("1", t, None) for t in range(420, 481, 5)], 60)
     want = {str(k): 0.0 if k == 1 else first.get(("1", str(k)), (None,))[0] for k in range(1, N + 1)}
