@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from railspan.plans import details, registry, reports, stores, streams, tails  # noqa: F401
+from railspan.plans import details, files, registry, reports, stores, streams, tails  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
