@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,8 +17,6 @@ from pyspark.sql import DataFrame
 from railspan.llm.common import bound_batches, only
 
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A space after white space: elsewhere a single space always begins a new match of the splitting pattern.
-LOOSE = re.compile(rf"[{WHITE}] ")
 
 
 def read_ranks(lines) -> dict[bytes, int]:
@@ -30,9 +27,11 @@ class PrefixEncoder:
     """Encodes byte strings by their prefixes' last tokens. Tokens are ranks; a rank tells when its merge takes place."""
 
     PAIRS = 600_000
+    #: Tables of short beginnings that many words share, by their length; how many are kept.
+    SHARED, BEGINNINGS = (8, 5), 100_000
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks, self.shared = ranks, {}
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self.halves: dict[int, tuple[int, int] | None] = {}
@@ -95,11 +94,11 @@ class PrefixEncoder:
             ok = self.pairs[pair] = self._whole(token) and (before < 0 or self._meet(before, token, float("inf")))
         return ok
 
-    def table(self, data: bytes, last: list[int] | None = None) -> list[int]:
-        """The last token of each prefix (at 0: -1). `last`: a table of some first bytes, which is continued."""
+    def table(self, data: bytes, last: list[int] | None = None, upto: int | None = None) -> list[int]:
+        """The last token of each prefix (at 0: -1). `last`: a table of some first bytes, which is continued; upto: where it ends."""
         last = [-1] if last is None else last
         rank, known, follows, longest = self.ranks.get, self.pairs.get, self.follows, self.longest
-        for end in range(len(last), len(data) + 1):
+        for end in range(len(last), (len(data) if upto is None else upto) + 1):
             for begin in range(end - 1, max(-1, end - longest - 1), -1):
                 token = rank(data[begin:end])
                 if token is not None:
@@ -111,10 +110,32 @@ class PrefixEncoder:
                 raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
         return last
 
+    def word(self, data: bytes) -> list[int]:
+        """The table of a short string, continued from that of a beginning which an earlier one had."""
+        for size in self.SHARED:
+            if len(data) > size:
+                begin = data[:size]
+                found = self.shared.get(begin)
+                if found is None:
+                    if len(self.shared) >= self.BEGINNINGS:
+                        self.shared.clear()
+                    found = self.shared[begin] = tuple(self.table(begin) if size == self.SHARED[-1] else self.word(begin))
+                return self.table(data, list(found))
+        return self.table(data)
+
     def edit(self, data: bytes, last: list[int], begin: int, end: int, new: bytes) -> tuple[bytes, list[int]]:
-        """Replace data[begin:end] by new; only prefixes beyond `begin` are worked out again."""
-        data = data[:begin] + new + data[end:]
-        return data, self.table(data, last[: begin + 1])
+        """Replace data[begin:end] by new: prefixes up to `begin` stay, and those beyond are worked out until they agree with the old ones.
+
+        A last token depends on as many bytes and last tokens before it as the longest token has: where so many agree, the rest does.
+        """
+        whole, fresh, shift = data[:begin] + new + data[end:], last[: begin + 1], len(new) - (end - begin)
+        same, at = 0, begin + len(new)
+        self.table(whole, fresh, at)
+        while at < len(whole) and same < self.longest:
+            at += 1
+            self.table(whole, fresh, at)
+            same = same + 1 if fresh[at] == last[at - shift] else 0
+        return whole, fresh + last[at + 1 - shift :]
 
     def ids(self, last: list[int]) -> list[int]:
         """Walk back from the end of a table."""
@@ -126,55 +147,56 @@ class PrefixEncoder:
 
     def encode(self, data: bytes) -> list[int]:
         """As the reference tokenizer does: a string that is itself a token stays whole."""
-        return [self.ranks[data]] if data in self.ranks else self.ids(self.table(data))
+        return [self.ranks[data]] if data in self.ranks else self.ids(self.word(data))
 
 
-class Chunks(dict):
-    """Ids of a chunk of text, as a tuple and as a string; emptied when there are too many."""
+class Matches(dict):
+    """Of a match of the splitting pattern: how many ids it has, their decimal string, and the bytes that they decode to.
 
-    LIMIT = 250_000
+    At most two halves of LIMIT bytes, about, are kept: when the newer one is full it becomes the older one, and what is used of that comes back.
+    """
+
+    LIMIT, EACH = 64 << 20, 300
+    #: Longer matches are worked out each time.
+    LONGEST = 64
 
-    def __init__(self, split, encoder: PrefixEncoder, lead: str):
+    def __init__(self, encoder: PrefixEncoder):
         super().__init__()
-        self.split, self.encoder, self.lead, self.matches = split, encoder, lead, {}
-
-    def __missing__(self, chunk: str):
-        if len(self) >= self.LIMIT:
-            self.clear()
-        if len(self.matches) >= self.LIMIT:
-            self.matches.clear()
-        ids = []
-        for m in self.split(self.lead + chunk):
-            if (found := self.matches.get(m)) is None:
-                found = self.matches[m] = self.encoder.encode(m.encode("utf-8", "surrogatepass"))
-            ids += found
-        out = self[chunk] = (tuple(ids), " ".join(map(str, ids)))
-        return out
+        self.encoder, self.size, self.old = encoder, 0, {}
+
+    def __missing__(self, match: str):
+        found = self.old.get(match)
+        if found is None:
+            ids = self.encoder.encode(match.encode("utf-8", "surrogatepass"))
+            found = (len(ids), " ".join(map(str, ids)), b"".join(map(self.encoder.bytes_of.__getitem__, ids)))
+        if len(match) <= self.LONGEST:
+            if self.size >= self.LIMIT:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self.size += self.EACH + 8 * len(match)
+            self[match] = found
+        return found
+
+
+def splitter(pattern: str):
+    """The pattern's matches, with white space as the tokenizers' own engine knows it: this one's \\s has four control characters more."""
+    import regex
+
+    return regex.compile(pattern.replace(r"[^\s", rf"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
 
 
 def _run(ranks_blob, pattern: str):
     def run(batches):
-        import regex
-
-        encoder = PrefixEncoder(read_ranks(ranks_blob.value.splitlines()))
-        split = regex.compile(pattern.replace(r"[^\s", rf"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
-        first, later = Chunks(split, encoder, ""), Chunks(split, encoder, " ")
-        later.matches = first.matches
-        bytes_of = encoder.bytes_of.__getitem__
+        split = splitter(pattern)
+        found = Matches(PrefixEncoder(read_ranks(ranks_blob.value.splitlines()))).__getitem__
         for batch in batches:
             cols: list[list] = [[], [], []]
             for text in batch.column("text").to_pylist():
-                text = text or ""
-                if LOOSE.search(text):
-                    got = [first[m] for m in split(text)]
-                else:
-                    head, *tail = text.split(" ")
-                    got = [first[head], *[later[x] for x in tail]]
-                digest = hashlib.sha256(" ".join([s for _, s in got if s]).encode()).hexdigest()
-                ids = [i for part, _ in got for i in part]
-                cols[0].append(len(ids))
-                cols[1].append(digest)
-                cols[2].append(hashlib.sha256(b"".join(map(bytes_of, ids))).hexdigest())
+                got = list(map(found, split(text or "")))
+                counts, strings, data = zip(*got, strict=True) if got else ((), (), ())
+                cols[0].append(sum(counts))
+                cols[1].append(hashlib.sha256(" ".join(strings).encode()).hexdigest())
+                cols[2].append(hashlib.sha256(b"".join(data)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -198,10 +220,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
 def _ids(ranks_blob, pattern: str):
     def run(batches):
-        import regex
-
-        encoder = PrefixEncoder(read_ranks(ranks_blob.value.splitlines()))
-        split = regex.compile(pattern).findall
+        encoder, split = PrefixEncoder(read_ranks(ranks_blob.value.splitlines())), splitter(pattern)
         for batch in batches:
             ids = [[i for m in split(t or "") for i in encoder.encode(m.encode("utf-8", "surrogatepass"))] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])

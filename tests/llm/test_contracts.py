@@ -249,3 +249,75 @@ def test_long_addresses_and_long_keys():
         assert local not in new and f"@example.{end} now" in new
     long = b"k" * 64
     assert pii.Pseudonyms(long + b"1").replace("2019-02-01")[0] != pii.Pseudonyms(long + b"2").replace("2019-02-01")[0]
+
+
+# ---- byte pairs: bounded caches, edits that stop, the ids themselves
+
+def _blob():
+    import public_tokenizers as P
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        return type("Blob", (), {"value": f.read()}), P.PATTERN
+
+
+def test_an_edit_stops_where_the_tables_agree():
+    from railspan.llm import bpe
+
+    e, r = bpe.PrefixEncoder(bpe.read_ranks(_blob()[0].value.splitlines())), random.Random(3)
+    worked = []
+    table = e.table
+    e.table = lambda data, last=None, upto=None: worked.append(len(data) if upto is None else upto) or table(data, last, upto)
+    for size in (0, 1, 40, 5000):
+        data = "".join(r.choice("aeinorst ,.é\n0") for _ in range(size)).encode()
+        last = table(data)
+        for new in (b"", b"er", b"the " * 9):
+            a, b = sorted((r.randrange(len(data) + 1), r.randrange(len(data) + 1)))
+            b = min(b, a + 20)
+            worked.clear()
+            whole, got = e.edit(data, last, a, b, new)
+            assert whole == data[:a] + new + data[b:] and got == table(whole)
+            assert max(worked, default=0) - a <= len(new) + 4 * e.longest + 40
+
+
+def test_matches_are_kept_within_their_bytes(monkeypatch):
+    from railspan.llm import bpe
+
+    monkeypatch.setattr(bpe.Matches, "LIMIT", 100_000)
+    blob, pattern = _blob()
+    found = bpe.Matches(bpe.PrefixEncoder(bpe.read_ranks(blob.value.splitlines())))
+    r, split = random.Random(1), bpe.splitter(pattern)
+    for n in range(3000):
+        text = "".join(r.choice("abcdefgh") for _ in range(r.choice((3, 9, 300))))
+        for m in split(f" the {text}"):
+            assert found[m] == found[m] and b"".join(found.encoder.bytes_of[int(i)] for i in found[m][1].split()) == m.encode()
+        assert len(found) + len(found.old) <= 2 * 100_000 / bpe.Matches.EACH + 2
+    assert all(len(m) <= 64 for m in found)
+
+
+def test_unspaced_texts_need_little_memory():
+    import resource
+
+    import pyarrow as pa
+
+    from railspan.llm import bpe
+
+    blob, pattern = _blob()
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefghijklmnop0123456789,;") for _ in range(2000)) for _ in range(600)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for _ in bpe._run(blob, pattern)(pa.RecordBatch.from_pydict({"doc_id": list(range(50)), "text": texts[i : i + 50]}) for i in range(0, 600, 50)):
+        pass
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 400
+
+
+def test_ids_of_texts_equal_the_library(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    from railspan.llm import bpe
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(open(path, "rb")), special_tokens={})
+    texts = ["It's  two\n\n words", "", None, "\x1c x \x85 y é", "a" * 300]
+    got = {x.doc_id: x.ids for x in bpe.token_ids(clashing(spark, list(enumerate(texts))), path, P.PATTERN).collect()}
+    assert got == {i: own.encode_ordinary(t or "") for i, t in enumerate(texts)}
