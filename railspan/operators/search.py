@@ -395,3 +395,15 @@ def speed_ranking(found: DataFrame, stations: DataFrame, chosen: DataFrame, rail
     order = Window.orderBy(F.desc(F.col("fast") + F.col("medium") * 0.5), F.desc("trains_per_day"), "from_name")  # as many rows as stations were asked for
     return met.join(counts.withColumn("place", F.row_number().over(order)).drop("from_name", "trains_per_day"), "origin").select(
         "from_name", "to_name", "minutes", "km", "kmh", "class", "trains_per_day", "fast", "medium", "slow", "place")
+
+
+def feeder_times(found: DataFrame, feeder: DataFrame, **options) -> DataFrame:
+    """(origin, start, station, minutes): travel times of a search (origin, start, station, minutes) carried on by the trips of a feeder network.
+
+    Each station that was reached, at its own cost, is a source of one search over the feeder's edges from the same start; what either reaches sooner counts.
+    A search's seeds are as many as the stations that it reached.
+    """
+    seeds = found.groupBy("origin", "start").agg(F.map_from_entries(F.collect_list(F.struct("station", F.col("minutes").cast("double")))).alias("seeds"))
+    on = search(seeds.select("origin", "start", "seeds"), feeder, paths=False, **options)
+    both = found.select("origin", "start", "station", F.col("minutes").cast("int").alias("minutes")).union(on.select("origin", "start", "station", "minutes"))
+    return both.groupBy("origin", "start", "station").agg(F.min("minutes").alias("minutes"))

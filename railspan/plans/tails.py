@@ -101,3 +101,38 @@ def travel_by_area(s, d):
 def reach_means(s, d):
     """Stations reached, and minutes to them, on average over the stations of each area."""
     return re.reach_means(se.reach_counts(_swept(s, d)), b.places(s, d).select("id", F.col("nation").alias("area")))
+
+
+@query()
+def feeder_times(s, d):
+    """From the least stop at seven by trips of even number, and on from wherever they lead by the others."""
+    st = b.stop_times(s, d)
+    rail, feeder = nw.edges(st.filter("trip_id % 2 = 0")), nw.edges(st.filter("trip_id % 2 = 1"))
+    first = b.places(s, d).orderBy("id").limit(1).select(F.col("id").cast("string").alias("origin"), F.lit(420).alias("start"), F.lit(None).cast("map<string,double>").alias("seeds"))
+    found = se.search(first, rail, budget=120, paths=False)
+    own = first.select("origin", "start", F.col("origin").alias("station"), F.lit(0).alias("minutes"))
+    return se.feeder_times(found.select("origin", "start", "station", "minutes").union(own), feeder, budget=240)
+
+
+@query()
+def size_summary(s, d):
+    """Stations of each size class by departures an hour, with the mean of their three measures."""
+    from railspan.plans.reports import connectivity
+
+    x = connectivity(s, d).withColumn("size", sc.size_class(F.col("per_hour")))
+    return x.groupBy("size").agg(F.count("*").alias("n"), F.avg("reachable").alias("reachable"), F.avg("per_hour").alias("per_hour"), F.avg("reach_km").alias("reach_km"))
+
+
+@query()
+def some_destinations(s, d):
+    """How far every fourth station is, together, from each origin that reaches one."""
+    every = b.places(s, d).filter("id % 4 = 0").select(F.col("id").cast("string").alias("station"))
+    return re.combine_destinations(_swept(s, d), every)
+
+
+@query(f"""WITH {b.EDGES}, f AS (SELECT src AS id, count(*) FILTER (WHERE dep_min >= 360 AND dep_min < 1320) / 16.0::DOUBLE AS v FROM edges GROUP BY 1), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM f WHERE v >= 4)
+SELECT min(v) FILTER (WHERE i = floor(n * 0.33)) AS t1, min(v) FILTER (WHERE i = floor(n * 0.66)) AS t2 FROM o""")
+def terciles_of_sizes(s, d):
+    """Terciles of departures an hour over the stations that are not small."""
+    x = nw.direct_frequency(nw.edges(b.stop_times(s, d))).filter(sc.size_class(F.col("per_hour")) != "Small")
+    return nw.terciles(x, "per_hour")

@@ -100,6 +100,27 @@ def test_means_by_area(spark, world, morning):
     assert (x.n, x.reachable, x.minutes) == (len(every), pytest.approx(statistics.mean(map(len, every))), pytest.approx(statistics.mean(map(statistics.mean, every))))
 
 
+def test_feeders_carry_on(spark, world):
+    table = spark.read.parquet(f"{world[0]}/lineitem.parquet").select("l_orderkey", F.xxhash64(F.col("l_orderkey").cast("string")).alias("c")).distinct().collect()
+    even = {x.c for x in table if x.l_orderkey % 2 == 0}
+    rail, feeder = [e for e in world[1] if e[4] in even], [e for e in world[1] if e[4] not in even]
+    base = {"1": 0.0} | {at: float(m) for at, (m, _) in brute(rail, [], {"1": 0.0}, 420, 120, 3, 5).items()}
+    want = {at: int(m) for at, m in base.items()}
+    for at, (m, _) in brute(feeder, [], base, 420, 240, 3, 5).items():
+        want[at] = min(want.get(at, 10**6), m)
+    assert {x.station: x.minutes for x in rows(spark, world, "feeder_times")} == want and len(want) > len(base)
+
+
+def test_size_summary(spark, world, morning):
+    per_hour = collections.Counter(a for a, dep, *_ in world[1] if 360 <= dep < 1320)
+    far, groups = cardinal(morning), collections.defaultdict(list)
+    for k in map(str, range(1, N + 1)):
+        v = per_hour[k] / 16
+        groups["Small" if v < 4 else "Medium" if v < 10 else "Big"].append((len(reached(morning).get(k, [])), v, far.get(k, 0.0)))
+    got = {x["size"]: (x.n, x.reachable, x.per_hour, x.reach_km) for x in rows(spark, world, "size_summary")}
+    assert got == {c: (len(v), *[pytest.approx(statistics.mean(col)) for col in zip(*v, strict=True)]) for c, v in groups.items()}
+
+
 def test_durations(spark, world, morning):
     first = swept(world[1], [("1", t, None) for t in range(420, 481, 5)], 60)
     want = {str(k): 0.0 if k == 1 else first.get(("1", str(k)), (None,))[0] for k in range(1, N + 1)}
