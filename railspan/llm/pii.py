@@ -155,10 +155,10 @@ def _date(text: str, f: Feistel) -> str | None:
         if not FIRST_DAY <= day < LAST_DAY:
             return None
         new = datetime.date.fromordinal(FIRST_DAY + f(day - FIRST_DAY, LAST_DAY - FIRST_DAY))
-        if not year_first:  # a day that could be read both ways keeps to days that can, and others likewise
-            both = parts[0] <= 12 and parts[1] <= 12
-            while (new.day <= 12) != both:
-                new = datetime.date.fromordinal(FIRST_DAY + f(new.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY))
+        # A day that some format leaves ambiguous keeps to days that are so, and others likewise: one date has one pseudonym in all formats.
+        both = parts[order[2]] <= 12
+        while (new.day <= 12) != both:
+            new = datetime.date.fromordinal(FIRST_DAY + f(new.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY))
         values = [0, 0, 0]
         for i, v in zip(order, (new.year, new.month, new.day), strict=True):
             values[i] = v

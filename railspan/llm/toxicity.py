@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become classes: insults (stems learned from labelled documents, with weights), threats, targets,
-negations and reported speech. Small weighted transducers are composed over each clause: one marks what
-stands under a negation, one what is reported, one adds up insults, threats and targets. Documents are judged
+negations and reported speech, which are word lists. Small weighted transducers are composed over each clause: one rewrites
+what stands under a negation, the next, reading that, what is reported, the last what is aimed at a target. Documents are judged
 by their matched clauses, not by isolated words; the last step is a logistic model over clause scores.
 """
 
@@ -37,6 +37,10 @@ NEGATIONS = frozenset("not no never nor without isn aren wasn weren don doesn di
 REPORTS = frozenset("said says reported quoted according allegedly claimed wrote sagte schrieb laut selon déclaré écrit dijo según escribió".split())
 
 
+#: What the grammar may leave of an insult or a threat.
+MATCHED = frozenset("i i- i~ i! t! t~".split())
+
+
 class Transducer:
     """A deterministic weighted transducer: (state, input) -> (state, output, factor). Unlisted input passes unchanged."""
 
@@ -69,19 +73,39 @@ class Composed(Transducer):
         return self.known[key]
 
 
-def grammar() -> Transducer:
-    """Classes: i insult, t threat, g target, n negation, r report, q quotation mark, w any other word."""
-    # A negation weakens what follows within three words.
-    negation = Transducer(
-        {(s, "n"): (3, "n", 1.0) for s in range(4)} | {(s, c): (s - 1, c, 0.4) for s in (1, 2, 3) for c in "it"}, {3: 2, 2: 1, 1: 0})
-    # Reported speech weakens up to the clause's end; quotation marks open and close it.
-    report = Transducer(
+def negations() -> Transducer:
+    """Within three words of a negation an insult or a threat is a denied one, and a verb of saying reports nothing ("never said ...")."""
+    return Transducer(
+        {(s, "n"): (3, "n", 1.0) for s in range(4)}
+        | {(s, c): (s - 1, out, factor) for s in (1, 2, 3) for c, out, factor in (("i", "i-", 0.4), ("t", "t-", 0.4), ("r", "w", 1.0))},
+        {3: 2, 2: 1, 1: 0})
+
+
+def reports() -> Transducer:
+    """After a verb of saying, up to the clause's end, and between quotation marks, an insult or a threat is a reported one; a denied threat is none there."""
+    return Transducer(
         {(s, "r"): (1, "r", 1.0) for s in (0, 1)} | {(0, "q"): (2, "q", 1.0), (1, "q"): (2, "q", 1.0), (2, "q"): (0, "q", 1.0)}
-        | {(s, c): (s, c, 0.6) for s in (1, 2) for c in "it"})
-    # An insult or a threat beside a target, on either side, weighs more; a threat without a target weighs nothing.
-    target = Transducer(
-        {(0, "g"): (1, "g", 1.0), (1, "g"): (1, "g", 1.0), (0, "t"): (0, "t", 0.0), (1, "i"): (1, "i", 1.25), (1, "t"): (1, "t", 1.0)})
-    return Composed(Composed(negation, report), target)
+        | {(s, c): (s, out, factor) for s in (1, 2) for c, out, factor in (("i", "i~", 0.6), ("t", "t~", 0.6), ("i-", "i-", 0.6), ("t-", "w", 0.0))})
+
+
+def targets() -> Transducer:
+    """An insult after its target is an aimed one and weighs more, but not a denied or reported one; a threat counts only after
+    its target, and a denied one never."""
+    return Transducer(
+        {(s, "g"): (1, "g", 1.0) for s in (0, 1)} | {(1, "i"): (1, "i!", 1.25), (1, "t"): (1, "t!", 1.0)}
+        | {(0, c): (0, "w", 0.0) for c in ("t", "t~", "t-")} | {(1, "t-"): (1, "w", 0.0)})
+
+
+def grammar(*machines: Transducer) -> Transducer:
+    """The machines in series; by default negations, reports and targets, each of which reads what the one before it wrote.
+
+    Classes: i insult, t threat, g target, n negation, r report, q quotation mark, w any other word. The machines
+    rewrite i and t: with - denied, with ~ reported, with ! aimed at a target; w is what counts no longer.
+    """
+    first, *others = machines or (negations(), reports(), targets())
+    for other in others:
+        first = Composed(first, other)
+    return first
 
 
 @dataclass
@@ -125,12 +149,10 @@ class Scorer:
             while begin and kinds[begin - 1][0] != "b":
                 begin -= 1
             state, total, end = self.grammar.start(), 0.0, begin
-            targeted = False
             while end < len(kinds) and kinds[end][0] != "b":
                 kind, weight = kinds[end]
-                state, _, factor = self.grammar.step(state, kind)
-                targeted |= kind == "g"
-                if kind in "it":
+                state, out, factor = self.grammar.step(state, kind)
+                if out in MATCHED:
                     total += weight * factor
                 end += 1
             done = end

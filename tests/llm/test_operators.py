@@ -1,4 +1,5 @@
 import base64
+import datetime
 import hashlib
 import random
 import zlib
@@ -288,6 +289,20 @@ def test_pseudonymise_rows(docs):
     assert pii.pseudonymise_table(df).columns == df.columns
 
 
+def test_a_date_has_one_pseudonym_in_every_format():
+    f = pii.Feistel(pii.DEFAULT_KEY, "date")
+    seen = set()
+    for i in range(pii.FIRST_DAY, pii.LAST_DAY, 97):
+        day = datetime.date.fromordinal(i)
+        new = datetime.date.fromisoformat(pii._date(day.isoformat(), f))
+        seen.add(new)
+        assert pii._date(f"{day:%d/%m/%Y}", f) == f"{new:%d/%m/%Y}" and (new.day <= 12) == (day.day <= 12)
+        if day.day > 12:
+            assert pii._date(f"{day:%m.%d.%Y}", f) == f"{new:%m.%d.%Y}"
+    assert len(seen) == len(range(pii.FIRST_DAY, pii.LAST_DAY, 97))
+    assert pii._date("2019-02-30", f) is None and pii._date("31/04/2019", f) is None and pii._date("1899-12-31", f) is None
+
+
 def test_grammar_weakens_negated_and_reported_insults():
     s = toxicity.Scorer(toxicity.ToxicityModel({"fool$": 2.0}))
     alone, targeted = s.clauses("what a fool")[0], s.clauses("you fool")[0]
@@ -297,6 +312,35 @@ def test_grammar_weakens_negated_and_reported_insults():
     assert s.clauses("a fool. a fool")[0] == [2.0, 2.0] and s.clauses("")[0] == []
 
 
+def _written(machine, symbols):
+    state, out, weight = machine.start(), [], 1.0
+    for x in symbols.split():
+        state, y, factor = machine.step(state, x)
+        out.append(y)
+        weight *= factor
+    return " ".join(out), round(weight, 6)
+
+
+@pytest.mark.parametrize(("read", "written", "weight"), [
+    ("g w i", "g w i!", 1.25), ("g n w i", "g n w i-", 0.4), ("g r i", "g r i~", 0.6), ("g q i q i", "g q i~ q i!", 0.75), ("g n t", "g n w", 0.0), ("g r t", "g r t~", 0.6),
+    ("n r g i", "n w g i-", 0.4), ("n w w r g i", "n w w w g i!", 1.25), ("n w w w r g i", "n w w w r g i~", 0.6), ("t g", "w g", 0.0), ("r n i", "r n i-", 0.24)])
+def test_machines_read_what_the_one_before_wrote(read, written, weight):
+    assert _written(toxicity.grammar(), read) == (written, weight)
+    one_by_one, total = read, 1.0
+    for machine in (toxicity.negations(), toxicity.reports(), toxicity.targets()):  # the composition equals the machines run in turn
+        one_by_one, factor = _written(machine, one_by_one)
+        total *= factor
+    assert (one_by_one, round(total, 6)) == (written, weight)
+
+
+def test_another_machine_changes_the_moves_of_the_next():
+    silent = toxicity.grammar(toxicity.Transducer({}), toxicity.reports(), toxicity.targets())
+    assert _written(silent, "n r w w w g i") == ("n r w w w g i~", 0.6) and _written(toxicity.grammar(), "n r w w w g i") == ("n w w w w g i!", 1.25)
+    assert _written(silent, "g n i") == ("g n i!", 1.25) and _written(toxicity.grammar(), "g n i") == ("g n i-", 0.4)
+    s = toxicity.Scorer(toxicity.ToxicityModel({"fool$": 2.0}))
+    assert s.clauses("you are not a fool")[0] == [0.8] and s.clauses("they never kill")[0] == [] and s.clauses("they kill")[0] == [1.0]
+
+
 def test_toxicity_on_held_out_labels(spark):
     at = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{at}/labels.parquet")
