@@ -2,8 +2,8 @@
 
 Runs of one symbol are folded; deterministic coin tossing shrinks the alphabet while neighbours stay
 different; places where the small labels peak begin a new phrase, and a phrase's name is a hash of its
-symbols. Names are parsed again, level by level. A cut depends on a few neighbours only, so a passage gets
-the same interior names wherever it stands. Hash minima of the names make up the fingerprint.
+symbols. Names are parsed again, level by level, until one phrase is left. A cut depends on a few neighbours only, so a
+passage gets the same interior names wherever it stands. Hash minima of the names make up the fingerprint.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from railspan.llm.common import bound_batches, mix, only, partitions
 
-LEVELS, MINIMA = 4, 64
+MINIMA = 64
 #: Code points parsed at once.
 CHUNK = 200_000
 
@@ -94,12 +94,17 @@ def _chunk(texts: list[str], a: np.ndarray, b: np.ndarray) -> list[str]:
         x = mix(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64))
         first = np.zeros(len(x), bool)
         first[np.concatenate([[0], np.cumsum(sizes[full])[:-1]])] = True
-        for level in range(1, LEVELS + 1):
+        level = 0
+        while len(full):  # the last symbol never begins a phrase, so every level has fewer
+            level += 1
             x, first = _phrases(x, first)
             at = np.flatnonzero(first)
             for k in range(MINIMA):
                 m = np.minimum.reduceat((x + np.uint64(level)) * a[k] + b[k], at)
                 least[full, k] = np.minimum(least[full, k], m)
+            phrases = np.diff(np.append(at, len(x)))
+            parsed = np.repeat(phrases > 1, phrases)  # a text that is one phrase is done
+            x, first, full = x[parsed], first[parsed], full[phrases > 1]
     short = (mix(least) >> np.uint64(48)).astype(">u2")
     return [row.tobytes().hex() for row in short]
 

@@ -113,3 +113,50 @@ def linked(text, among_weak, scope=300):
             weak.append(w)
             links.append((w[0], w[1], f"{w[3]}:{w[0]}:{w[2]}[{' '.join(sorted(f'{k}:{a}:{b}:{s}' for k, (_, a, b, s) in near.items()))}]"))
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + weak)), ",".join(x for _, _, x in sorted(links))
+
+
+# ---- locally consistent parsing, one symbol at a time
+
+M64 = (1 << 64) - 1
+
+
+def mix(x):
+    x ^= x >> 31
+    x = x * 0x7FB5D329728EA185 & M64
+    x ^= x >> 27
+    x = x * 0x81DADEF4BC2DD44D & M64
+    return x ^ x >> 33
+
+
+def parse(symbols):
+    """The names of the phrases of a sequence."""
+    runs = []
+    for x in symbols:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    seq = [x if n == 1 else mix((3 * x + n) & M64) for x, n in runs]
+    label = seq
+    for _ in range(3):
+        tossed, left = [], 0x5BD1E9955BD1E995
+        for x in label:
+            k = next((i for i in range(64) if (x ^ left) >> i & 1), 63)
+            tossed.append(2 * k + (x >> k & 1))
+            left = x
+        label = tossed
+    phrases = []
+    for i, x in enumerate(seq):
+        if i == 0 or (i + 1 < len(seq) and label[i - 1] < label[i] >= label[i + 1]):
+            phrases.append([])
+        phrases[-1].append(x)
+    return [mix((sum(mix(x) * pow(0xD6E8FEB86659FD93, min(i, 63), 1 << 64) for i, x in enumerate(p)) + len(p)) & M64) for p in phrases]
+
+
+def fingerprint(text, a, b):
+    names, level, seq = set(), 0, [mix(ord(c)) for c in text]
+    while text and (level == 0 or len(seq) > 1):
+        level += 1
+        seq = parse(seq)
+        names.update((level, x) for x in seq)
+    return "".join(f"{mix(min((((x + n) * p + q) & M64 for n, x in names), default=M64)) >> 48:04x}" for p, q in zip(a, b))

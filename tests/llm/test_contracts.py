@@ -8,9 +8,11 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline
-from railspan.llm import credential_scan, html_extract, packing, pii, quality, substring_dedup, toxicity
+from railspan.llm import credential_scan, fingerprints, html_extract, packing, pii, quality, substring_dedup, toxicity
 from tests.llm import brute
 
 WORDS = "This is a sentence of the article, with commas, and enough words to count as text. " * 4
@@ -321,3 +323,27 @@ def test_ids_of_texts_equal_the_library(spark):
     texts = ["It's  two\n\n words", "", None, "\x1c x \x85 y é", "a" * 300]
     got = {x.doc_id: x.ids for x in bpe.token_ids(clashing(spark, list(enumerate(texts))), path, P.PATTERN).collect()}
     assert got == {i: own.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
+# ---- fingerprints
+
+@given(st.lists(st.text(st.sampled_from("ab \u00e9\U0001f600") | st.characters(codec="utf-32")), max_size=6) | st.lists(st.text("ab", max_size=400), max_size=3))
+@settings(max_examples=60, deadline=None)
+def test_parsing_equals_one_symbol_at_a_time(texts):
+    rng = np.random.default_rng(77)
+    a, b = rng.integers(0, 1 << 63, 64, np.uint64), rng.integers(0, 1 << 63, 64, np.uint64)
+    assert fingerprints.fingerprints(texts) == [brute.fingerprint(t, [2 * int(x) + 1 for x in a], [int(x) for x in b]) for t in texts]
+
+
+def test_fingerprints_name_phrases_up_to_the_whole_text():
+    text = " ".join(f"word{i * i % 997}" for i in range(3000))
+    rng = np.random.default_rng(77)
+    a, b = rng.integers(0, 1 << 63, 64, np.uint64), rng.integers(0, 1 << 63, 64, np.uint64)
+    want = brute.fingerprint(text, [2 * int(x) + 1 for x in a], [int(x) for x in b])
+    others = ["", "x", "a" * 5000, text[:700]]
+    assert fingerprints.fingerprints([*others[:2], text, *others[2:], text]) == [*fingerprints.fingerprints(others[:2]), want, *fingerprints.fingerprints(others[2:]), want]
+    seq, sizes = [brute.mix(ord(c)) for c in text], []
+    while len(seq) > 1:
+        seq = brute.parse(seq)
+        sizes.append(len(seq))
+    assert sizes == sorted(set(sizes), reverse=True) and sizes[-1] == 1 and len(sizes) > 4
