@@ -29,18 +29,19 @@ BLOCK = frozenset(
     "thead tr ul".split())
 DROPPED = frozenset(
     "nav aside footer form script style noscript template textarea title head button select input iframe svg canvas object dialog menu "
-    "xmp noembed noframes audio video label".split())
+    "xmp noembed noframes audio video".split())
 CLOSES_P = BLOCK - {"option", "optgroup", "body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 FENCES = frozenset("ul ol dl table article section main body div td th blockquote".split())
 ENDED = (  # elements that end without an end tag: which start tags end which open elements, but not beyond which others
     (CLOSES_P, frozenset({"p"}), FENCES), (frozenset({"li"}), frozenset({"li"}), FENCES), (frozenset({"dt", "dd"}), frozenset({"dt", "dd"}), FENCES),
     (frozenset({"tr"}), frozenset({"tr", "td", "th"}), FENCES - {"td", "th"}), (frozenset({"td", "th"}), frozenset({"td", "th"}), FENCES),
     (frozenset({"option"}), frozenset({"option"}), FENCES))
-PLAIN_WORDS = r"ads?|banner|cookies?|notices?|side|rail|nav|header|foot|respond|social|widgets?|login|search|toolbar|skip|legal|copyright|hidden|overlay"
-SURE_WORDS = (
-    r"advert\w*|sponsor\w*|promo\w*|consent|gdpr|popup|modal|newsletter|subscri\w*|sidebar|navbar|navigation|menu|breadcrumbs?|masthead|footer|"
-    r"comments?|disqus|repl(?:y|ies)|share|sharing|related|recommend\w*|signup|pagination|pager")
-UNWANTED = re.compile(rf"(?:^|[\s_-])(?:{SURE_WORDS}|{PLAIN_WORDS})(?=$|[\s_-])", re.I)
+# What is another's text by its name, wherever the word stands; what is unwanted where it is the whole name; what is made of links, and judged by them.
+SURE_WORDS = r"advert\w*|sponsor\w*|promo\w*|consent|gdpr|popup|modal|newsletter|subscri\w*|sidebar|masthead|footer|comments?|disqus|repl(?:y|ies)|signup"
+PLAIN_WORDS = r"ads?|banner|cookies?|notices?|side|rail|header|foot|respond|social|widgets?|login|search|toolbar|skip|legal|copyright|hidden|overlay|related|recommend\w*|shar(?:e|ing)"
+LINK_WORDS = r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager"
+UNWANTED = re.compile(rf"(?:^|[\s_-])(?:{SURE_WORDS}|{PLAIN_WORDS}|{LINK_WORDS})(?=$|[\s_-])", re.I)
+LINKS = re.compile(rf"(?:^|[\s_-])(?:{LINK_WORDS})(?=$|[\s_-])", re.I)
 SURE = re.compile(rf"(?:^|[\s_-])(?:{SURE_WORDS})(?=$|[\s_-])|(?:^|\s)(?:{PLAIN_WORDS})(?=$|\s)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 WANTED = re.compile(r"article|content|entry|post|story|main|text|body", re.I)
@@ -49,6 +50,10 @@ SCORED = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section arti
 
 CLASSED = frozenset().union(*[ends | fence for _, ends, fence in ENDED])
 SENTENCE = (".", "!", "?", "…", "。", ":")
+#: Code points of few links that make an element with an unwanted name text; and one with a name of links, or a block beside the best container.
+READS, LONG = 25, 80
+#: Elements whose own text a label may stand in; elsewhere it names a field.
+PROSE = frozenset("p li td dd dt blockquote figcaption h1 h2 h3 h4 h5 h6".split())
 #: Share of its points that text keeps inside an element with an unwanted name.
 DOUBT = 0.2
 
@@ -138,7 +143,7 @@ class Page:
 
     def _open(self, name: str, attributes: str, parent: int) -> None:
         drop, bonus, doubt = self.drop[parent] or name in DROPPED, 0.0, ""
-        drop = drop or (name == "header" and not self.in_article[parent])
+        drop = drop or (name == "header" and not self.in_article[parent]) or (name == "label" and self.tag[self.holder[parent]] not in PROSE)
         if name in ("article", "main"):
             bonus += 25
         if not drop and ("=" in attributes or "hidden" in attributes):
@@ -226,7 +231,7 @@ class Page:
             gone[i] = gone[self.parent[i]]
             if self.doubt[i] and not holds[i] and not gone[i]:
                 named = WANTED.search(self.doubt[i]) is not None
-                reads = within[i] and not SURE.search(self.doubt[i]) and total[i] >= 25 and in_links[i] < 0.25 * total[i]
+                reads = within[i] and not SURE.search(self.doubt[i]) and total[i] >= (LONG if LINKS.search(self.doubt[i]) else READS) and in_links[i] < 0.25 * total[i]
                 gone[i] = not reads and not (title[i] and (named or self.in_article[self.parent[i]]))
                 self.bonus[i] += 25 * (named and not gone[i])
             self.drop[i] = self.drop[i] or gone[i]
@@ -248,7 +253,7 @@ class Page:
                 titled[self.parent[i]] |= titled[i]
             for i in range(1, n):
                 if self.parent[i] == self.parent[best] and i != best and total[i] and not self.drop[i]:
-                    reads = in_links[i] < 0.25 * total[i] and (ends[i] or titled[i]) and self.tag[i] in BLOCK
+                    reads = in_links[i] < 0.25 * total[i] and (ends[i] or titled[i] or total[i] >= LONG and not self.in_article[best]) and self.tag[i] in BLOCK
                     if score[i] - self.bonus[i] >= max(10, 0.2 * score[best]) or reads:
                         keep.add(i)
         inside = [False] * n

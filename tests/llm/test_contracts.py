@@ -35,6 +35,13 @@ def clashing(spark, rows):
     (f"<article><p>A teaser, <a href=x>more</a></p></article><div><p>{WORDS}</p><p>{WORDS}</p><p>{WORDS}</p><p>{WORDS}</p><p>{WORDS}</p></div>", " ".join([TEXT] * 5)),
     (f"<article><h1>Title</h1><div><div><div><div><p>{WORDS}</p></div></div></div></div></article><div><p>Other.</p><a href=x>Other pages, many</a></div>", f"Title {TEXT}"),
     (f"<article><div><p>{WORDS}</p><p>{WORDS}</p></div><div><p>{WORDS}</p></div><p title='a > b'>It's done.</p></article>", f"{TEXT} {TEXT} {TEXT} It's done."),
+    (f"<article><p>{WORDS}</p><div class='related-work'><h2>Related work</h2><p>One of them, here. And two more.</p></div><p>{WORDS}</p></article>", f"{TEXT} Related work One of them, here. And two more. {TEXT}"),
+    (f"<article><p>{WORDS}</p><section class='menu'><p>Soup of the day, with bread and butter, for five.</p><p>Fish with potatoes, in season, for ten.</p></section></article>",
+     f"{TEXT} Soup of the day, with bread and butter, for five. Fish with potatoes, in season, for ten."),
+    (f"<article><ul class=menu><li>Home<li>News of today<li>Weather</ul><div class=menu>{'<a href=a>Some page</a> ' * 20}</div><p>{WORDS}</p></article>", TEXT),
+    (f"<article><p>Use <label>here</label> and now.</p><p>{WORDS}</p><label>Your name</label><input></article>", f"Use here and now. {TEXT}"),
+    (f"<body><div><p>{WORDS}</p><p>{WORDS}</p></div><div>{WORDS.replace('.', ',')}and no stop</div><div>Site of 2024</div></body>", f"{TEXT} {TEXT} {WORDS.replace('.', ',')}and no stop"),
+    (f"<article><p>{WORDS}</p><div class=comments><p>{WORDS}</p></div><div class='advert-box'>{WORDS}</div><div class=newsletter>{WORDS}</div></article>", TEXT),
     (f"<body><ul><li>One, two.<li>Three, four.</ul><p title=it's>{WORDS}<p class=\"x>y\">{WORDS}</body>", f"One, two. Three, four. {TEXT} {TEXT}"),
 ])
 def test_pages_by_their_scores(page, want):
