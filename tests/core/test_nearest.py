@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from railspan.operators import nearest as ne
 from railspan.operators import network as nw
@@ -53,3 +54,16 @@ def test_band_and_radius_at_every_latitude(spark, seed):
     got = {x.id: x.metres for x in nw.nearest_in_metres(df.filter("id % 2 = 1"), df.filter("id % 2 = 0"), 60_000.0).collect()}
     want = {i: min(km(la, lo, lb, lp) for _, lb, lp in b) * 1000 for i, la, lo in a}
     assert got == {i: pytest.approx(m, abs=1e-3) for i, m in want.items() if m < 60_000}
+
+
+def test_many_points_at_one_place_meet_as_one(spark, monkeypatch):
+    """20000 points at 40 places around each of 3 stops: a stop meets places near it, each once, not all that the radius reaches."""
+    right = spark.range(20000).select("id", (50 + (F.col("id") % 40) * 0.001).alias("lat"), (4 + (F.col("id") % 8) * 0.001).alias("lon"))
+    left = spark.createDataFrame([(1, 50.0, 4.0), (2, 50.0114, 4.0031), (3, 60.0, 4.0)], "id long, lat double, lon double")
+    sizes, keep = {}, ne.written
+    monkeypatch.setattr(ne, "written", lambda df, name: sizes.setdefault(name, []).append(keep(df, name)) or sizes[name][-1])
+    brute = left.withColumnsRenamed({"lat": "la", "lon": "lo"}).join(right.filter("id < 40").select(F.col("id").alias("r"), "lat", "lon"))
+    want = {x.id: x.b[1] for x in brute.groupBy("id").agg(F.min(F.struct(F.pow(F.col("la") - F.col("lat"), 2) + F.pow(F.col("lo") - F.col("lon"), 2), "r")).alias("b")).collect() if x.id < 3}
+    assert {x.id: x.nearest for x in nw.nearest_point(left, right, 5.0).collect()} == want
+    assert {x.id for x in nw.nearest_in_metres(left, right, 5000.0).collect()} == {1, 2}
+    assert [x.count() for x in sizes["right"]] == [40, 40]
