@@ -49,9 +49,18 @@ def operator_breakdown(s, d):
     return re.operator_breakdown(some, F.coalesce("delay_arr", F.lit(0))).withColumns({"mean": r("mean"), "median": F.col("median").cast("double")})
 
 
-def _rough_conn(s, d):
+def _on_time(s, d):
     """Missing delays are none; missing clocks fall out of the join."""
-    return co.connections(rough(s, d).withColumns({"delay_arr": F.coalesce("delay_arr", F.lit(0)), "delay_dep": F.coalesce("delay_dep", F.lit(0))}))
+    return rough(s, d).withColumns({"delay_arr": F.coalesce("delay_arr", F.lit(0)), "delay_dep": F.coalesce("delay_dep", F.lit(0))})
+
+
+def _rough_conn(s, d):
+    return co.connections(_on_time(s, d))
+
+
+def _rough_counted(s, d):
+    rec = _on_time(s, d)
+    return co.counted(rec, rec)
 
 
 ROUGH_CONN = ROUGH + """, rc0 AS (SELECT a.day_date, a.dow, a.station, a.train_no AS arr_train, d.train_no AS dep_train, a.relation AS rel_arr, d.dep_sec - a.arr_sec AS gap, d.dep_sec // 3600 AS dep_hour,
@@ -61,7 +70,7 @@ rc AS (SELECT *, CAST(dep_actual < arr_actual AS INTEGER) AS missed, CAST(dep_ac
 
 @query(f"WITH {ROUGH_CONN} SELECT station, dow, count(*) AS planned, CAST(sum(missed) AS BIGINT) AS missed, CAST(sum(close_call) AS BIGINT) AS close_call FROM rc GROUP BY 1, 2")
 def rough_connections(s, d):
-    return co.rollup(_rough_conn(s, d), "station", "dow")
+    return co.rollup(_rough_counted(s, d), "station", "dow")
 
 
 @query(f"""WITH {ROUGH_CONN}, late AS (SELECT DISTINCT arr_train FROM rc WHERE missed = 1)
@@ -84,7 +93,7 @@ def weekday_share(s, d):
 @query(f"""WITH {ROUGH_CONN}, x AS (SELECT station, dep_hour, count(*) AS planned, sum(missed) AS missed FROM rc GROUP BY 1, 2), k AS (SELECT *, missed * 100.0 / planned AS pct, row_number() OVER (PARTITION BY station ORDER BY missed * 100.0 / planned DESC, dep_hour) AS place FROM x WHERE planned >= 3)
 SELECT station, dep_hour, planned, CAST(missed AS BIGINT) AS missed, round(pct, 6) AS pct, CAST(place AS INTEGER) AS place FROM k WHERE place <= 3""")
 def worst_hours(s, d):
-    return re.worst_hours(co.rollup(_rough_conn(s, d), "station", "dep_hour").drop("close_call"), "station").withColumn("pct", r("pct"))
+    return re.worst_hours(co.rollup(_rough_counted(s, d), "station", "dep_hour").drop("close_call"), "station").withColumn("pct", r("pct"))
 
 
 @query(f"WITH {ROUGH_CONN} SELECT station, round(sum(missed) * 1.0 / greatest(count(DISTINCT day_date), 1) * (avg(gap) / 60.0) * 220 / 60, 4) AS hours FROM rc GROUP BY 1")
@@ -101,8 +110,8 @@ def station_averages(s, d):
 @query(f"""WITH {ROUGH_CONN}, x AS (SELECT arr_train, count(*) AS planned FROM rc GROUP BY 1 ORDER BY planned DESC, arr_train LIMIT 5)
 SELECT arr_train, dep_hour, count(*) AS planned, CAST(sum(missed) AS BIGINT) AS missed FROM rc WHERE arr_train IN (SELECT arr_train FROM x) GROUP BY 1, 2""")
 def top_trains_by_hour(s, d):
-    c = _rough_conn(s, d)
-    return co.rollup(fi.feed_top(c, co.rollup(c, "arr_train"), "arr_train", 5, F.desc("planned"), F.col("arr_train")), "arr_train", "dep_hour").drop("close_call")
+    c = co.rollup(_rough_counted(s, d), "arr_train", "dep_hour")
+    return fi.feed_top(c, co.rollup(c, "arr_train"), "arr_train", 5, F.desc("planned"), F.col("arr_train")).drop("close_call")
 
 
 @query(f"""WITH {b.DREC}, {b.WEATHER}, t AS (SELECT train_no, day_date, avg(d) AS m FROM drec GROUP BY 1, 2), a AS (SELECT train_no, count(*) AS n_days, avg(m) AS avg, avg(m) FILTER (WHERE rain > 1) AS rainy, avg(m) FILTER (WHERE rain <= 1) AS dry FROM t JOIN weather USING (day_date) GROUP BY 1)
