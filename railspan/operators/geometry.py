@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railspan.functions.scalars import km_to_degrees
+from railspan.sources.scratch import written
 
 
 def length_km(coords: Column) -> Column:
@@ -95,23 +96,31 @@ def overlapping(segments: DataFrame, km: float = 0.5, share: float = 0.7, cell:
     """(a, b, shared) for pairs of segments (id, coords), a < b, of which each has at least `share` within km of the other.
 
     Segments meet in the grid cells that their bounding boxes, widened by km, cover; a pair is taken up in the one cell where
-    the common part of its boxes begins. Lines of fewer than two points overlap nothing.
+    the common part of its boxes begins. Lines of fewer than two points overlap nothing. Lines of equal coords are measured once, under their
+    least id, and the measured pairs are dealt anew, so the work follows the different lines and no task has a crowded cell to itself.
     """
+    spark = segments.sparkSession
     edge = km_to_degrees(km)
     low, high = (lambda v: F.array_min(v) - edge), (lambda v: F.array_max(v) + edge)
-    rows = segments.filter("size(coords) > 1").select("id", F.transform("coords", lambda c: c["lat"]).alias("x"), F.transform("coords", lambda c: c["lon"]).alias("y"))
+    known = segments.filter("size(coords) > 1")
+    alike = known.groupBy("coords").agg(F.min("id").alias("id"), F.collect_list("id").alias("ids"))
+    lines = written(alike.select("id", "coords", "ids"), "lines")
+    rows = lines.select("id", (F.size("ids") > 1).alias("many"), F.transform("coords", lambda c: c["lat"]).alias("x"), F.transform("coords", lambda c: c["lon"]).alias("y"))
     rows = rows.select("*", low(F.col("x")).alias("x0"), high(F.col("x")).alias("x1"), low(F.col("y")).alias("y0"), high(F.col("y")).alias("y1"))
     span = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(z) / cell)))
     rows = rows.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
-    a, b = (rows.withColumnsRenamed({c: f"{c}_{n}" for c in ("id", "x", "y", "x0", "x1", "y0", "y1")}) for n in "ab")
+    a, b = (rows.withColumnsRenamed({c: f"{c}_{n}" for c in ("id", "many", "x", "y", "x0", "x1", "y0", "y1")}) for n in "ab")
     begin = lambda c: F.greatest(f"{c}0_a", f"{c}0_b")
-    met = a.join(b, ["cx", "cy"]).filter((F.col("id_a") < F.col("id_b")) & (begin("x") <= F.least("x1_a", "x1_b")) & (begin("y") <= F.least("y1_a", "y1_b")))
+    met = a.join(b, ["cx", "cy"]).filter(((F.col("id_a") < F.col("id_b")) | F.col("many_a") & (F.col("id_a") == F.col("id_b"))) & (begin("x") <= F.least("x1_a", "x1_b")) & (begin("y") <= F.least("y1_a", "y1_b")))
     met = met.filter((F.col("cx") == F.floor(begin("x") / cell)) & (F.col("cy") == F.floor(begin("y") / cell)))
+    met = met.select(*[f"{c}_{n}" for n in "ab" for c in ("id", "x", "y")]).repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     @F.pandas_udf("double")
     def least_share(xa: pd.Series, ya: pd.Series, xb: pd.Series, yb: pd.Series) -> pd.Series:
         lines = [(np.column_stack([p, q]), np.column_stack([r, s])) for p, q, r, s in zip(xa, ya, xb, yb, strict=True)]
         return pd.Series([min(overlap(u, v, km)[0], overlap(v, u, km)[0]) for u, v in lines], dtype=float)
 
-    found = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), least_share("x_a", "y_a", "x_b", "y_b").alias("shared"))
-    return found.filter(F.col("shared") >= share)
+    found = met.select("id_a", "id_b", least_share("x_a", "y_a", "x_b", "y_b").alias("shared")).filter(F.col("shared") >= share)
+    each = lambda n: lines.select(F.col("id").alias(f"id_{n}"), F.explode("ids").alias(n))
+    pairs = found.join(each("a"), "id_a").join(each("b"), "id_b").filter((F.col("id_a") != F.col("id_b")) | (F.col("a") < F.col("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
