@@ -117,3 +117,22 @@ def test_rail_distances_equal_brute_force(spark):
                 far[a, b] = min(far[a, b], far[a, k] + far[k, b])
     got = {(x.origin, x.station): x.km for x in se.rail_distances(spark.createDataFrame([(n,) for n in nodes], "id string"), spark.createDataFrame(rails, "a string, b string, km double")).collect()}
     assert got == {k: v for k, v in far.items() if k[0] != k[1] and v < float("inf")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_walks_of_no_time_lead_no_path_in_circles(spark, seed):
+    """Stations at one place: a walk to the next one and back is no way to a station, nor does it undo a label's trip."""
+    r = random.Random(40 + seed)
+    edges = network(r, 12, 120)
+    pairs = [(0, 1), (2, 3), (3, 4), (2, 4), (5, 6)]
+    walks = [(f"s{x}", f"s{y}", 0.0) for a, b in pairs for x, y in ((a, b), (b, a))] + [("s4", "s7", 2.5), ("s7", "s4", 2.5)]
+    jobs = [(f"s{k}", start, None) for k in range(12) for start in range(60, 140, 20)] + [("door", 80, {"s1": 2.5, "s2": 0.0, "s7": 9.0})]
+    e = spark.createDataFrame(edges, "src string, dep_min long, dst string, arr_min long, trip_id string")
+    codes = {x.trip_id: x.c for x in e.select("trip_id", F.xxhash64("trip_id").alias("c")).distinct().collect()}
+    coded = [(a, d, b, x, codes[t]) for a, d, b, x, t in edges]
+    found = se.search(spark.createDataFrame(jobs, "origin string, start int, seeds map<string,double>"), e, budget=60, max_transfers=2, penalty=4, walks=spark.createDataFrame(walks, "stop_a string, stop_b string, walk_min double"))
+    got = {}
+    for x in found.collect():
+        assert len(set(x.path)) == len(x.path)
+        got[x.origin, x.start, x.station] = (x.minutes, x.transfers)
+    assert got == {(o, t, at): v for o, t, seeds in jobs for at, v in brute(coded, walks, {o: 0.0} if seeds is None else seeds, t, 60, 2, 4).items()}
