@@ -101,13 +101,13 @@ def stream_next_departures(conn: DataFrame, departures: DataFrame, horizon: int
 
 
 class Offender(StatefulProcessor):
-    """A train's delays at a station by day; each batch that touches it gives its row anew."""
+    """A train's delays at a station by day; each batch that touches it gives its row anew. Its days are one value, read and written once a batch, as each call of the state is a message."""
 
     def __init__(self, late: int, cap: int):
         self.late, self.cap = late, cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.days = handle.getMapState("days", "day date", "sum long, worst long, n long, n_late long")
+        self.days = handle.getValueState("days", "days array<struct<day date, sum long, worst long, n long, n_late long>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         new: dict = {}
@@ -115,12 +115,11 @@ class Offender(StatefulProcessor):
             d = min(max(r.delay_arr, 0), self.cap)
             s, worst, n, n_late = new.get(r.day_date, (0, 0, 0, 0))
             new[r.day_date] = (s + d, max(worst, d), n + 1, n_late + (d > self.late))
-        for day, (s, worst, n, n_late) in new.items():
-            if self.days.containsKey((day,)):
-                old = self.days.getValue((day,))
-                s, worst, n, n_late = s + old[0], max(worst, old[1]), n + old[2], n_late + old[3]
-            self.days.updateValue((day,), (s, worst, n, n_late))
-        every = sorted(tuple(v) for v in self.days.values())
+        for day, *old in self.days.get()[0] if self.days.exists() else ():
+            s, worst, n, n_late = new.get(day, (0, 0, 0, 0))
+            new[day] = (s + old[0], max(worst, old[1]), n + old[2], n_late + old[3])
+        self.days.update(([(day, *v) for day, v in new.items()],))
+        every = sorted(new.values())
         k = len(every)
         yield Row(train_no=key[0], station=key[1], days_seen=k, pct_late=sum(v[3] * 100.0 / v[2] for v in every) / k, avg_delay=sum(v[0] / 60 / v[2] for v in every) / k,
                   max_delay=sum(v[1] / 60 for v in every) / k, worst=max(v[1] for v in every) / 60, total_stops=sum(v[2] for v in every))

@@ -81,3 +81,29 @@ def test_running_offenders(spark, tmp_path, split):
     got, want = live.latest_rows(spark.read.parquet(out), "train_no", "station"), pu.offenders(spark.createDataFrame(rows, REC), least_days=1)
     rounded = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(want.columns).collect())
     assert rounded(got) == rounded(want) and want.count() > 30
+
+
+def test_an_offender_asks_its_state_once_a_batch():
+    """Calls of the state are messages: their number must not grow with the days of a key."""
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("exists", "containsKey"):
+                    return False
+                return [] if name in ("values", "get") else None
+            return call
+
+    class Handle:
+        getValueState = getMapState = getListState = lambda self, *args: State()
+
+    class Rec:
+        def __init__(self, day):
+            self.day_date, self.delay_arr = DAY + datetime.timedelta(day), 400
+
+    of = live.Offender(300, 1800)
+    of.init(Handle())
+    row, = of.handleInputRows(("1", "x"), [Rec(k) for k in range(50)], None)
+    assert row.days_seen == 50 and row.worst == 400 / 60 and len(calls) <= 3
