@@ -136,3 +136,23 @@ def test_walks_of_no_time_lead_no_path_in_circles(spark, seed):
         assert len(set(x.path)) == len(x.path)
         got[x.origin, x.start, x.station] = (x.minutes, x.transfers)
     assert got == {(o, t, at): v for o, t, seeds in jobs for at, v in brute(coded, walks, {o: 0.0} if seeds is None else seeds, t, 60, 2, 4).items()}
+
+
+def test_rail_distances_by_blocks_make_no_row_for_a_way(spark, monkeypatch):
+    """Separate full networks in several blocks: equal to brute force, and each round's table holds a row for a pair, not for a way."""
+    monkeypatch.setattr(se, "ORIGINS", 4)
+    r = random.Random(8)
+    rails = [(f"{net}{a}", f"{net}{b}", float(r.randrange(1, 50))) for net in "uvw" for a in range(9) for b in range(a)]
+    nodes = [f"{net}{i}" for net in "uvw" for i in range(9)]
+    far = {(a, b): 0.0 if a == b else float("inf") for a in nodes for b in nodes}
+    for a, b, km in rails:
+        far[a, b] = far[b, a] = km
+    for k in nodes:
+        for a in nodes:
+            for b in nodes:
+                far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+    held, write = [], se.written
+    monkeypatch.setattr(se, "written", lambda df, name: held.append(df) or write(df, name))
+    got = se.rail_distances(spark.createDataFrame([(n,) for n in [*nodes, "nowhere", None]], "id string"), spark.createDataFrame(rails, "a string, b string, km double"))
+    assert {(x.origin, x.station): x.km for x in got.collect()} == {k: v for k, v in far.items() if k[0] != k[1] and v < float("inf")}
+    assert all(df.count() <= 3 * 9 * 9 for df in held) and any("new" in df.columns for df in held)
