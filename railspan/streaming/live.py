@@ -10,14 +10,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from railspan.operators.connections import LONGEST_WAIT, judged, sides
+from railspan.operators.tallies import _merged
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WAIT = "day_date date, station string, arr_train string, arr_actual long, wait long"
+COUNTS = "day_date date, station string, slot long, planned long, missed long, close_call long"
+MISSED = "day_date date, station string, arr_train string, arr_actual long, missed int"
 OFFENDER = "train_no string, station string, days_seen long, pct_late double, avg_delay double, max_delay double, worst double, total_stops long"
 
 
@@ -39,6 +45,95 @@ def stream_connections(arrivals: DataFrame, departures: DataFrame, min_gap: int
     return judged(arr.join(dep, same & span), min_gap, max_gap, close_call).drop("arr_ts", "dep_ts", "_day_date", "_station", "_slot")
 
 
+class SlotRecords(StatefulProcessor):
+    """The arrivals and departures of a station's slot of time, as one value; each batch that touches it counts its connections anew, without a row for one.
+
+    arrivals: gives the arrivals that missed a connection, each once a slot; else the slot's running counts.
+    """
+
+    def __init__(self, min_gap: int, max_gap: int, close_call: int, arrivals: bool):
+        self.gaps, self.close_call, self.arrivals = (min_gap, max_gap), close_call, arrivals
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getValueState("rows", "rows binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new, ends = [], 0
+        for x in rows:
+            ends = int(x["ends"].iloc[0]) if len(x) else ends
+            actual = pa.array(x["actual"].to_numpy(), pa.int64(), mask=~x["known"].to_numpy(bool))
+            new.append(pa.table({"train": pa.array(x["train"], pa.string()), "sec": pa.array(x["sec"].to_numpy(), pa.int64()), "actual": actual, "_side": pa.array(x["side"].to_numpy(), pa.int32()), "told": np.zeros(len(x), bool)}))
+        if self.rows.exists():
+            new.append(pa.ipc.open_stream(self.rows.get()[0]).read_all())
+        else:
+            self.handle.registerTimer(ends)
+        table = pa.concat_tables(new).combine_chunks()
+        marked = table.append_column("i", pa.array(np.arange(table.num_rows))).append_column("k", pa.repeat(0, table.num_rows))
+        found = list(_merged(marked, ["k"], ["i", "train", "actual", "told"], *self.gaps, [0, self.close_call], False))
+        met = pa.Table.from_batches(found) if found else None
+        yield from (self._missed if self.arrivals else self._counts)(key, table, met)
+
+    def _keep(self, table: pa.Table) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.rows.update((sink.getvalue().to_pybytes(),))
+
+    def _counts(self, key, table: pa.Table, met: pa.Table | None) -> Iterator[pd.DataFrame]:
+        self._keep(table)
+        if met is not None:
+            some = met["judged"].to_numpy() > 0
+            below = met["below"].combine_chunks().flatten().to_numpy().reshape(-1, 2)[some].sum(axis=0)
+            sums = [int(met["planned"].to_numpy().sum()), *([int(below[0]), int(below[1] - below[0])] if some.any() else [None, None])]
+            yield pd.DataFrame({"day_date": [key[0]], "station": [key[1]], "slot": [key[2]], **{n: pd.array([v], "Int64") for n, v in zip(("planned", "missed", "close_call"), sums, strict=True)}})
+
+    def _missed(self, key, table: pa.Table, met: pa.Table | None) -> Iterator[pd.DataFrame]:
+        if met is not None:
+            below = met["below"].combine_chunks().flatten().to_numpy().reshape(-1, 2)[:, 0]
+            late = met.filter(pa.array((below > 0) & (met["judged"].to_numpy() > 0) & ~met["told"].to_numpy()))
+            told = table["told"].to_numpy().copy()
+            told[late["i"].to_numpy()] = True
+            table = table.set_column(table.column_names.index("told"), "told", pa.array(told))
+            if late.num_rows:
+                yield pd.DataFrame({"day_date": key[0], "station": key[1], "arr_train": late["train"].to_pandas(), "arr_actual": late["actual"].to_numpy(), "missed": np.int32(1)})
+        self._keep(table)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.rows.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _by_slot(arrivals: DataFrame, departures: DataFrame, gaps: tuple[int, int], close_call: int, late: str, missed: bool) -> DataFrame:
+    arr, dep = sides(arrivals, departures, gaps[1])
+    ends = F.unix_millis(moment("day_date", (F.col("slot") + 1) * gaps[1])).alias("ends")
+
+    def rows(x: DataFrame, of: str, side: int) -> DataFrame:
+        actual = F.col(f"{of}_sec") + F.col(f"delay_{of}")
+        return x.dropna(subset=["day_date", "station", f"{of}_train"]).select(
+            "day_date", "station", F.col("slot").cast("long").alias("slot"), F.col(f"{of}_train").alias("train"), F.col(f"{of}_sec").cast("long").alias("sec"), F.coalesce(actual, F.lit(0)).cast("long").alias("actual"),
+            actual.isNotNull().alias("known"), F.lit(side).alias("side"), ends, moment("day_date", f"{of}_sec").alias("at")).withWatermark("at", late)
+
+    both = rows(arr, "arr", 0).union(rows(dep, "dep", 1)).groupBy("day_date", "station", "slot")
+    return both.transformWithStateInPandas(SlotRecords(*gaps, close_call, missed), MISSED if missed else COUNTS, "Append" if missed else "Update", "EventTime")
+
+
+def stream_counts(arrivals: DataFrame, departures: DataFrame, min_gap: int = 120, max_gap: int = 900, close_call: int = 120, late: str = "2 hours") -> DataFrame:
+    """Running counts of `connections` (day_date, station, slot, planned, missed, close_call) of two streams of records, which may be the same: a row for each slot that a batch touches.
+
+    State is the records of a slot, until the watermark is past it; no connection becomes a row.
+    """
+    return _by_slot(arrivals, departures, (min_gap, max_gap), close_call, late, False)
+
+
+def stream_missed_arrivals(arrivals: DataFrame, departures: DataFrame, min_gap: int = 120, max_gap: int = 900, late: str = "2 hours") -> DataFrame:
+    """(day_date, station, arr_train, arr_actual, missed = 1) of arrivals that missed a connection, when they first do; once for each of an arrival's two slots."""
+    return _by_slot(arrivals, departures, (min_gap, max_gap), 120, late, True)
+
+
 class NextDeparture(StatefulProcessor):
     """For the arrivals and departures of a station's slot of time: kept until no departure can come any more, then merged once."""
 
@@ -70,7 +165,8 @@ class NextDeparture(StatefulProcessor):
         for actual, train in came:
             while at < len(left) and left[at][0] <= actual:
                 at += 1
-            for leaves, other in left[at:]:  # the first of another train: the next one, as a rule
+            for i in range(at, len(left)):  # the first of another train: the next one, as a rule
+                leaves, other = left[i]
                 if leaves > actual + self.horizon:
                     break
                 if other != train:

@@ -8,6 +8,7 @@ import pytest
 
 from railspan.operators import connections as co
 from railspan.operators import punctuality as pu
+from railspan.plans import registry, streams  # noqa: F401
 from railspan.streaming import live
 
 REC = "day_date date, dow int, station string, train_no string, relation string, arr_sec long, dep_sec long, delay_arr long, delay_dep long"
@@ -69,6 +70,29 @@ def test_connections_and_next_departures(spark, tmp_path, split):
     assert key(spark.read.parquet(str(tmp_path / "next")), waits.columns) == key(waits, waits.columns) and waits.count() > 20
 
 
+@pytest.mark.parametrize("split", [1, 3])
+def test_counts_and_missed_arrivals_without_connections(spark, tmp_path, split):
+    rows = records(random.Random(split), 260)
+    conn, src = co.connections(spark.createDataFrame(rows, REC)), str(tmp_path / "in")
+    stream = lambda: spark.readStream.schema(REC + ", part int").option("maxFilesPerTrigger", 1).parquet(src).drop("part")
+    for n in range(split):
+        feed(spark, rows[n::split], src, n)
+        again = n == split - 1
+        ends(lambda: live.overwrite_batches(live.stream_counts(stream(), stream(), late="3 days"), str(tmp_path / "counts"), str(tmp_path / "c1")), spark, tmp_path / "c1", again)
+        ends(lambda: live.append_once(live.stream_missed_arrivals(stream(), stream(), late="3 days"), str(tmp_path / "missed"), str(tmp_path / "c2")), spark, tmp_path / "c2", again)
+    got, want = co.rollup(live.latest_rows(spark.read.parquet(str(tmp_path / "counts")), "day_date", "station", "slot"), "station"), co.rollup(conn, "station")
+    assert key(got, want.columns) == key(want, want.columns) != []
+    cols = ["day_date", "station", "arr_train", "arr_actual"]
+    missed = spark.read.parquet(str(tmp_path / "missed"))
+    assert key(missed.select(cols).distinct(), cols) == key(conn.filter("missed = 1").select(cols).distinct(), cols) != []
+
+
+@pytest.mark.parametrize("name", ["stream_missed_by_station", "stream_next_departure_wait"])
+def test_no_stream_query_joins_records(spark, data, name, monkeypatch):
+    monkeypatch.setattr(live, "stream_connections", None)
+    assert registry.QUERIES[name](spark, data).count() > 0
+
+
 @pytest.mark.parametrize("split", [1, 4])
 def test_running_offenders(spark, tmp_path, split):
     rows = records(random.Random(split), 300)
